@@ -89,6 +89,83 @@ WITH statuses AS (
 ), login_attempts AS (
   SELECT CAST(user_id AS VARCHAR) AS key, ts, event_type = 'purchase' AS ok, event_id AS seq
   FROM events WHERE event_type IN ('error', 'purchase')
+), incoming AS (
+  SELECT o.o_orderkey AS record_id,
+         CASE WHEN o.o_orderkey % 10 = 0 THEN '   ' WHEN o.o_orderkey % 10 = 1 THEN NULL
+              ELSE '  Job ' || CAST(o.o_orderkey AS VARCHAR) || ' ' END AS description,
+         CASE WHEN o.o_orderkey % 9 = 0 THEN '' WHEN o.o_orderkey % 9 = 1 THEN 'abc' WHEN o.o_orderkey % 9 = 2 THEN '0'
+              ELSE CAST(c.c_nationkey AS VARCHAR) END AS location_id,
+         CASE WHEN o.o_orderkey % 11 = 0 THEN NULL WHEN o.o_orderkey % 11 = 1 THEN '7.0'
+              ELSE CAST(o.o_orderkey % 5 + 1 AS VARCHAR) END AS type_id,
+         CASE WHEN o.o_orderkey % 4 = 0 THEN '' ELSE CAST(o.o_orderkey % 4 + 1 AS VARCHAR) END AS status_id,
+         CASE WHEN o.o_orderkey % 8 = 0 THEN '12,5' WHEN o.o_orderkey % 8 = 1 THEN '1.234,5'
+              WHEN o.o_orderkey % 8 = 2 THEN 'abc' WHEN o.o_orderkey % 8 = 3 THEN '1e3'
+              WHEN o.o_orderkey % 8 = 4 THEN '' ELSE printf('%.2f', o.o_totalprice) END AS net_value,
+         c.c_name AS created_by_name,
+         CASE WHEN o.o_orderkey % 6 = 0 THEN 'a@b' WHEN o.o_orderkey % 6 = 1 THEN ' ana@example.cl '
+              WHEN o.o_orderkey % 6 = 2 THEN 'bad @x.cl' END AS created_by_email,
+         CASE WHEN o.o_orderkey % 7 = 0 THEN '2024-02-30' WHEN o.o_orderkey % 7 = 1 THEN '24-1-1'
+              WHEN o.o_orderkey % 7 = 2 THEN NULL ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS repair_date,
+         CASE WHEN o.o_orderkey % 5 = 0 THEN '' ELSE substr(o.o_orderpriority, 1, 1) END AS priority_id,
+         CASE WHEN o.o_orderkey % 12 = 0 THEN '2024-13-01' ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS due_date,
+         CAST(NULL AS VARCHAR) AS owner_name,
+         CASE WHEN o.o_orderkey % 10 = 3 THEN 'tec@example' WHEN o.o_orderkey % 10 = 4 THEN 'tec@example.cl' END AS owner_email,
+         ' ' || c.c_name AS provider,
+         CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE 'OC-' || CAST(o.o_orderkey AS VARCHAR) END AS purchase_order,
+         CAST(NULL AS VARCHAR) AS requested_by,
+         CAST(NULL AS VARCHAR) AS notes
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+), validated AS (
+  SELECT *,
+    CASE WHEN length(d_t) > 0 THEN substr(d_t, 1, 4000) ELSE coalesce(description, '') END AS v_description,
+    CASE WHEN loc_d = floor(loc_d) AND loc_d BETWEEN -2147483648 AND 2147483647 THEN CAST(loc_d AS INTEGER) END AS v_location_id,
+    CASE WHEN typ_d = floor(typ_d) AND typ_d BETWEEN -2147483648 AND 2147483647 THEN CAST(typ_d AS INTEGER) END AS v_type_id,
+    CASE WHEN st_d = floor(st_d) AND st_d BETWEEN -2147483648 AND 2147483647 THEN CAST(st_d AS INTEGER) END AS v_status_id,
+    CASE WHEN pr_d = floor(pr_d) AND pr_d BETWEEN -2147483648 AND 2147483647 AND pr_d <> 0 THEN CAST(pr_d AS INTEGER) END AS v_priority_id,
+    CASE WHEN net_value IS NULL OR net_value = '' THEN NULL WHEN net_t = '' THEN CAST(0 AS DECIMAL(12,2))
+         WHEN regexp_matches(net_t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(net_t AS DECIMAL(12,2)) END AS v_net_value,
+    CASE WHEN length(cm_t) > 0 THEN cm_t END AS v_created_by_email,
+    CASE WHEN length(om_t) > 0 THEN om_t END AS v_owner_email,
+    CASE WHEN regexp_matches(rep_t, '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(rep_t AS DATE) END AS v_repair_date,
+    CASE WHEN regexp_matches(due_t, '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(due_t AS DATE) END AS v_due_date
+  FROM (
+    SELECT *,
+      regexp_replace(coalesce(description, ''), '^\s+|\s+$', '', 'g') AS d_t,
+      CASE WHEN regexp_matches(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(location_id) AS DOUBLE) END AS loc_d,
+      CASE WHEN regexp_matches(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(type_id) AS DOUBLE) END AS typ_d,
+      CASE WHEN regexp_matches(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(status_id) AS DOUBLE) END AS st_d,
+      CASE WHEN regexp_matches(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(priority_id) AS DOUBLE) END AS pr_d,
+      trim(replace(net_value, ',', '.')) AS net_t,
+      regexp_replace(created_by_email, '^\s+|\s+$', '', 'g') AS cm_t,
+      regexp_replace(owner_email, '^\s+|\s+$', '', 'g') AS om_t,
+      CASE WHEN length(trim(repair_date)) > 0 THEN trim(repair_date) END AS rep_t,
+      CASE WHEN length(trim(due_date)) > 0 THEN trim(due_date) END AS due_t
+    FROM incoming
+  )
+), checked AS (
+  SELECT *,
+    concat_ws(',',
+      CASE WHEN length(regexp_replace(v_description, '^\s+|\s+$', '', 'g')) = 0 THEN 'description' END,
+      CASE WHEN coalesce(v_location_id, 0) = 0 THEN 'location_id' END,
+      CASE WHEN coalesce(v_type_id, 0) = 0 THEN 'type_id' END,
+      CASE WHEN coalesce(net_value <> '', false) AND v_net_value IS NULL THEN 'net_value' END,
+      CASE WHEN v_created_by_email IS NOT NULL AND NOT regexp_matches(v_created_by_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'created_by_email' END,
+      CASE WHEN rep_t IS NOT NULL AND v_repair_date IS NULL THEN 'repair_date' END,
+      CASE WHEN due_t IS NOT NULL AND v_due_date IS NULL THEN 'due_date' END,
+      CASE WHEN v_owner_email IS NOT NULL AND NOT regexp_matches(v_owner_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'owner_email' END
+    ) AS error_fields,
+    concat_ws(',',
+      CASE WHEN length(regexp_replace(v_description, '^\s+|\s+$', '', 'g')) = 0 THEN 'description' END,
+      CASE WHEN coalesce(v_location_id, 0) = 0 THEN 'location_id' END,
+      CASE WHEN coalesce(v_type_id, 0) = 0 THEN 'type_id' END,
+      CASE WHEN coalesce(v_status_id, 0) = 0 THEN 'status_id' END,
+      CASE WHEN coalesce(net_value <> '', false) AND v_net_value IS NULL THEN 'net_value' END,
+      CASE WHEN v_created_by_email IS NOT NULL AND NOT regexp_matches(v_created_by_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'created_by_email' END,
+      CASE WHEN rep_t IS NOT NULL AND v_repair_date IS NULL THEN 'repair_date' END,
+      CASE WHEN due_t IS NOT NULL AND v_due_date IS NULL THEN 'due_date' END,
+      CASE WHEN v_owner_email IS NOT NULL AND NOT regexp_matches(v_owner_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'owner_email' END
+    ) AS update_error_fields
+  FROM validated
 )
 """
 

@@ -209,6 +209,16 @@ class DriverModel:
     def activity(self) -> DataFrame:
         return self.read("events", ["user_id", "ts"])
 
+    @cached_property
+    def incoming_comments(self) -> DataFrame:
+        """Comments posted to jobs: some parents do not exist, turn 3 is blank."""
+        conv = self.read("conversations", ["conv_id", "turn", "text"])
+        return conv.select(
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("comment_seq"),
+            (F.col("conv_id") * 211 + F.col("turn")).alias("job_id"),
+            F.when(F.col("turn") == 3, F.lit("   ")).otherwise(F.col("text")).alias("comment"),
+        )
+
     @cached_property
     def incoming(self) -> DataFrame:
         """Form-like text records (one per order) with dirty values by rule."""
