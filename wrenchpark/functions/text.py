@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Unicode-aware trim: JS String.prototype.trim strips all Unicode white space and
-# the BOM, while Spark's trim strips only the ASCII blank.
-_UTRIM = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+# --- Fixed values: the characters String.prototype.trim removes (ECMAScript
+# WhiteSpace and LineTerminator: tab, VT, FF, space, NBSP, BOM, the Zs space
+# separators, LF, CR, LS, PS).  Spark's plain trim removes only the blank. ---
+JS_WHITESPACE = ("\u0009\u000b\u000c\u0020\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u000a\u000d\u2028\u2029")
+# --- end of fixed values ---
 
 
 def _c(c: ColumnOrName) -> Column:
@@ -17,7 +20,8 @@ def _c(c: ColumnOrName) -> Column:
 
 
 def utrim(c: ColumnOrName) -> Column:
-    return F.regexp_replace(_c(c), _UTRIM, "")
+    """Trim with JavaScript's white-space set (a character-set trim, no regex)."""
+    return F.trim(_c(c), F.lit(JS_WHITESPACE))
 
 
 def trim_to_null(c: ColumnOrName) -> Column:

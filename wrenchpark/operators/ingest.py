@@ -10,13 +10,14 @@ one of the two.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.parse import decimal_text, int_or_null, iso_date_or_null, is_email, js_number
-from ..functions.text import clamp, is_non_empty, preview, trim_to_null
+from ..functions.parse import EMAIL_RE, ISO_DATE_RE, decimal_text
+from ..functions.text import preview, trim_to_null, utrim
 from ..session import checkpoint_dir
 from .dims import Dim, as_dim
 
@@ -39,81 +40,106 @@ def _raw(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def _net_value(raw: Column) -> Column:
-    """Amount of the form text: empty is NULL, blank is 0 (as Number(' ')),
-    otherwise the decimal of the text or NULL when it is not a number."""
-    t = decimal_text(raw)
-    return (F.when(raw.isNull() | (raw == ""), F.lit(None).cast("decimal(12,2)"))
-             .when(t == "", F.lit(0).cast("decimal(12,2)"))
-             .when(js_number(t).isNotNull(), t.try_cast("decimal(12,2)")))
+ID_FIELDS = ["location_id", "type_id", "status_id", "priority_id"]
+TEXT_FIELDS = ["created_by_name", "created_by_email", "provider", "purchase_order", "requested_by",
+               "notes", "owner_name", "owner_email", "repair_date", "due_date"]
+
+
+INTEGRAL_RE = r"^([+-]?\d+)(?:\.0*)?$"
+DECIMAL_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def validate(records: DataFrame, mode: str = "create") -> DataFrame:
     """Check form records and type their values.
 
-    Adds ``errors`` (array of (field, message), empty when valid) and the
-    typed job columns.  ``mode='update'`` also requires a status.
+    Adds ``errors`` (array of failing field names, empty when valid; see
+    :func:`error_messages` for the texts) and the typed job columns.
+    ``mode='update'`` also requires a status.
+
+    Every parsed value is one ``regexp_extract`` + ``try_cast`` of the trimmed
+    text (no match gives '' and ``try_cast('')`` is NULL), so each text is
+    read once even after Catalyst inlines the projections into a filter.
+    Numbers follow JavaScript ``Number()`` on decimal text: an id is a whole
+    number (``'7.0'`` counts), an amount may use a decimal comma.
     """
-    r = lambda n: _raw(records, n)
-    desc = clamp(F.coalesce(r("description"), F.lit("")), S.DESCRIPTION_MAX)
-    loc = int_or_null(r("location_id"))
-    typ = int_or_null(r("type_id"))
-    st = int_or_null(r("status_id"))
-    net = _net_value(r("net_value"))
-    c_mail = trim_to_null(r("created_by_email"))
-    o_mail = trim_to_null(r("owner_email"))
-    rep = trim_to_null(r("repair_date"))
-    due = trim_to_null(r("due_date"))
-    prio = int_or_null(r("priority_id"))
+    raw = {n: (F.col(n) if n in records.columns else F.lit(None).cast("string"))
+           for n in ["description", "net_value", *ID_FIELDS, *TEXT_FIELDS]}
+    keep = [c for c in records.columns if c not in raw]
+    t = {c: utrim(raw[c]) for c in [*ID_FIELDS, *TEXT_FIELDS]}
+    desc_t = utrim(F.coalesce(raw["description"], F.lit("")))
+
+    def whole(c: str) -> Column:
+        return F.regexp_extract(t[c], INTEGRAL_RE, 1).try_cast("int")
+
+    def text_or_null(c: str) -> Column:
+        return F.when(F.length(t[c]) > 0, t[c])
+
+    net_raw = raw["net_value"]
+    net_t = decimal_text(net_raw)
+    typed = {
+        "description": F.when(F.length(desc_t) > 0, F.substring(desc_t, 1, S.DESCRIPTION_MAX))
+                        .otherwise(F.coalesce(raw["description"], F.lit(""))),
+        "location_id": whole("location_id"),
+        "type_id": whole("type_id"),
+        "status_id": whole("status_id"),
+        "net_value": (F.when(net_raw.isNull() | (net_raw == ""), F.lit(None).cast("decimal(12,2)"))
+                       .when(net_t == "", F.lit(0).cast("decimal(12,2)"))
+                       .otherwise(F.regexp_extract(net_t, DECIMAL_RE, 0).try_cast("decimal(12,2)"))),
+        **{c: text_or_null(c) for c in ("created_by_name", "created_by_email", "provider", "purchase_order",
+                                        "requested_by", "notes", "owner_name", "owner_email")},
+        "repair_date": F.regexp_extract(t["repair_date"], ISO_DATE_RE, 0).try_cast("date"),
+        "priority_id": F.nullif(whole("priority_id"), F.lit(0)),    # empty or 0 is "no priority"
+        "due_date": F.regexp_extract(t["due_date"], ISO_DATE_RE, 0).try_cast("date"),
+    }
+    flags = {
+        "__desc_empty": F.length(desc_t) == 0,
+        "__net_given": F.coalesce(net_raw != "", F.lit(False)),
+        "__rep_given": F.coalesce(F.length(t["repair_date"]) > 0, F.lit(False)),
+        "__due_given": F.coalesce(F.length(t["due_date"]) > 0, F.lit(False)),
+        "__mail_c_ok": F.coalesce(t["created_by_email"].rlike(EMAIL_RE), F.lit(True)),
+        "__mail_o_ok": F.coalesce(t["owner_email"].rlike(EMAIL_RE), F.lit(True)),
+    }
+    staged = records.select(*keep, *[v.alias(k) for k, v in typed.items()],
+                            *[v.alias(k) for k, v in flags.items()])
+
+    bads: list[Column] = []
 
     def err(field: str, bad: Column) -> Column:
-        return F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(MESSAGES[field]).alias("message")))
+        bads.append(F.coalesce(bad, F.lit(False)))
+        return F.when(bad, F.lit(field))
 
     checks = [
-        err("description", ~is_non_empty(desc)),
-        err("location_id", F.coalesce(loc, F.lit(0)) == 0),
-        err("type_id", F.coalesce(typ, F.lit(0)) == 0),
-        err("net_value", F.coalesce(r("net_value") != "", F.lit(False)) & net.isNull()),
-        err("created_by_email", c_mail.isNotNull() & ~is_email(c_mail)),
-        err("repair_date", rep.isNotNull() & iso_date_or_null(rep).isNull()),
-        err("due_date", due.isNotNull() & iso_date_or_null(due).isNull()),
-        err("owner_email", o_mail.isNotNull() & ~is_email(o_mail)),
+        err("description", F.col("__desc_empty")),
+        err("location_id", F.coalesce(F.col("location_id"), F.lit(0)) == 0),
+        err("type_id", F.coalesce(F.col("type_id"), F.lit(0)) == 0),
+        err("net_value", F.col("__net_given") & F.col("net_value").isNull()),
+        err("created_by_email", F.col("created_by_email").isNotNull() & ~F.col("__mail_c_ok")),
+        err("repair_date", F.col("__rep_given") & F.col("repair_date").isNull()),
+        err("due_date", F.col("__due_given") & F.col("due_date").isNull()),
+        err("owner_email", F.col("owner_email").isNotNull() & ~F.col("__mail_o_ok")),
     ]
     if mode == "update":
-        checks.insert(3, err("status_id", F.coalesce(st, F.lit(0)) == 0))
-    typed = {
-        "description": desc,
-        "location_id": loc,
-        "type_id": typ,
-        "status_id": st,
-        "net_value": net,
-        "created_by_name": trim_to_null(r("created_by_name")),
-        "created_by_email": c_mail,
-        "provider": trim_to_null(r("provider")),
-        "purchase_order": trim_to_null(r("purchase_order")),
-        "requested_by": trim_to_null(r("requested_by")),
-        "notes": trim_to_null(r("notes")),
-        "repair_date": iso_date_or_null(rep),
-        "priority_id": F.when(prio != 0, prio),    # empty or 0 is "no priority"
-        "due_date": iso_date_or_null(due),
-        "owner_name": trim_to_null(r("owner_name")),
-        "owner_email": o_mail,
-    }
-    keep = [c for c in records.columns if c not in typed]
-    return records.select(*keep, *[v.alias(k) for k, v in typed.items()],
-                          F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("errors"))
+        checks.insert(3, err("status_id", F.coalesce(F.col("status_id"), F.lit(0)) == 0))
+    return staged.select(*keep, *typed.keys(), F.array_compact(F.array(*checks)).alias("errors"),
+                         (~reduce(lambda a, b: a | b, bads)).alias("valid"))
 
 
 def accepted(validated: DataFrame) -> DataFrame:
-    return validated.where(F.size("errors") == 0).drop("errors")
+    return validated.where(F.col("valid")).drop("errors", "valid")
 
 
 def rejected(validated: DataFrame) -> DataFrame:
-    return validated.where(F.size("errors") > 0)
+    return validated.where(~F.col("valid")).drop("valid")
 
 
 def error_fields(col: str = "errors") -> Column:
-    return F.array_join(F.transform(col, lambda e: e["field"]), ",")
+    return F.array_join(F.col(col), ",")
+
+
+def error_messages(col: str = "errors") -> Column:
+    """Map of failing field to its message (for rejected rows only)."""
+    msgs = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    return F.map_from_arrays(F.col(col), F.transform(col, lambda f: msgs[f]))
 
 
 def lookup_id(names: DataFrame, name_col: str, catalog: Dim | DataFrame, out: str = "id") -> DataFrame:

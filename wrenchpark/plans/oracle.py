@@ -118,12 +118,12 @@ WITH statuses AS (
 ), validated AS (
   SELECT *,
     CASE WHEN length(d_t) > 0 THEN substr(d_t, 1, 4000) ELSE coalesce(description, '') END AS v_description,
-    CASE WHEN loc_d = floor(loc_d) AND loc_d BETWEEN -2147483648 AND 2147483647 THEN CAST(loc_d AS INTEGER) END AS v_location_id,
-    CASE WHEN typ_d = floor(typ_d) AND typ_d BETWEEN -2147483648 AND 2147483647 THEN CAST(typ_d AS INTEGER) END AS v_type_id,
-    CASE WHEN st_d = floor(st_d) AND st_d BETWEEN -2147483648 AND 2147483647 THEN CAST(st_d AS INTEGER) END AS v_status_id,
-    CASE WHEN pr_d = floor(pr_d) AND pr_d BETWEEN -2147483648 AND 2147483647 AND pr_d <> 0 THEN CAST(pr_d AS INTEGER) END AS v_priority_id,
+    TRY_CAST(regexp_extract(trim(location_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER) AS v_location_id,
+    TRY_CAST(regexp_extract(trim(type_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER) AS v_type_id,
+    TRY_CAST(regexp_extract(trim(status_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER) AS v_status_id,
+    nullif(TRY_CAST(regexp_extract(trim(priority_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER), 0) AS v_priority_id,
     CASE WHEN net_value IS NULL OR net_value = '' THEN NULL WHEN net_t = '' THEN CAST(0 AS DECIMAL(12,2))
-         WHEN regexp_matches(net_t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(net_t AS DECIMAL(12,2)) END AS v_net_value,
+         ELSE TRY_CAST(regexp_extract(net_t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(12,2)) END AS v_net_value,
     CASE WHEN length(cm_t) > 0 THEN cm_t END AS v_created_by_email,
     CASE WHEN length(om_t) > 0 THEN om_t END AS v_owner_email,
     CASE WHEN regexp_matches(rep_t, '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(rep_t AS DATE) END AS v_repair_date,
