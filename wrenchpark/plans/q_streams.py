@@ -1 +1,66 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: sessions, login lockouts, daily audit counts (batch
+forms; the stream forms are exercised against them in the tests)."""
+
+from __future__ import annotations
+
+from ..sources.testdata import LOCK_DURATION, LOCK_MAX_FAILURES, SESSION_GAP, DriverModel
+from ..streaming import audit_feed, lockouts, sessions
+from .oracle import q
+from .registry import register
+
+
+@register("sessions", "Z1", q(f"""
+, e AS (
+  SELECT user_id, ts,
+         CASE WHEN LAG(ts) OVER w IS NULL OR ts > LAG(ts) OVER w + INTERVAL '{SESSION_GAP}' THEN 1 ELSE 0 END AS s
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), g AS (
+  SELECT user_id, ts, SUM(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e
+)
+SELECT user_id, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS n_events
+FROM g GROUP BY user_id, sid
+"""))
+def sessions_q(m: DriverModel):
+    """Activity sessions of each user (idle gap of 12 hours on this data)."""
+    return sessions.sessions(m.activity, "user_id", "ts", SESSION_GAP).drop("session_no")
+
+
+@register("lockouts", "Z2", q(f"""
+, a AS (
+  SELECT key, ts, ok, seq, ROW_NUMBER() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM login_attempts
+), walk AS (
+  SELECT key, rn, seq, false AS refused,
+         (NOT ok AND 1 >= {LOCK_MAX_FAILURES}) AS fires_lock,
+         CASE WHEN ok THEN 0 WHEN 1 >= {LOCK_MAX_FAILURES} THEN 0 ELSE 1 END AS cnt,
+         CASE WHEN NOT ok AND 1 >= {LOCK_MAX_FAILURES} THEN ts + INTERVAL '{LOCK_DURATION}' END AS lock_until
+  FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.key, a.rn, a.seq,
+         (w.lock_until IS NOT NULL AND a.ts < w.lock_until) AS refused,
+         (NOT (w.lock_until IS NOT NULL AND a.ts < w.lock_until) AND NOT a.ok AND w.cnt + 1 >= {LOCK_MAX_FAILURES}) AS fires_lock,
+         CASE WHEN w.lock_until IS NOT NULL AND a.ts < w.lock_until THEN w.cnt
+              WHEN a.ok THEN 0
+              WHEN w.cnt + 1 >= {LOCK_MAX_FAILURES} THEN 0 ELSE w.cnt + 1 END AS cnt,
+         CASE WHEN w.lock_until IS NOT NULL AND a.ts < w.lock_until THEN w.lock_until
+              WHEN a.ok THEN NULL
+              WHEN w.cnt + 1 >= {LOCK_MAX_FAILURES} THEN a.ts + INTERVAL '{LOCK_DURATION}'
+              ELSE w.lock_until END AS lock_until
+  FROM walk w JOIN a ON a.key = w.key AND a.rn = w.rn + 1
+)
+SELECT key, seq, refused, fires_lock, CASE WHEN refused OR fires_lock THEN lock_until END AS locked_until
+FROM walk
+""").replace("\nWITH statuses AS (", "\nWITH RECURSIVE statuses AS (", 1))
+def lockouts_q(m: DriverModel):
+    """Login attempts (error = failure, purchase = success) with the lockout
+    decision: 3 failures lock a key for 12 hours on this data."""
+    d = lockouts.lockout_decisions(m.login_attempts, "key", "ts", "ok", "seq",
+                                   max_failures=LOCK_MAX_FAILURES, lock=LOCK_DURATION)
+    return d.select("key", "seq", "refused", "fires_lock", "locked_until")
+
+
+@register("audit_daily", "Z3", q("""
+SELECT CAST(ts AS DATE) AS day, event_type AS action, COUNT(*) AS n FROM events GROUP BY 1, 2
+"""))
+def audit_daily(m: DriverModel):
+    """Audit rows per action and day."""
+    return audit_feed.daily_counts(m.audit)
