@@ -38,7 +38,7 @@ def write_csv_text(rows: DataFrame, path: str, sep: str = ";", mode: str = "over
     input is sorted, because a sorted DataFrame is range partitioned."""
     cols = columns or [c for c in EXPORT_COLUMNS if c in rows.columns]
     spark = rows.sparkSession
-    header = spark.createDataFrame([(0, BOM + sep.join(cols))], "part int, value string")
+    header = spark.createDataFrame([(0, BOM + sep.join(cols))], "part int, value string").coalesce(1)
     body = rows.select(F.lit(1).alias("part"), F.concat_ws(sep, *[csv_field(F.col(c)) for c in cols]).alias("value"))
     # The header is a one-row part placed first; the body keeps its partitions.
     header.select("value").unionAll(body.select("value")).write.mode(mode).text(path)

@@ -21,7 +21,7 @@ def daily_counts_stream(audit: DataFrame, ts: str = "logged_at", action: str = "
     """Streaming daily counts (tumbling one-day windows, append mode).  Rows
     arriving later than the watermark are dropped; a replayed id inside the
     watermark is counted once."""
-    e = audit.select(F.col(id_col), F.col(action).alias("action"), F.col(ts).cast("timestamp").alias("__ts"))
+    e = audit.select(F.col(id_col), F.col(action).alias("action"), F.col(ts).cast("timestamp_ltz").alias("__ts"))
     e = e.withWatermark("__ts", watermark).dropDuplicatesWithinWatermark([id_col])
     agg = e.groupBy(F.window("__ts", "1 day").alias("w"), "action").agg(F.count(F.lit(1)).alias("n"))
     return agg.select(F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("day"), "action", "n")

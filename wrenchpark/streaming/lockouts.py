@@ -180,7 +180,7 @@ def lockouts_stream(attempts: DataFrame, max_failures: int = 5, lock_seconds: in
     failure count and lock end and is dropped after an idle period."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    s = attempts.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok", "seq").withWatermark("ts", watermark)
+    s = attempts.select("key", F.col("ts").cast("timestamp_ltz").alias("ts"), "ok", "seq").withWatermark("ts", watermark)
     return s.groupBy("key").applyInPandasWithState(
         _fold_fn(max_failures, lock_seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)

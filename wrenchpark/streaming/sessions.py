@@ -58,7 +58,7 @@ def sessions_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", gap
                     watermark: str = "1 hour") -> DataFrame:
     """Streaming sessions.  ``withWatermark`` needs TIMESTAMP, so the NTZ time
     is read as UTC and the window bounds are turned back into NTZ."""
-    e = events.select(key, F.col(ts).cast("timestamp").alias("__ts"))
+    e = events.select(key, F.col(ts).cast("timestamp_ltz").alias("__ts"))
     agg = (e.withWatermark("__ts", watermark)
            .groupBy(F.session_window("__ts", gap).alias("w"), key)
            .agg(F.min("__ts").alias("session_start"), F.max("__ts").alias("session_end"),
