@@ -64,9 +64,31 @@ class DriverModel:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = ensure_conf(spark)
         self.sf_dir = sf_dir
+        self._spread_cache: dict[str, tuple[bool, int]] = {}
+
+    # Tables smaller than this many bytes are left as they are; larger ones
+    # read as fewer splits than the cluster has cores are spread round-robin.
+    SPREAD_MIN_BYTES = 1 << 20
 
     def read(self, name: str, columns=None) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name, columns)
+        df = read_table(self.spark, self.sf_dir, name, columns)
+        return self._spread(name, df)
+
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """The driver writes each table as one Parquet row group, so a scan is
+        one task however large the table.  When a table is big enough to
+        matter and yields fewer splits than the cluster's parallelism, it is
+        spread round-robin so row-wise work uses every core.  On real inputs
+        (thousands of splits) this is a no-op."""
+        if name not in self._spread_cache:
+            import os
+            path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
+            size = os.path.getsize(path) if os.path.exists(path) else 0
+            par = self.spark.sparkContext.defaultParallelism
+            self._spread_cache[name] = (size >= self.SPREAD_MIN_BYTES
+                                        and df.rdd.getNumPartitions() < par, par)
+        need, par = self._spread_cache[name]
+        return df.repartition(par) if need else df
 
     # ----- catalogs -----
     @cached_property
