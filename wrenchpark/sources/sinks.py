@@ -59,3 +59,15 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_jobs_table(jobs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store the job table for fast filtered reads: one folder per month of
+    creation (partition pruning for date ranges) and rows sorted by creation
+    time inside each file (Parquet min/max statistics then skip row groups).
+    Rows are clustered by month before writing, so each task writes few files."""
+    month = F.date_format("created_at", "yyyy-MM")
+    (jobs.withColumn("created_month", month)
+         .repartitionByRange("created_month", "created_at")
+         .sortWithinPartitions("created_month", "created_at")
+         .write.mode(mode).partitionBy("created_month").parquet(path))

@@ -278,6 +278,18 @@ class DriverModel:
         )
 
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temp views of the work-order tables and catalogs, for SQL users:
+        ``jobs``, ``statuses``, ``types``, ``locations``, ``priorities``,
+        ``attachments``, ``comments``, ``audit``."""
+        views = {"jobs": self.jobs, "attachments": self.attachments, "comments": self.comments,
+                 "audit": self.audit, "statuses": self.statuses.df, "types": self.types.df,
+                 "locations": self.locations.df, "priorities": self.priorities.df}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]
+
+
 def model(spark: SparkSession, sf_dir: str) -> DriverModel:
     return DriverModel(spark, sf_dir)
 
