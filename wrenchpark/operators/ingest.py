@@ -132,6 +132,13 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(~F.col("valid")).drop("valid")
 
 
+def write_validated(records: DataFrame, path: str, mode: str = "create", write_mode: str = "errorifexists") -> None:
+    """Validate once and write both outcomes in one pass: ``valid=true`` and
+    ``valid=false`` partitions under ``path``.  Readers of either side then
+    prune to their partition instead of validating the batch again."""
+    (validate(records, mode).write.mode(write_mode).partitionBy("valid").parquet(path))
+
+
 def error_fields(col: str = "errors") -> Column:
     return F.array_join(F.col(col), ",")
 

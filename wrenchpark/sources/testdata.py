@@ -58,6 +58,11 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
+# Row counts of derived catalogs, by (input folder, catalog).  The driver's
+# tables are immutable inputs, so a count taken once holds for the session.
+_CATALOG_ROWS: dict[tuple[str, str], int] = {}
+
+
 class DriverModel:
     """Lazy work-order tables over ``sf_dir``."""
 
@@ -102,8 +107,8 @@ class DriverModel:
     @cached_property
     def locations(self) -> Dim:
         nation = self.read("nation", ["n_nationkey", "n_name"])
-        return Dim(nation.select(F.col("n_nationkey").cast("int").alias("id"),
-                                 F.col("n_name").alias("name")))
+        return self._counted("locations", nation.select(F.col("n_nationkey").cast("int").alias("id"),
+                                                        F.col("n_name").alias("name")))
 
     @cached_property
     def types(self) -> Dim:
@@ -112,7 +117,13 @@ class DriverModel:
         # (a catalog) reach the numbering window.
         names = self.read("customer", ["c_mktsegment"]).select(F.col("c_mktsegment").alias("name")).distinct()
         numbered = names.select(F.dense_rank().over(Window.orderBy("name")).cast("int").alias("id"), "name")
-        return Dim(numbered)
+        return self._counted("types", numbered)
+
+    def _counted(self, name: str, df: DataFrame) -> Dim:
+        key = (self.sf_dir, name)
+        if key not in _CATALOG_ROWS:
+            _CATALOG_ROWS[key] = df.count()
+        return Dim(df, _CATALOG_ROWS[key])
 
     def catalogs(self) -> dict[str, Dim]:
         return {"status": self.statuses, "type": self.types,

@@ -91,16 +91,17 @@ def lockout_decisions(attempts: DataFrame, key: str = "key", ts: str = "ts", ok:
     jump = ep.select(key, "idx", nxt.alias("nxt"), "__n").checkpoint()
 
     # 3. chain from idx 0 by pointer doubling
-    chain = jump.where(F.col("idx") == 0).select(key, "idx")
+    chain = jump.where(F.col("idx") == 0).select(key, "idx").checkpoint()
+    size = chain.count()
     J = jump.select(key, "idx", "nxt", "__n")
     for _ in range(max_rounds):
         reached = (chain.join(J, [key, "idx"]).where(F.col("nxt") < F.col("__n"))
                    .select(key, F.col("nxt").alias("idx")))
-        grown = chain.unionByName(reached).distinct().checkpoint()
-        if grown.count() == chain.count():
-            chain = grown
+        chain = chain.unionByName(reached).distinct().checkpoint()
+        grown = chain.count()
+        if grown == size:
             break
-        chain = grown
+        size = grown
         J2 = J.alias("x").join(J.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}"))
                                & (F.col("x.nxt") == F.col("y.idx")), "left")
         J = J2.select(F.col(f"x.{key}").alias(key), F.col("x.idx").alias("idx"),
