@@ -125,3 +125,21 @@ def test_top_providers_ties(spark):
     assert got == [("ACME", 2, Decimal("15.00")), ("Alfa", 1, Decimal("15.00")), ("Beta", 1, Decimal("15.00"))]
     allnull = spark.createDataFrame([(None, None), ("", None)], "provider string, net_value decimal(12,2)")
     assert [(r.provider, r.total, r.amount) for r in R.top_providers(allnull).collect()] == [("—", 2, Decimal("0.00"))]
+
+
+def test_top_providers_case_insensitive(spark):
+    rows = [("ACME", Decimal("1.00")), ("acme ", Decimal("2.00")), ("Beta", Decimal("1.00"))]
+    df = spark.createDataFrame(rows, "provider string, net_value decimal(12,2)")
+    binary = sorted((r.provider, r.total) for r in R.top_providers(df).collect())
+    assert binary == [("ACME", 1), ("Beta", 1), ("acme", 1)]
+    ci = sorted((r.provider.lower(), r.total) for r in R.top_providers(df, collation="UNICODE_CI").collect())
+    assert ci == [("acme", 2), ("beta", 1)]
+
+
+def test_children_of(spark):
+    from wrenchpark.operators.listing import children_of
+    from wrenchpark.sources.testdata import DriverModel
+    m = DriverModel(spark, "/root/testdata/sf0.001")
+    ids = [r.id for r in children_of(m.comments, 3).collect()]
+    assert ids == sorted(ids, reverse=True) and len(ids) > 0
+    assert len(ids) == m.read("conversations").where("conv_id = 3").count()

@@ -212,20 +212,32 @@ def comments_split(incoming: DataFrame, jobs: DataFrame) -> tuple[DataFrame, Dat
     return acc, rej_text.unionByName(rej_parent)
 
 
+FK_COLUMNS = (("status_id", "status"), ("type_id", "type"), ("location_id", "location"),
+              ("priority_id", "priority"))
+
+
+def _with_known(rows: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
+    """Rows with a ``__k_<catalog>`` column: the catalog id when the row's id
+    exists there, NULL otherwise (left joins to size-checked catalogs)."""
+    df = rows
+    for col, cat in FK_COLUMNS:
+        known = catalogs[cat].for_join().select(F.col("id").alias(f"__k_{cat}"))
+        df = df.join(known, df[col] == known[f"__k_{cat}"], "left")
+    return df
+
+
+def _fk_breaks() -> list[Column]:
+    return [F.when(F.col(col).isNotNull() & F.col(f"__k_{cat}").isNull(),
+                   F.struct(F.lit(cat).alias("catalog"), F.col(col).cast("int").alias("value")))
+            for col, cat in FK_COLUMNS]
+
+
 def fk_violations(rows: DataFrame, catalogs: Mapping[str, Dim], id_col: str = "id") -> DataFrame:
-    """Rows whose catalog ids do not exist: (id, fk, value).  NULL priority is
-    allowed; the other three are required."""
-    parts = []
-    for col, cat in (("status_id", "status"), ("type_id", "type"), ("location_id", "location"),
-                     ("priority_id", "priority")):
-        known = catalogs[cat].for_join().select(F.col("id").alias("__k"))
-        cand = rows.where(F.col(col).isNotNull()).select(F.col(id_col).alias("id"), F.col(col).alias("value"))
-        bad = cand.join(known, cand.value == known.__k, "left_anti")
-        parts.append(bad.select("id", F.lit(f"fk:{cat}").alias("fk"), F.col("value").cast("int")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows whose catalog ids do not exist: (id, fk, value), from one pass
+    over ``rows``.  NULL priority is allowed; the other three are required."""
+    df = _with_known(rows.select(F.col(id_col).alias("id"), *[c for c, _ in FK_COLUMNS]), catalogs)
+    out = df.select("id", F.explode(F.array_compact(F.array(*_fk_breaks()))).alias("v"))
+    return out.select("id", F.concat(F.lit("fk:"), F.col("v.catalog")).alias("fk"), F.col("v.value").alias("value"))
 
 
 def seed_missing(existing: DataFrame, seed: list[tuple[int, str]], only_if_empty: bool,
@@ -248,30 +260,31 @@ def seed_missing(existing: DataFrame, seed: list[tuple[int, str]], only_if_empty
 def contract_violations(jobs: DataFrame, catalogs: Mapping[str, Dim], statuses: Dim | None = None) -> DataFrame:
     """One table of contract breaches of the job table: (rule, column, id).
 
-    NOT NULL of required columns, text longer than its limit, duplicate id,
-    foreign keys, and closed status without a closing time (K4).  A missing
-    required column is not a row: it raises, like a missing migration.
+    NOT NULL of required columns, text longer than its limit, foreign keys and
+    closed status without a closing time (K4) come from one pass over the
+    table (one array of breaches per row, exploded); duplicate ids need one
+    aggregate.  A missing required column is not a row: it raises, like a
+    missing migration.
     """
     missing = [c for c in S.REQUIRED_COLUMNS if c not in jobs.columns]
     if missing:
         raise ValueError(f"migration required: missing columns {missing}")
-    parts = []
-    for c in ("created_at", "description", "location_id", "type_id", "status_id"):
-        parts.append(jobs.where(F.col(c).isNull()).select(F.lit("not_null").alias("rule"), F.lit(c).alias("column"), "id"))
-    for c, n in S.TEXT_LIMITS.items():
-        if c in jobs.columns:
-            parts.append(jobs.where(F.length(c) > n).select(F.lit("max_length").alias("rule"), F.lit(c).alias("column"), "id"))
-    dup = jobs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    parts.append(dup.select(F.lit("unique").alias("rule"), F.lit("id").alias("column"), "id"))
-    fk = fk_violations(jobs, catalogs)
-    parts.append(fk.select(F.lit("foreign_key").alias("rule"), F.regexp_replace("fk", "^fk:", "").alias("column"), "id"))
-    st = as_dim(statuses or catalogs["status"]).for_join().select(F.col("id").alias("__sid"), F.col("name").alias("__sn"))
-    closed_no_time = (jobs.where(F.col("closed_at").isNull())
-                      .join(st, F.col("status_id") == F.col("__sid"))
-                      .where(F.lower("__sn") == S.CLOSED_STATUS)
-                      .select(F.lit("closed_without_time").alias("rule"), F.lit("closed_at").alias("column"), "id"))
-    parts.append(closed_no_time)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    st = as_dim(statuses or catalogs["status"]).for_join().select(
+        F.col("id").alias("__sid"), (F.lower("name") == F.lit(S.CLOSED_STATUS)).alias("__closed_status"))
+    df = _with_known(jobs, catalogs)
+    df = df.join(st, df.status_id == st.__sid, "left")
+
+    def brk(rule: str, column: str, cond: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column")))
+
+    checks = [brk("not_null", c, F.col(c).isNull())
+              for c in ("created_at", "description", "location_id", "type_id", "status_id")]
+    checks += [brk("max_length", c, F.length(c) > n) for c, n in S.TEXT_LIMITS.items() if c in jobs.columns]
+    checks += [brk("foreign_key", cat, F.col(col).isNotNull() & F.col(f"__k_{cat}").isNull()) for col, cat in FK_COLUMNS]
+    checks.append(brk("closed_without_time", "closed_at",
+                      F.coalesce(F.col("__closed_status"), F.lit(False)) & F.col("closed_at").isNull()))
+    rows = (df.select("id", F.explode(F.array_compact(F.array(*checks))).alias("b"))
+            .select(F.col("b.rule").alias("rule"), F.col("b.column").alias("column"), "id"))
+    dup = (jobs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+           .select(F.lit("unique").alias("rule"), F.lit("id").alias("column"), "id"))
+    return rows.unionByName(dup)

@@ -143,3 +143,12 @@ def attachment_summary(jobs: DataFrame, attachments: DataFrame) -> DataFrame:
     )
     out = jobs.select("id").join(agg, F.col("id") == agg.job_id, "left").drop("job_id")
     return out.fillna(0, subset=["n_attachments", *[f"n_{g}" for g in S.ATTACHMENT_GROUPS]])
+
+
+def children_of(children: DataFrame, job_id, fk: str = "job_id") -> DataFrame:
+    """Attachments, comments or audit rows of one job, newest (highest id)
+    first; the filter on the key reaches the scan."""
+    n = to_int_or_none(job_id)
+    if n is None:
+        raise ValueError(f"invalid id: {job_id!r}")
+    return children.where(F.col(fk) == F.lit(n)).orderBy(F.col("id").desc())

@@ -94,10 +94,15 @@ def breakdown_all(filtered: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame
     return res.where(F.col("name").isNotNull())
 
 
-def top_providers(filtered: DataFrame, k: int = TOP_PROVIDERS) -> DataFrame:
+def top_providers(filtered: DataFrame, k: int = TOP_PROVIDERS, collation: str | None = None) -> DataFrame:
     """Provider totals: trimmed name (blank or NULL as the dash), count and sum
-    of net value (NULL as 0); top ``k`` by amount, count, then name."""
+    of net value (NULL as 0); top ``k`` by amount, count, then name.
+
+    Grouping is binary by default; ``collation='UNICODE_CI'`` groups names
+    that differ only in case, as a case-insensitive database would."""
     key = provider_key("provider", S.NO_PROVIDER_LABEL)
+    if collation:
+        key = F.collate(key, collation)
     agg = filtered.groupBy(key.alias("provider")).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.coalesce(F.col("net_value"), F.lit(0).cast("decimal(12,2)"))).cast("decimal(38,2)")
