@@ -97,3 +97,22 @@ def test_assign_ids_dense_and_ordered(spark):
     out = I.assign_ids(df, ["rid"], base=100)
     rows = sorted((r.rid, r.id) for r in out.collect())
     assert [i for _, i in rows] == list(range(101, 5101))
+
+
+def test_audit_details(spark):
+    jobs = spark.createDataFrame([(5, 2, 7, None, dt.date(2024, 6, 1), T0)],
+                                 "id long, type_id int, location_id int, priority_id int, due_date date, "
+                                 "created_at timestamp_ntz")
+    assert AU.audit_created(jobs).first().detail == \
+        '{"tipo_id":2,"ubicacion_id":7,"prioridad_id":null,"fecha_objetivo":"2024-06-01"}'
+    files = spark.createDataFrame([(5,), (5,), (6,)], "job_id long")
+    assert sorted((r.job_id, r.detail) for r in AU.audit_uploaded(files).collect()) == \
+        [(5, '{"count":2}'), (6, '{"count":1}')]
+    upd = spark.createDataFrame([(5, "x" * 250)], "target_id long, description string")
+    assert len(AU.audit_edited(upd).first().detail) == len('{"descripcion":""}') + 200
+    gone = spark.createDataFrame([(11, 5)], "id long, job_id long")
+    assert AU.audit_deleted(gone, "comment").first().detail == '{"comentario_id":11}'
+    assert AU.audit_deleted(gone, "attachment").first().action == "ADJUNTO_ELIMINADO"
+    req = spark.createDataFrame([(5, "1.2.3.4, 5.6.7.8", "ua" * 200)], "job_id long, xff string, ua string")
+    r = AU.with_request(req, forwarded_for="xff", user_agent="ua", actor_name="Ana").first()
+    assert (r.ip, len(r.user_agent), r.actor_name) == ("1.2.3.4", 250, "Ana")

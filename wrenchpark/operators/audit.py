@@ -52,3 +52,34 @@ def parsed(audit: DataFrame) -> DataFrame:
     return audit.select("id", "job_id", "action", "detail", "actor_name", "actor_email", "ip", "user_agent",
                         fmt_ts("logged_at").alias("logged_at"),
                         F.try_parse_json("detail").alias("detail_json"))
+
+
+def audit_created(jobs: DataFrame) -> DataFrame:
+    """CREADO rows {tipo_id, ubicacion_id, prioridad_id, fecha_objetivo} of new jobs."""
+    return jobs.select(F.col("id").alias("job_id"), F.lit("CREADO").alias("action"),
+                       detail_json(F.col("type_id").alias("tipo_id"), F.col("location_id").alias("ubicacion_id"),
+                                   F.col("priority_id").alias("prioridad_id"),
+                                   F.date_format("due_date", "yyyy-MM-dd").alias("fecha_objetivo")).alias("detail"),
+                       F.col("created_at").alias("logged_at"))
+
+
+def audit_uploaded(accepted_files: DataFrame, upload_col: str = "job_id") -> DataFrame:
+    """ADJUNTO_SUBIDO rows {count}: one per upload with at least one saved file."""
+    return (accepted_files.groupBy(upload_col).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col(upload_col).alias("job_id"), F.lit("ADJUNTO_SUBIDO").alias("action"),
+                    detail_json(F.col("n").alias("count")).alias("detail")))
+
+
+def audit_edited(updates: DataFrame, key: str = "target_id") -> DataFrame:
+    """EDITADO rows {descripcion: first 200 characters}."""
+    return updates.select(F.col(key).alias("job_id"), F.lit("EDITADO").alias("action"),
+                          detail_json(preview("description", S.PREVIEW_CHARS).alias("descripcion")).alias("detail"))
+
+
+def audit_deleted(deleted: DataFrame, what: str) -> DataFrame:
+    """COMENTARIO_ELIMINADO {comentario_id} or ADJUNTO_ELIMINADO {adjunto_id}
+    rows of deleted children (``deleted`` holds id and job_id)."""
+    action, field = {"comment": ("COMENTARIO_ELIMINADO", "comentario_id"),
+                     "attachment": ("ADJUNTO_ELIMINADO", "adjunto_id")}[what]
+    return deleted.select("job_id", F.lit(action).alias("action"),
+                          detail_json(F.col("id").alias(field)).alias("detail"))
