@@ -120,8 +120,12 @@ def validate(records: DataFrame, mode: str = "create") -> DataFrame:
     ]
     if mode == "update":
         checks.insert(3, err("status_id", F.coalesce(F.col("status_id"), F.lit(0)) == 0))
-    return staged.select(*keep, *typed.keys(), F.array_compact(F.array(*checks)).alias("errors"),
-                         (~reduce(lambda a, b: a | b, bads)).alias("valid"))
+    # The verdict leaves through a generator (one struct per row): filters on
+    # ``valid`` then stay above it instead of being pushed down with every
+    # parsing expression inlined, so each row is parsed once.
+    verdict = F.struct(*[F.col(c) for c in typed], F.array_compact(F.array(*checks)).alias("errors"),
+                       (~reduce(lambda a, b: a | b, bads)).alias("valid"))
+    return staged.select(*keep, F.inline(F.array(verdict)))
 
 
 def accepted(validated: DataFrame) -> DataFrame:

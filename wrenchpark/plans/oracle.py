@@ -100,7 +100,7 @@ WITH statuses AS (
          CASE WHEN o.o_orderkey % 4 = 0 THEN '' ELSE CAST(o.o_orderkey % 4 + 1 AS VARCHAR) END AS status_id,
          CASE WHEN o.o_orderkey % 8 = 0 THEN '12,5' WHEN o.o_orderkey % 8 = 1 THEN '1.234,5'
               WHEN o.o_orderkey % 8 = 2 THEN 'abc' WHEN o.o_orderkey % 8 = 3 THEN '1e3'
-              WHEN o.o_orderkey % 8 = 4 THEN '' ELSE printf('%.2f', o.o_totalprice) END AS net_value,
+              WHEN o.o_orderkey % 8 = 4 THEN '' ELSE CAST(CAST(o.o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END AS net_value,
          c.c_name AS created_by_name,
          CASE WHEN o.o_orderkey % 6 = 0 THEN 'a@b' WHEN o.o_orderkey % 6 = 1 THEN ' ana@example.cl '
               WHEN o.o_orderkey % 6 = 2 THEN 'bad @x.cl' END AS created_by_email,

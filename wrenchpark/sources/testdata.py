@@ -259,7 +259,7 @@ class DriverModel:
         c = self.read("customer", ["c_custkey", "c_name", "c_nationkey"])
         k = F.col("o_orderkey")
         iso = F.date_format("o_orderdate", "yyyy-MM-dd")
-        money = F.format_string("%.2f", F.col("o_totalprice"))
+        money = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
         j = o.join(c, o.o_custkey == c.c_custkey)
         return j.select(
             k.alias("record_id"),
