@@ -89,9 +89,12 @@ class DriverModel:
             import os
             path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
             size = os.path.getsize(path) if os.path.exists(path) else 0
-            par = self.spark.sparkContext.defaultParallelism
-            self._spread_cache[name] = (size >= self.SPREAD_MIN_BYTES
-                                        and df.rdd.getNumPartitions() < par, par)
+            try:
+                par = self.spark.sparkContext.defaultParallelism
+                need = size >= self.SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < par
+            except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
+                par, need = 0, False
+            self._spread_cache[name] = (need, par)
         need, par = self._spread_cache[name]
         return df.repartition(par) if need else df
 
