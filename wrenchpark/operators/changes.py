@@ -108,12 +108,9 @@ def status_history(jobs: DataFrame, changes: DataFrame, statuses: Dim,
     valid, _ = valid_status_changes(jobs, changes, statuses)
     b = bucket if bucket is not None else F.date_trunc("day", F.col("ts"))
     h = scan(valid, "job_id", ["ts", "seq"], b, previous=["status_id"])
-    first = h.where(F.col("prev_status_id").isNull())
-    rest = h.where(F.col("prev_status_id").isNotNull())
     cur = jobs.select(F.col("id").alias("job_id"), F.col("status_id").alias("__cur"))
-    first = first.join(cur, "job_id", "left").withColumn("prev_status_id", F.col("__cur")).drop("__cur")
-    h = first.unionByName(rest)
-    return h.select("job_id", "seq", "ts", F.col("prev_status_id").alias("from_status"),
+    h = h.join(cur, "job_id", "left")
+    return h.select("job_id", "seq", "ts", F.coalesce("prev_status_id", "__cur").alias("from_status"),
                     F.col("status_id").alias("to_status"), F.col("closes").alias("closed"))
 
 
