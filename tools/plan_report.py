@@ -68,8 +68,13 @@ def main() -> None:
         "single-split driver tables, broadcast exchanges, broadcast hash joins, sort-merge joins, partial",
         "aggregate functions, window operators, top-k operators, non-trivial pushed scan filters.",
         "",
-        "Single-partition exchanges come only from catalog-sized inputs: the type catalog numbering (distinct",
-        "segments) and, where present, global aggregates' final merge of one row per task.",
+        "Single-partition exchanges come only from catalog-sized inputs or from global aggregates' final merge",
+        "of one row per task.",
+        "",
+        "On the driver's tables `created_at` and the status, type and priority ids are computed from `orders`",
+        "columns, so date and id filters run right after the scan instead of inside it.  On a stored job table",
+        "(`sources/sinks.py: write_jobs_table`, partitioned by month) the same filters appear as PushedFilters",
+        "and PartitionFilters (`tests/test_plans.py`, `tests/test_streams.py::test_jobs_table_layout`).",
         "",
         "| Key | Items | Shuffles | Single | Spread | Broadcasts | BHJ | SMJ | Partial aggs | Windows | Top-k | Pushed filters |",
         "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |",

@@ -61,6 +61,8 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
 # Row counts of derived catalogs, by (input folder, catalog).  The driver's
 # tables are immutable inputs, so a count taken once holds for the session.
 _CATALOG_ROWS: dict[tuple[str, str], int] = {}
+_CATALOG_LOCAL: dict[tuple[str, str], list[tuple]] = {}
+LOCAL_CATALOG_MAX_ROWS = 10_000
 
 
 class DriverModel:
@@ -123,9 +125,17 @@ class DriverModel:
         return self._counted("types", numbered)
 
     def _counted(self, name: str, df: DataFrame) -> Dim:
+        """A derived catalog with its row count.  When the count is under the
+        local bound the few rows are kept as a local relation for the session
+        (what a broadcast ships anyway), so later queries do not derive the
+        catalog again."""
         key = (self.sf_dir, name)
         if key not in _CATALOG_ROWS:
             _CATALOG_ROWS[key] = df.count()
+            if _CATALOG_ROWS[key] <= LOCAL_CATALOG_MAX_ROWS:
+                _CATALOG_LOCAL[key] = [tuple(r) for r in df.collect()]
+        if key in _CATALOG_LOCAL:
+            return Dim(self.spark.createDataFrame(_CATALOG_LOCAL[key], S.CATALOG), _CATALOG_ROWS[key])
         return Dim(df, _CATALOG_ROWS[key])
 
     def catalogs(self) -> dict[str, Dim]:
