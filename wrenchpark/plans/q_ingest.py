@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..operators import attachments as A
 from ..operators import ingest as I
 from ..sources.testdata import LIST_AS_OF, DriverModel

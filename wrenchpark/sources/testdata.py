@@ -14,7 +14,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators.dims import Dim
@@ -317,5 +316,3 @@ class DriverModel:
 def model(spark: SparkSession, sf_dir: str) -> DriverModel:
     return DriverModel(spark, sf_dir)
 
-
-STRING = T.StringType()
