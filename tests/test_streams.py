@@ -89,8 +89,14 @@ def test_lockout_edges(spark):
         ("b", f(4), True, 5), ("b", f(5), False, 6),
     ]
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long")
-    d = {(r.key, r.seq): (r.refused, r.fires_lock)
-         for r in lockouts.lockout_decisions(df, max_failures=5, lock="15 minutes").collect()}
+    for small_max in (1000, 0):
+        d = {(r.key, r.seq): (r.refused, r.fires_lock)
+             for r in lockouts.lockout_decisions(df, max_failures=5, lock="15 minutes",
+                                                 small_key_max=small_max).collect()}
+        _check_edges(d)
+
+
+def _check_edges(d):
     assert d[("a", 5)] == (False, True)
     assert d[("a", 6)] == (True, False) and d[("a", 7)] == (True, False)
     assert d[("a", 8)] == (False, False)
@@ -109,9 +115,11 @@ def test_lockouts_against_fold(spark):
             rows.append((key, t, random.random() < 0.2, seq))
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long")
     expect = brute_lockouts(rows, 3, dt.timedelta(minutes=15))
-    got = {r.seq: (r.refused, r.fires_lock)
-           for r in lockouts.lockout_decisions(df, max_failures=3, lock="15 minutes", bucket_unit="hour").collect()}
-    assert got == expect
+    for small_max in (1000, 0):          # the one-pass fold, then the chain search for every key
+        got = {r.seq: (r.refused, r.fires_lock)
+               for r in lockouts.lockout_decisions(df, max_failures=3, lock="15 minutes", bucket_unit="hour",
+                                                   small_key_max=small_max).collect()}
+        assert got == expect
 
 
 def test_lockouts_on_driver_tables(spark):

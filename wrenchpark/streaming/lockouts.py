@@ -6,7 +6,10 @@ nothing; a success clears the failure count; a failure adds one, and the
 ``max_failures``-th failure starts the lock and resets the count to 0.  An
 attempt exactly at the lock end is accepted.  Failures never expire.
 
-Batch form, exact and without a per-key array or single-task window:
+Batch form, exact.  Keys with at most ``SMALL_KEY_MAX`` attempts are folded
+in one pass with the built-in ``aggregate`` function over their bounded,
+sorted attempt array.  Larger keys (any size, up to a third of all rows) use
+a chain search without a per-key array or single-task window:
 
 1. Attempts are numbered per key (``idx``) with a bucketed ordered scan.
 2. An *epoch* starts in the clean state (count 0, no lock).  From a start
@@ -42,10 +45,69 @@ def _bucket(ts: str, unit: str):
     return F.date_trunc(unit, F.col(ts))
 
 
+# Keys with at most this many attempts are folded in one pass (their attempts
+# form a bounded array); larger keys go through the distributed chain search.
+SMALL_KEY_MAX = 1000
+
+OUT_COLUMNS = ["idx", "refused", "fires_lock", "locked_until"]
+
+
 def lockout_decisions(attempts: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok",
                       seq: str = "seq", max_failures: int = 5, lock: str = "15 minutes",
-                      bucket_unit: str = "day", max_rounds: int = 64) -> DataFrame:
-    """Each attempt with ``refused``, ``fires_lock`` and ``locked_until``."""
+                      bucket_unit: str = "day", max_rounds: int = 64,
+                      small_key_max: int = SMALL_KEY_MAX) -> DataFrame:
+    """Each attempt with ``refused``, ``fires_lock`` and ``locked_until``.
+
+    Keys are split by size: a key with at most ``small_key_max`` attempts is
+    folded in order by the built-in ``aggregate`` function over its (bounded)
+    attempt array; larger keys, which may hold any share of the rows, use the
+    distributed chain search described in the module notes.
+    """
+    a = attempts.select(key, ts, ok, seq)
+    sizes = a.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    tagged = a.join(sizes, key)
+    small = _fold_small(tagged.where(F.col("__n") <= small_key_max).drop("__n"), key, ts, ok, seq,
+                        max_failures, lock)
+    if sizes.where(F.col("__n") > small_key_max).limit(1).count() == 0:     # one scalar: any large key?
+        return small
+    big = _chain_search(tagged.where(F.col("__n") > small_key_max).drop("__n"), key, ts, ok, seq,
+                        max_failures, lock, bucket_unit, max_rounds)
+    return small.unionByName(big)
+
+
+def _fold_small(a: DataFrame, key: str, ts: str, ok: str, seq: str, max_failures: int,
+                lock: str) -> DataFrame:
+    """Straight fold of each small key's attempts in (ts, seq) order."""
+    D = F.expr(f"INTERVAL {lock}")
+    arr = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"),
+                                               F.col(ok).alias("ok"))))
+    rec_type = "struct<idx:bigint,ts:timestamp_ntz,ok:boolean,seq:bigint,refused:boolean," \
+               "fires_lock:boolean,locked_until:timestamp_ntz>"
+    init = F.struct(F.lit(0).alias("count"), F.lit(None).cast("timestamp_ntz").alias("until"),
+                    F.array().cast(f"array<{rec_type}>").alias("out"))
+
+    def step(acc, x):
+        locked = F.coalesce(x["ts"] < acc["until"], F.lit(False))
+        failures = acc["count"] + 1
+        fires = ~locked & ~x["ok"] & (failures >= F.lit(max_failures))
+        ends = (x["ts"] + D).cast("timestamp_ntz")
+        rec = F.struct(F.size(acc["out"]).cast("bigint").alias("idx"), x["ts"].alias("ts"), x["ok"].alias("ok"),
+                       x["seq"].alias("seq"), locked.alias("refused"), fires.alias("fires_lock"),
+                       F.when(locked, acc["until"]).when(fires, ends).alias("locked_until"))
+        return F.struct(
+            F.when(locked, acc["count"]).when(x["ok"] | fires, F.lit(0)).otherwise(failures).alias("count"),
+            F.when(locked, acc["until"]).when(x["ok"], F.lit(None).cast("timestamp_ntz"))
+             .when(fires, ends).otherwise(acc["until"]).alias("until"),
+            F.concat(acc["out"], F.array(rec)).alias("out"))
+
+    folded = a.groupBy(key).agg(F.aggregate(arr, init, step).alias("__s"))
+    return folded.select(key, F.inline("__s.out")).select(
+        key, F.col("ts").alias(ts), F.col("ok").alias(ok), F.col("seq").alias(seq), *OUT_COLUMNS)
+
+
+def _chain_search(attempts: DataFrame, key: str, ts: str, ok: str, seq: str, max_failures: int,
+                  lock: str, bucket_unit: str, max_rounds: int) -> DataFrame:
+    """Exact decisions for keys of any size (steps 1-4 of the module notes)."""
     spark = attempts.sparkSession
     checkpoint_dir(spark)
     D = F.expr(f"INTERVAL {lock}")
@@ -119,7 +181,7 @@ def lockout_decisions(attempts: DataFrame, key: str = "key", ts: str = "ts", ok:
     refused = F.col("idx") > e["end"]
     fires = (e["kind"] == "lock") & (F.col("idx") == e["end"])
     return filled.select(key, ts, ok, seq, "idx", refused.alias("refused"), fires.alias("fires_lock"),
-                         F.when(refused | fires, e["lock_until"]).alias("locked_until"))
+                         F.when(refused | fires, e["lock_until"]).cast("timestamp_ntz").alias("locked_until"))
 
 
 def lockout_summary(decisions: DataFrame, key: str = "key") -> DataFrame:
