@@ -38,9 +38,9 @@ def run_sessions(spark: SparkSession, src: str, out: str, checkpoint: str, gap:
 
 def run_lockouts(spark: SparkSession, src: str, out: str, checkpoint: str, max_failures: int = 5,
                  lock_seconds: int = 900, watermark: str = "1 hour", max_files: int = 100,
-                 available_now: bool = False) -> StreamingQuery:
+                 available_now: bool = False, idle_seconds: int = 7 * 24 * 3600) -> StreamingQuery:
     df = lockouts.lockouts_stream(_source(spark, src, ATTEMPT_SCHEMA, max_files), max_failures, lock_seconds,
-                                  watermark)
+                                  watermark, idle_seconds)
     return _sink(df, out, checkpoint, available_now)
 
 

@@ -203,7 +203,7 @@ OUT_SCHEMA = T.StructType([
 ])
 
 
-def _fold_fn(max_failures: int, lock_seconds: int):
+def _fold_fn(max_failures: int, lock_seconds: int, idle_seconds: int):
     import pandas as pd
 
     def fold(key, pdfs, state):
@@ -229,7 +229,8 @@ def _fold_fn(max_failures: int, lock_seconds: int):
                         until, count = t + lock, 0
                     out.append((key[0], t, row.ok, row.seq, False, fired, until if fired else None))
         state.update((count, until))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + lock_seconds * 1000 + 1)
+        # A key idle for ``idle_seconds`` of event time is forgotten (bounded state).
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(idle_seconds, lock_seconds) * 1000 + 1)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
 
@@ -237,13 +238,15 @@ def _fold_fn(max_failures: int, lock_seconds: int):
 
 
 def lockouts_stream(attempts: DataFrame, max_failures: int = 5, lock_seconds: int = 900,
-                    watermark: str = "1 hour") -> DataFrame:
+                    watermark: str = "1 hour", idle_seconds: int = 7 * 24 * 3600) -> DataFrame:
     """Streaming decisions (key, ts, ok, seq columns in).  Attempts of one
     key are folded in time order inside each micro-batch; the state holds the
-    failure count and lock end and is dropped after an idle period."""
+    failure count and lock end.  The source keeps failures forever; the
+    stream forgets a key after ``idle_seconds`` of event time without
+    attempts (never before its lock ends), so state stays bounded."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     s = attempts.select("key", F.col("ts").cast("timestamp_ltz").alias("ts"), "ok", "seq").withWatermark("ts", watermark)
     return s.groupBy("key").applyInPandasWithState(
-        _fold_fn(max_failures, lock_seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
+        _fold_fn(max_failures, lock_seconds, idle_seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
