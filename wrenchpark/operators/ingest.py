@@ -137,10 +137,12 @@ def rejected(validated: DataFrame) -> DataFrame:
 
 
 def write_validated(records: DataFrame, path: str, mode: str = "create", write_mode: str = "errorifexists") -> None:
-    """Validate once and write both outcomes in one pass: ``valid=true`` and
-    ``valid=false`` partitions under ``path``.  Readers of either side then
-    prune to their partition instead of validating the batch again."""
-    (validate(records, mode).write.mode(write_mode).partitionBy("valid").parquet(path))
+    """Validate once and write both outcomes in one pass: ``outcome=accepted``
+    and ``outcome=rejected`` partitions under ``path``.  Readers of either
+    side prune to their partition instead of validating the batch again."""
+    v = validate(records, mode)
+    outcome = F.when(F.col("valid"), F.lit("accepted")).otherwise(F.lit("rejected"))
+    v.withColumn("outcome", outcome).drop("valid").write.mode(write_mode).partitionBy("outcome").parquet(path)
 
 
 def error_fields(col: str = "errors") -> Column:
