@@ -61,16 +61,20 @@ def _is_closed(statuses: Dim, status_col: str) -> tuple[DataFrame, Column]:
 def valid_status_changes(jobs: DataFrame, changes: DataFrame,
                          statuses: Dim) -> tuple[DataFrame, DataFrame]:
     """Split changes (job_id, status_id, ts, seq) into applicable ones (with a
-    ``closes`` flag) and rejected ones with a reason: ``invalid`` (no status),
-    ``fk:estado`` (unknown status) or ``not_found`` (unknown job)."""
+    ``closes`` flag and the job's ``prior_status`` before the batch) and
+    rejected ones with a reason: ``invalid`` (no status), ``fk:estado``
+    (unknown status) or ``not_found`` (unknown job)."""
     st, cond = _is_closed(statuses, "status_id")
     has_status = F.coalesce(F.col("status_id"), F.lit(0)) != 0
     c = changes.where(has_status)
     known = c.join(st, cond, "left")
     with_status = known.where(F.col("__sid").isNotNull())
     ids = jobs.select(F.col("id").alias("job_id"))
-    valid = (with_status.join(ids, "job_id", "left_semi")
-             .select(*changes.columns, F.col("__closed").alias("closes")))
+    # One join to the job table gives both existence and the status before the batch.
+    cur = jobs.select(F.col("id").alias("job_id"), F.col("status_id").alias("prior_status"),
+                      F.lit(True).alias("__job"))
+    valid = (with_status.join(cur, "job_id", "left").where(F.col("__job"))
+             .select(*changes.columns, F.col("__closed").alias("closes"), "prior_status"))
     rej = (changes.where(~has_status).withColumn("reason", F.lit("invalid"))
            .unionByName(known.where(F.col("__sid").isNull()).select(*changes.columns)
                         .withColumn("reason", F.lit("fk:estado")))
@@ -83,8 +87,12 @@ def apply_status_changes(jobs: DataFrame, changes: DataFrame, statuses: Dim) ->
     """New snapshot after a batch of status changes: each job takes the status
     of its last applicable change; closed_at becomes that change's time when
     the status is the closed one, NULL otherwise."""
-    valid, _ = valid_status_changes(jobs, changes, statuses)
-    last = last_per_key(valid, "job_id", ["ts", "seq"], ["status_id", "ts", "closes"])
+    # A change of an unknown job finds no row in the final left join, so only
+    # the status needs checking here; the job table is read once.
+    st, cond = _is_closed(statuses, "status_id")
+    known = (changes.where(F.coalesce(F.col("status_id"), F.lit(0)) != 0).join(st, cond)
+             .withColumn("closes", F.col("__closed")))
+    last = last_per_key(known, "job_id", ["ts", "seq"], ["status_id", "ts", "closes"])
     j = jobs.alias("j").join(last.alias("c"), F.col("j.id") == F.col("c.job_id"), "left")
     hit = F.col("c.job_id").isNotNull()
     out = []
@@ -108,9 +116,7 @@ def status_history(jobs: DataFrame, changes: DataFrame, statuses: Dim,
     valid, _ = valid_status_changes(jobs, changes, statuses)
     b = bucket if bucket is not None else F.date_trunc("day", F.col("ts"))
     h = scan(valid, "job_id", ["ts", "seq"], b, previous=["status_id"])
-    cur = jobs.select(F.col("id").alias("job_id"), F.col("status_id").alias("__cur"))
-    h = h.join(cur, "job_id", "left")
-    return h.select("job_id", "seq", "ts", F.coalesce("prev_status_id", "__cur").alias("from_status"),
+    return h.select("job_id", "seq", "ts", F.coalesce("prev_status_id", "prior_status").alias("from_status"),
                     F.col("status_id").alias("to_status"), F.col("closes").alias("closed"))
 
 
