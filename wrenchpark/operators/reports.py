@@ -94,6 +94,34 @@ def breakdown_all(filtered: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame
     return res.where(F.col("name").isNotNull())
 
 
+def breakdowns_and_providers(filtered: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
+    """The four breakdowns and the provider totals from one scan: one
+    GROUPING SETS aggregate with a fifth set for the provider key.  Rows carry
+    ``dimension``, ``name``, ``total`` and ``amount`` (provider rows only)."""
+    df = filtered
+    for col, name, key in (("status_id", "status", "status"), ("type_id", "job_type", "type"),
+                           ("location_id", "location", "location"), ("priority_id", "priority", "priority")):
+        df = join_name(df, catalogs[key], col, name, how="left")
+    df = df.select("status", "job_type", "location",
+                   F.coalesce(F.col("priority"), F.lit(S.NO_PRIORITY_LABEL)).alias("priority_label"),
+                   provider_key("provider", S.NO_PROVIDER_LABEL).alias("provider_label"),
+                   F.coalesce(F.col("net_value"), F.lit(0).cast("decimal(12,2)")).alias("net"))
+    keys = ["status", "job_type", "location", "priority_label", "provider_label"]
+    out = df.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("total"),
+        F.sum("net").cast("decimal(38,2)").alias("amount"))
+    label = {"status": "status", "job_type": "type", "location": "location", "priority_label": "priority",
+             "provider_label": "providers"}
+    dimension = name = None
+    for i, k in enumerate(keys):
+        cond = F.col("gid") == F.lit((1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)))
+        dimension = F.when(cond, F.lit(label[k])) if dimension is None else dimension.when(cond, F.lit(label[k]))
+        name = F.when(cond, F.col(k)) if name is None else name.when(cond, F.col(k))
+    res = out.select(dimension.alias("dimension"), name.alias("name"), "total",
+                     F.when(F.col("gid") == 30, F.col("amount")).alias("amount"))
+    return res.where(F.col("name").isNotNull())
+
+
 def top_providers(filtered: DataFrame, k: int = TOP_PROVIDERS, collation: str | None = None) -> DataFrame:
     """Provider totals: trimmed name (blank or NULL as the dash), count and sum
     of net value (NULL as 0); top ``k`` by amount, count, then name.
@@ -146,10 +174,13 @@ def report_document(jobs: DataFrame, catalogs: Mapping[str, Dim], filt: JobFilte
         F.lit("kpis").alias("part"),
         F.struct("total", "open", "closed", "overdue", "avg_days_to_close",
                  "median_days_to_close").alias("kpis"))
-    b = breakdown_all(filtered, catalogs).select(
+    both = breakdowns_and_providers(filtered, catalogs)
+    b = both.where(F.col("dimension") != "providers").select(
         F.col("dimension").alias("part"), F.struct("total", "name").alias("entry"))
-    tp = top_providers(filtered).select(
-        F.lit("providers").alias("part"), F.struct("amount", "total", "provider").alias("provider_entry"))
+    tp = (both.where(F.col("dimension") == "providers")
+          .orderBy(F.col("amount").desc(), F.col("total").desc(), F.col("name").asc()).limit(TOP_PROVIDERS)
+          .select(F.lit("providers").alias("part"),
+                  F.struct("amount", "total", F.col("name").alias("provider")).alias("provider_entry")))
     parts = k.unionByName(b, allowMissingColumns=True).unionByName(tp, allowMissingColumns=True)
 
     def ordered(dim: str):
