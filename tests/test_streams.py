@@ -203,3 +203,12 @@ def test_jobs_table_layout(spark, scratch):
     assert back.count() == m.jobs.count()
     plan = back.where(F.col("created_month") == "1998-03")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_month" in plan
+
+
+def test_expired_sessions_strictly_after_idle_limit(spark):
+    rows = [(1, _ts(0)), (2, _ts(29, 59)), (3, _ts(30)), (4, _ts(30, 1))]
+    df = spark.createDataFrame(rows, "user_id int, last_activity timestamp_ntz")
+    now = str(_ts(60))
+    got = sorted(r.user_id for r in sessions.expired(df, now, idle="30 minutes").collect())
+    # idle 60 min, 30 min 1 s -> expired; exactly 30 min or less -> still active
+    assert got == [1, 2]
