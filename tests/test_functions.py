@@ -80,3 +80,10 @@ def test_manifest_feeds_checks(spark, scratch):
                      F.lit("image/png").alias("mime_type"), F.col("length").alias("size_bytes"))
     out = A.check_uploads(files, max_bytes=25).select("accepted", "reason").distinct().collect()
     assert [(r.accepted, r.reason) for r in out] == [(False, "count:antes,size")]
+
+
+def test_local_now_is_wall_clock_of_zone(spark):
+    row = spark.range(1).select(TF.local_now().alias("s"), TF.local_now("UTC").alias("u")).first()
+    assert isinstance(row.s, dt.datetime) and row.s.tzinfo is None
+    # Santiago is 3 or 4 hours behind UTC
+    assert dt.timedelta(hours=2) < row.u - row.s < dt.timedelta(hours=5)
