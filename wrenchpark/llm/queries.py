@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op10_quality
 from .shards import op5_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minimax_shards": op5_minimax_shards,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}
