@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 from .common import stage, unstage
 
 
+def _dealt(least: DataFrame) -> DataFrame:
+    """Without the grouping's own partitioning, so that the join below shuffles both sides and can split a node with very many edges."""
+    return least.repartition(int(least.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _dealt(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` go from larger to smaller ids."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(_dealt(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least).distinct()
 
 
