@@ -71,7 +71,7 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
     if small:
         # Many large nodes: leaders, several levels, and blocks at the end.
         monkeypatch.setattr(near, "LEAF", 4)
-        monkeypatch.setattr(near, "DEPTH", 2)
+        monkeypatch.setattr(near, "STEPS", near.STEPS[:2])
         monkeypatch.setattr(near, "BLOCK", 10)
     rng = random.Random(1)
     texts = near_copies(rng, 60) + near_copies(rng, 40, swaps=6) + ["copy of the same words here"] * 30

@@ -32,6 +32,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node at most, and none if larger nodes point to it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that an edge to another node names; component is the smallest id.
 
@@ -40,12 +48,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b").distinct()
     now = stage(pairs, "components")
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
-            break
-        seen, before = state, now
+    while not _stars(now):
+        before = now
         now = stage(_small_star(_large_star(before)), "components")
         unstage(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -8,19 +8,23 @@ whose sets have a Jaccard similarity of at least ``percent`` / 100 are linked.
    fingerprints form one class, so that exact copies are dealt with at once.
 2. ``TREES`` independent trees branch all classes: a node chooses one or two
    coordinates by its own hash (1.25 on average, the inverse of the similarity)
-   and sends each member to the child of its minwise token there.
-3. Nodes of at most ``LEAF`` members are leaves.  Members of a leaf are compared
+   and sends each member to the child of its minwise token there.  Deeper nodes
+   add two and four tokens at once (``STEPS``), so that sets that have little in
+   common part quickly.
+3. Nodes of at most ``LEAF`` members are leaves.  All members of a leaf are
+   compared, first by their minwise tokens and, where ``AGREE`` of these agree,
    on their full sets.  Nodes with the same members, from whatever tree, count
    once.
 4. Larger nodes first compare each member with one leader; members linked with
    it get its label.  Then they branch again.  Nodes whose members have all one
-   label are finished.  What is still larger than a leaf after ``DEPTH`` levels
+   label are finished.  What is still larger than a leaf after all levels
    is compared completely, in pairs of blocks.
 5. Leaves return a star for each group of linked members, not all pairs.
    Connected components of the stars are those of the links.
 
 Every link is confirmed on full sets.  A pair just at 0.8 meets in one tree of
-depth one with probability of about 0.85; ten trees miss it once in 10^8.
+depth one with probability of about 0.85, and ten trees miss it once in 10^8;
+the tokens refuse it three times in 10^6.
 
 Cases: a null or empty text, or one of white space, has an empty set and links
 with nothing; fewer words than a shingle make one shingle of them all; rows
@@ -39,16 +43,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import arrow_batches, parts, slices, stage, table
+from .common import arrow_batches, slices, stage, table, unstage
 from .components import components
 from .forest import Forest
 from .groups import complete_groups
 
 COORDS = 32
 TREES = 10
-LEAF = 400
-DEPTH = 5
+LEAF = 1000
+#: Coordinates that a node's children add to the path, and how many paths a node takes at most; by level.
+STEPS = ((1, 2), (2, 2), (4, 3))
+#: Percent of the nodes that take the last of these paths.
+LAST_PATH = (25, 100, 100)
 BLOCK = 4000
+SALTS = 16
+#: Minwise tokens that must agree before full sets are fetched: a pair at 0.8 has fewer with probability 3 * 10^-6.
+AGREE = 14
 _MULTIPLIERS = textnum.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -84,10 +94,8 @@ def _sign(words: int):
 def _full(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, size, first, h in _sets(batches, words):
-            k1, k2 = _fingerprints(size, first, h)
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
-                                             names=["cid", "k1", "k2", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["cid", "tokens"])
     return run
 
 
@@ -121,7 +129,7 @@ def link_sets(label: np.ndarray, size: np.ndarray, flat: np.ndarray, percent: in
     mark = np.zeros(int(number[-1]) + 1 if len(number) else 1, bool)
     able = np.flatnonzero(able)
     roots = forest.roots()
-    for x in able:
+    for x in able[roots[able] != _most(roots)]:
         if (roots[able] == roots[x]).all():
             continue
         mine = token[ends[x]:ends[x + 1]]
@@ -136,6 +144,53 @@ def link_sets(label: np.ndarray, size: np.ndarray, flat: np.ndarray, percent: in
     return roots
 
 
+def _borders(node: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+
+
+def _most(label: np.ndarray) -> int:
+    """The most frequent label.  Its members are linked with each other, so all open pairs have a member of another one."""
+    values, count = np.unique(label, return_counts=True)
+    return values[count.argmax()]
+
+
+def close_members(label: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """For each member of one group the first one that it may be linked with, maybe over others, judged by minwise tokens."""
+    forest = Forest(len(label))
+    tokens = np.ascontiguousarray(sig.T)
+    for x in np.flatnonzero(label != _most(label)):
+        agree = np.zeros(len(label), np.uint8)
+        for t in tokens:
+            agree += t == t[x]
+        y = np.flatnonzero((agree >= AGREE) & (label != label[x]))
+        if len(y):
+            forest.union(np.full(len(y), x), y)
+    root = forest.roots()
+    # A part of one label has nothing left to find.
+    low, high = np.full(len(label), np.iinfo(np.int64).max), np.full(len(label), np.iinfo(np.int64).min)
+    np.minimum.at(low, root, label)
+    np.maximum.at(high, root, label)
+    return np.where(low[root] < high[root], root, -1)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each node that may have a link there; ``node`` becomes a name of the members, equal for equal ones."""
+    for t in complete_groups(batches, "node"):
+        node, cid, label = (t.column(c).to_numpy() for c in ("node", "cid", "label"))
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        name, keep = np.zeros(len(node), np.uint64), np.zeros(len(node), bool)
+        edge = _borders(node)
+        scrambled = textnum.mix(cid.view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if b - a > 1:
+                root = close_members(label[a:b], sig[a:b])
+                sums = np.zeros(b - a, np.uint64)
+                np.add.at(sums, root, scrambled[a:b])
+                keep[a:b] = root >= 0
+                name[a:b] = sums[root]
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)[keep]), pa.array(cid[keep]), pa.array(label[keep])], names=["node", "cid", "label"])
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in complete_groups(batches, "node"):
@@ -143,9 +198,7 @@ def _compare(percent: int):
             tokens = t.column("tokens").combine_chunks()
             flat, size = tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy()).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(size)])
-            edge = np.concatenate([np.flatnonzero(np.diff(node, prepend=node[0] - 1)), [len(node)]])
-            if edge[0] != 0:
-                edge = np.concatenate([[0], edge])
+            edge = _borders(node)
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a > 1:
                     to = a + link_sets(label[a:b], size[a:b], flat[ends[a]:ends[b]], percent)
@@ -155,13 +208,14 @@ def _compare(percent: int):
     return run
 
 
-def _branch(rows: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, depth: int) -> DataFrame:
     """Children (node, cid, label) of rows (node, cid, label, sig)."""
-    coord = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(COORDS)).cast("int")
-    more = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0
-    chosen = F.array_distinct(F.when(more, F.array(coord(1), coord(2))).otherwise(F.array(coord(1))))
-    child = F.transform(chosen, lambda i: F.xxhash64("node", i, F.get("sig", i)))
-    return rows.select(F.explode(child).alias("node"), "cid", "label")
+    coord = lambda *salt: F.pmod(F.xxhash64("node", *map(F.lit, salt)), F.lit(COORDS)).cast("int")
+    step, paths = STEPS[depth - 1]
+    child = [F.xxhash64("node", F.lit(p), *(x for i in range(step) for x in (coord(p, i), F.get("sig", coord(p, i))))) for p in range(paths)]
+    # The last path is taken by a part of the nodes.
+    part = F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(100)) < LAST_PATH[depth - 1]
+    return rows.select(F.explode(F.filter(F.array(*child[:-1], F.when(part, child[-1])), lambda c: c.isNotNull())).alias("node"), "cid", "label")
 
 
 def _once(nodes: DataFrame) -> DataFrame:
@@ -169,6 +223,30 @@ def _once(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("n", "print").agg(F.min("node").alias("node")).select("node", "n")
 
 
+def _leader_pairs(inside: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(cid, node, leader) of members whose minwise tokens allow a link with the leader of their largest node."""
+    leader = inside.groupBy("node").agg(F.min_by("cid", F.xxhash64("cid", "node")).alias("leader"))
+    leader = leader.join(sigs.select(F.col("cid").alias("leader"), F.col("sig").alias("theirs")), "leader")
+    chosen = inside.groupBy("cid").agg(F.max_by("node", F.struct("n", "node")).alias("node")).join(sigs, "cid")
+    agree = F.size(F.filter(F.zip_with("sig", "theirs", lambda a, b: a == b), lambda same: same))
+    pairs = _salted(chosen, leader).where((F.col("cid") != F.col("leader")) & (agree >= AGREE))
+    return stage(pairs.select("cid", "node", "leader"), "near-pairs")
+
+
+def _salted(members: DataFrame, leader: DataFrame) -> DataFrame:
+    """Join on the node, whose members are dealt over SALTS and each leader copied to all; a node has over LEAF members."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS))).join(
+        leader.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["node", "salt"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are links on their full sets."""
+    leader = pairs.select("node", "leader").distinct().join(sets.select(F.col("cid").alias("leader"), F.col("tokens").alias("theirs")), "leader")
+    both = F.size(F.array_intersect("tokens", "theirs"))
+    return (_salted(pairs.select("cid", "node").join(sets, "cid"), leader)
+            .where(100 * both >= percent * (F.size("tokens") + F.size("theirs") - both)).select("cid", "leader").distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
@@ -180,44 +258,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sigs = named.select("cid", "sig")
     open_rows = sigs.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(t))).alias("node"), "cid",
                             F.col("cid").alias("label"), "sig")
-    sets, leaves, edges = None, [], []
-    for depth in range(1, DEPTH + 1):
-        kids = stage(_branch(open_rows), "near-nodes")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_node = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node")
+    close, edges, sets, met = [], [], None, None
+
+    def fetch(cids: DataFrame) -> DataFrame:
+        wanted = texts.join(cids, F.col("doc_id") == F.col("cid"), "left_semi")
+        return stage(wanted.mapInArrow(_full(words), "cid long, tokens array<long>"), "near-sets")
+
+    for depth in range(1, len(STEPS) + 1):
+        kids = stage(_branch(open_rows, depth), "near-nodes")
         found = stage(kids.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
                                                F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
                       .where("low < high").select("node", "n", "print"), "near-found")
-        if sets is None:
-            met = kids.join(found, "node", "left_semi").select("cid").distinct()
-            wanted = texts.join(met, F.col("doc_id") == F.col("cid"), "left_semi")
-            sets = stage(wanted.mapInArrow(_full(words), "cid long, k1 long, k2 long, tokens array<long>")
-                         .join(named.select("cid", "k1", "k2"), ["cid", "k1", "k2"], "left_semi")
-                         .dropDuplicates(["cid", "k1", "k2"]).select("cid", "tokens"), "near-sets")
-        leaves.append(kids.join(_once(found.where(F.col("n") <= LEAF)), "node").select("node", "cid", "label"))
-        large = stage(_once(found.where(F.col("n") > LEAF)), "near-large")
-        if large.isEmpty():
-            break
-        inside = stage(kids.join(large, "node"), "near-inside")
-        if depth == DEPTH:
+        leaf = kids.join(_once(found.where(F.col("n") <= LEAF)), "node").select("node", "cid", "label")
+        inside = stage(kids.join(_once(found.where(F.col("n") > LEAF)), "node"), "near-inside")
+        more = not inside.isEmpty()
+        if more and depth == len(STEPS):
             # Every pair of blocks is one group; a member meets all blocks of its node.
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             own = F.pmod(F.xxhash64("cid", F.lit(7)), blocks)
             pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("node", F.least(own, j), F.greatest(own, j)))
-            leaves.append(inside.select(F.explode(pair).alias("node"), "cid", "label"))
+            leaf = leaf.union(inside.select(F.explode(pair).alias("node"), "cid", "label"))
+            more = False
+        close.append(stage(by_node(leaf.join(sigs, "cid").select("node", "cid", "label", "sig"))
+                           .mapInArrow(_close, "node long, cid long, label long").distinct(), "near-close"))
+        seen = close[-1].select("cid").distinct()
+        pairs = _leader_pairs(inside, sigs) if more else None
+        if sets is None:
+            met = stage(seen.union(pairs.select("cid")).union(pairs.select("leader")).distinct() if more else seen, "near-met")
+            sets = fetch(met)
+        unstage(kids, found)
+        if not more:
             break
-        # Each class meets the leader of its largest node.
-        leader = inside.groupBy("node").agg(F.min_by("cid", F.xxhash64("cid", "node")).alias("leader"))
-        chosen = inside.groupBy("cid").agg(F.max_by("node", F.struct("n", "node")).alias("node"))
-        pairs = chosen.join(leader, "node").where("cid <> leader").select("cid", "leader")
-        both = F.size(F.array_intersect("tokens", "theirs"))
-        linked = stage(pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("leader"), F.col("tokens").alias("theirs")), "leader")
-                       .where(100 * both >= percent * (F.size("tokens") + F.size("theirs") - both)).select("cid", "leader").distinct(), "near-linked")
+        linked = stage(_confirmed(pairs, sets, percent), "near-linked")
         edges.append(linked.select(F.col("cid").alias("a"), F.col("leader").alias("b")))
-        lead = linked.groupBy("cid").agg(F.min("leader").alias("leader")).union(linked.select("leader", "leader").distinct())
-        lead = lead.groupBy("cid").agg(F.min("leader").alias("leader"))
+        lead = linked.select("cid", "leader").union(linked.select("leader", "leader")).groupBy("cid").agg(F.min("leader").alias("leader"))
         open_rows = (inside.join(lead, "cid", "left").select("node", "cid", F.least("label", F.coalesce("leader", "label")).alias("label"))
                      .join(sigs, "cid"))
-    groups = reduce(DataFrame.union, leaves).join(sets, "cid").select("node", "cid", "label", "tokens")
-    edges.append(groups.repartition(parts(spark, 0, 1), "node").sortWithinPartitions("node").mapInArrow(_compare(percent), "a long, b long"))
+    members = reduce(DataFrame.union, close)
+    late = stage(members.select("cid").distinct().join(met, "cid", "left_anti"), "near-late")
+    if not late.isEmpty():
+        sets = sets.union(fetch(late))
+    groups = members.join(sets, "cid").select("node", "cid", "label", "tokens")
+    edges.append(by_node(groups).mapInArrow(_compare(percent), "a long, b long"))
     group = components(reduce(DataFrame.union, edges))
     by_class = classes.join(group, F.col("cid") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "cid").alias("component"))
     # Rows of an empty set have no class and stay on their own.
