@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .knn import op8_voronoi_knn
+from .licenses import op4_rare_token_licenses
 from .near import op6_chosen_path
 from .quality import op10_quality
 from .rangejoin import op7_metric_range_join
+from .secrets import op9_markov_secrets
 from .shards import op5_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_rare_token_licenses": op4_rare_token_licenses,
     "op5_minimax_shards": op5_minimax_shards,
     "op6_chosen_path": op6_chosen_path,
     "op7_metric_range_join": op7_metric_range_join,
     "op8_voronoi_knn": op8_voronoi_knn,
+    "op9_markov_secrets": op9_markov_secrets,
     "op10_quality": op10_quality,
 }
 
