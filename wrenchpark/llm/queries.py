@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_transducer_bpe
 from .knn import op8_voronoi_knn
 from .licenses import op4_rare_token_licenses
 from .near import op6_chosen_path
@@ -15,6 +16,7 @@ from .secrets import op9_markov_secrets
 from .shards import op5_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_transducer_bpe": op3_transducer_bpe,
     "op4_rare_token_licenses": op4_rare_token_licenses,
     "op5_minimax_shards": op5_minimax_shards,
     "op6_chosen_path": op6_chosen_path,
