@@ -12,10 +12,12 @@ from .licenses import op4_rare_token_licenses
 from .near import op6_chosen_path
 from .quality import op10_quality
 from .rangejoin import op7_metric_range_join
+from .repeats import op1_lyndon_suffixes
 from .secrets import op9_markov_secrets
 from .shards import op5_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lyndon_suffixes": op1_lyndon_suffixes,
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_rare_token_licenses": op4_rare_token_licenses,
     "op5_minimax_shards": op5_minimax_shards,
