@@ -311,6 +311,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def kept(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns; rows with a null id stay."""
+    first = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__d")).distinct()
+    rows = docs.join(first, docs[id_col] == F.col("__d"), "left_semi")
+    # Of rows that share an id the one with the smallest text hash stays.
+    once = rows.groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(id_col).alias("__d"))
+    many = rows.join(once, docs[id_col] == F.col("__d"), "left_semi").dropDuplicates([id_col])
+    return rows.join(once, docs[id_col] == F.col("__d"), "left_anti").unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_chosen_path(spark, sf_dir: str) -> DataFrame:
     """Near-duplicates of all ``documents`` on shingles of four words."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)

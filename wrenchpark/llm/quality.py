@@ -168,6 +168,20 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     return scored(stats, model).withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+             accept: float = ACCEPT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    model = train(stage(measured(docs, id_col, text_col), "quality-stats"), labels, label_col, sample_rows)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            score = sent.value.score(statistics(b.column(b.schema.get_field_index(text_col))).astype(np.float32).astype(np.float64))
+            yield b.filter(pa.array(score >= accept))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """Score of every row of ``documents``, learned from ``labels.quality``."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -10,6 +10,7 @@ from .bpe import op3_transducer_bpe
 from .knn import op8_voronoi_knn
 from .licenses import op4_rare_token_licenses
 from .near import op6_chosen_path
+from .packing import op2_bm25_packing
 from .quality import op10_quality
 from .rangejoin import op7_metric_range_join
 from .repeats import op1_lyndon_suffixes
@@ -18,6 +19,7 @@ from .shards import op5_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lyndon_suffixes": op1_lyndon_suffixes,
+    "op2_bm25_packing": op2_bm25_packing,
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_rare_token_licenses": op4_rare_token_licenses,
     "op5_minimax_shards": op5_minimax_shards,
