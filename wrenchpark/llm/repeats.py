@@ -102,6 +102,9 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] &= ~some[:-1] | edge
         stop[:-1] &= ~some[1:] | edge
         begin, end = np.flatnonzero(new), np.flatnonzero(stop) + 1
+        # A kind with several members is repeated as a whole anyway.
+        open_ = t.column("alone").to_numpy()[block[begin]]
+        begin, end = begin[open_], end[open_]
         own = pa.array(block[begin])
         yield pa.RecordBatch.from_arrays(
             [t.column("a").combine_chunks().take(own), t.column("c").combine_chunks().take(own),
@@ -127,27 +130,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
     # One member of each kind of a mixed anchor lends its bytes.
     asked = (kinds.join(mixed, "a").groupBy("one.doc_id", "one.th")
-             .agg(F.collect_list(F.struct("a", "c", "kinds", "n", F.col("one.start").alias("start"))).alias("asked"))
+             .agg(F.collect_list(F.struct("a", "c", "kinds", "n", (F.col("k") == 1).alias("alone"), F.col("one.start").alias("start"))).alias("asked"))
              .select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "asked"))
     raw = F.col("text").cast("binary")
     lent = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select(F.explode(F.transform(
-        "asked", lambda x: F.struct(x["a"].alias("a"), x["c"].alias("c"), x["kinds"].alias("kinds"), x["n"].alias("n"),
+        "asked", lambda x: F.struct(x["a"].alias("a"), x["c"].alias("c"), x["kinds"].alias("kinds"), x["n"].alias("n"), x["alone"].alias("alone"),
                                     F.substring(raw, x["start"] + 1, x["n"] + (WIDTH - 1)).alias("bytes")))).alias("x")).select("x.*")
     # Rows that share id and text lend the same bytes.
     lent = stage(lent.dropDuplicates(["a", "c"]), "repeat-lent")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usual = (lent.where(F.col("kinds") <= MOST_KINDS).select("a", "c", "bytes").repartition(n_parts, "a").sortWithinPartitions("a")
+    usual = (lent.where(F.col("kinds") <= MOST_KINDS).select("a", "c", "alone", "bytes").repartition(n_parts, "a").sortWithinPartitions("a")
              .mapInArrow(_solve, "a long, c long, i int, j int"))
-    windows = lent.where(F.col("kinds") > MOST_KINDS).select("a", "c", F.explode(F.transform(
+    windows = lent.where(F.col("kinds") > MOST_KINDS).select("a", "c", "alone", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.md5(F.substring("bytes", i + 1, WIDTH)).alias("h")))).alias("x"))
-    windows = windows.select("a", "c", "x.i", "x.h")
+    windows = windows.select("a", "c", "alone", "x.i", "x.h")
     often = stage(windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeat-often")
-    many = windows.join(often, "h", "left_semi").select("a", "c", "i", (F.col("i") + 1).alias("j"))
+    many = windows.where("alone").join(often, "h", "left_semi").select("a", "c", "i", (F.col("i") + 1).alias("j"))
     whole = kinds.where("k > 1").select("a", "c", F.lit(0).alias("i"), F.col("n").alias("j"))
     found = stage(whole.union(usual).union(many).groupBy("a", "c").agg(F.collect_list(F.struct("i", "j")).alias("w")), "repeat-found")
-    spans = members.join(found, ["a", "c"]).select("doc_id", "th", F.explode(F.transform(
-        "w", lambda x: F.struct((F.col("start") + x["i"]).alias("s"), (F.col("start") + x["j"] + (WIDTH - 1)).alias("e")))).alias("x"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list("x").alias("spans"))
+    spans = members.join(found, ["a", "c"]).select("doc_id", "th", F.transform(
+        "w", lambda x: F.struct((F.col("start") + x["i"]).alias("s"), (F.col("start") + x["j"] + (WIDTH - 1)).alias("e"))).alias("spans"))
+    return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
