@@ -39,6 +39,8 @@ def test_like_to_regex():
 
 def test_parameter_parsing():
     assert to_int_or_none("3") == 3 and to_int_or_none("3.0") == 3 and to_int_or_none(" 4 ") == 4
+    assert to_int_or_none("1e1") == 10 and to_int_or_none("9007199254740993") == 9007199254740993
+    assert to_int_or_none("1e999999999") is None and to_int_or_none(float("nan")) is None
     assert to_int_or_none("3.5") is None and to_int_or_none("") is None and to_int_or_none("abc") is None
     assert iso_date_or_none("2024-02-30") is None and iso_date_or_none("24-1-1") is None
     assert iso_date_or_none(" 2024-02-29 ") == "2024-02-29"
@@ -143,3 +145,51 @@ def test_children_of(spark):
     ids = [r.id for r in children_of(m.comments, 3).collect()]
     assert ids == sorted(ids, reverse=True) and len(ids) > 0
     assert len(ids) == m.read("conversations").where("conv_id = 3").count()
+
+
+def test_uploads_with_unknown_group_or_type_are_refused(spark):
+    from wrenchpark.operators.attachments import check_uploads
+    rows = [(1, "antes", "image/png", 10), (2, "otros", "image/png", 10), (3, "antes", None, 10), (4, None, "image/png", 10)]
+    df = spark.createDataFrame(rows, "upload_id int, group string, mime_type string, size_bytes long")
+    got = {r.upload_id: (r.accepted, r.reason) for r in check_uploads(df).collect()}
+    assert got == {1: (True, ""), 2: (False, "group"), 3: (False, "mime"), 4: (False, "group")}
+
+
+def test_optional_table_reads_an_existing_path(spark, scratch):
+    from wrenchpark import schema as S
+    from wrenchpark.sources.tables import optional_table
+    path = f"{scratch}/optional_catalog"
+    assert optional_table(spark, path, S.CATALOG).count() == 0
+    spark.createDataFrame([(1, "a")], S.CATALOG).write.parquet(path)
+    assert optional_table(spark, path, S.CATALOG).count() == 1
+    assert optional_table(spark, f"file://{path}", S.CATALOG).count() == 1
+
+
+def test_updates_with_missing_references_never_win(spark):
+    from wrenchpark.operators import changes as C
+    from wrenchpark.operators.dims import Dim
+    from wrenchpark import schema as S
+    jobs = spark.createDataFrame([(1, 1, 1, 1, None), (2, 1, 1, 1, 1)], "id long, status_id int, type_id int, location_id int, priority_id int")
+    cats = {c: Dim(spark.createDataFrame([(1, "x"), (2, "y")], S.CATALOG)) for c in ("status", "type", "location", "priority")}
+    cols = ", ".join(f"{c} {'int' if c.endswith('_id') else 'string'}" for c in C.UPDATE_COLUMNS)
+    at = {c: i for i, c in enumerate(C.UPDATE_COLUMNS)}
+
+    def update(target, seq, **ids):
+        row = [None] * len(at)
+        for c, v in ({"status_id": 1, "type_id": 1, "location_id": 1} | ids).items():
+            row[at[c]] = v
+        return (target, seq, *row)
+
+    ups = spark.createDataFrame([update(1, 1, type_id=2), update(1, 2, type_id=9, priority_id=7), update(5, 3, type_id=9)], f"target_id long, seq long, {cols}")
+    snap, missing = C.apply_updates(jobs, ups, catalogs=cats)
+    assert {r.id: r.type_id for r in snap.collect()} == {1: 2, 2: 1}
+    assert [r.seq for r in missing.collect()] == [3]
+    assert [(r.seq, r.reason) for r in C.update_rejects(jobs, ups, cats).collect()] == [(2, "fk:type,fk:priority")]
+
+
+def test_exponent_ids_are_whole_numbers(spark):
+    from wrenchpark.operators import ingest as I
+    rows = [(1, "d", "1e1", "7.0", "2"), (2, "d", "1.5", "3", "1e-1")]
+    v = I.validate(spark.createDataFrame(rows, "record_id long, description string, location_id string, type_id string, priority_id string"))
+    got = {r.record_id: (r.location_id, r.type_id, r.priority_id) for r in v.collect()}
+    assert got == {1: (10, 7, 2), 2: (None, 3, None)}

@@ -25,7 +25,6 @@ def test_text_helpers(spark):
     assert _one(spark, TX.provider_key("x", "—"), value="  ") == "—"
     assert _one(spark, TX.first_forwarded("x"), value=" 10.0.0.1 , 10.0.0.2") == "10.0.0.1"
     assert _one(spark, TX.cut("x", 250), value="a" * 300) == "a" * 250
-    assert _one(spark, TX.clamp("x", 3), value="  abcdef ") == "abc"
 
 
 def test_time_helpers(spark):

@@ -89,11 +89,9 @@ def test_lockout_edges(spark):
         ("b", f(4), True, 5), ("b", f(5), False, 6),
     ]
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long")
-    for small_max in (1000, 0):
-        d = {(r.key, r.seq): (r.refused, r.fires_lock)
-             for r in lockouts.lockout_decisions(df, max_failures=5, lock="15 minutes",
-                                                 small_key_max=small_max).collect()}
-        _check_edges(d)
+    d = {(r.key, r.seq): (r.refused, r.fires_lock)
+         for r in lockouts.lockout_decisions(df, max_failures=5, lock="15 minutes").collect()}
+    _check_edges(d)
 
 
 def _check_edges(d):
@@ -115,11 +113,9 @@ def test_lockouts_against_fold(spark):
             rows.append((key, t, random.random() < 0.2, seq))
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long")
     expect = brute_lockouts(rows, 3, dt.timedelta(minutes=15))
-    for small_max in (1000, 0):          # the one-pass fold, then the chain search for every key
-        got = {r.seq: (r.refused, r.fires_lock)
-               for r in lockouts.lockout_decisions(df, max_failures=3, lock="15 minutes", bucket_unit="hour",
-                                                   small_key_max=small_max).collect()}
-        assert got == expect
+    got = {r.seq: (r.refused, r.fires_lock)
+           for r in lockouts.lockout_decisions(df, max_failures=3, lock="15 minutes", bucket_unit="hour").collect()}
+    assert got == expect
 
 
 def test_lockouts_on_driver_tables(spark):
@@ -130,6 +126,24 @@ def test_lockouts_on_driver_tables(spark):
     assert (s.locks, s.refused) == (270, 110)
 
 
+def _run_lockouts(spark, scratch, name, batches, **kw):
+    """One file, and so one micro-batch, for each list of rows."""
+    src = os.path.join(scratch, f"{name}_src")
+    for i, rows in enumerate(batches):
+        part = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long").coalesce(1)
+        part.write.mode("append").parquet(src)
+        for f in os.listdir(src):
+            if f.endswith(".parquet") and not f.startswith("b"):
+                os.rename(os.path.join(src, f), os.path.join(src, f"b{i:03d}.parquet"))
+                os.utime(os.path.join(src, f"b{i:03d}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = (spark.readStream.schema("key string, ts timestamp_ntz, ok boolean, seq long")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    q = (lockouts.lockouts_stream(stream, **kw).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, f"{name}_ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return {r.seq: (r.refused, r.fires_lock) for r in spark.sql(f"SELECT * FROM {name}").collect()}
+
+
 def test_lockouts_stream_matches_batch(spark, scratch):
     random.seed(3)
     rows = []
@@ -140,15 +154,24 @@ def test_lockouts_stream_matches_batch(spark, scratch):
             t += dt.timedelta(minutes=random.choice([1, 3, 20]))
             seq += 1
             rows.append((key, t, random.random() < 0.25, seq))
-    src = os.path.join(scratch, "login_src")
-    spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long").write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema("key string, ts timestamp_ntz, ok boolean, seq long").parquet(src)
-    q = (lockouts.lockouts_stream(stream, max_failures=3, lock_seconds=900)
-         .writeStream.format("memory").queryName("lock_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "lock_ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {r.seq: (r.refused, r.fires_lock) for r in spark.sql("SELECT * FROM lock_out").collect()}
-    assert got == brute_lockouts(rows, 3, dt.timedelta(minutes=15))
+    # Batches by time, each shuffled, with attempts that come up to 50 minutes late; the last row moves the watermark past all.
+    arrival = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=random.choice([0, 0, 50])))
+    batches = [random.sample(arrival[i:i + 30], len(arrival[i:i + 30])) for i in range(0, len(arrival), 30)]
+    batches.append([("z", T0 + dt.timedelta(days=9), True, 0)])
+    got = _run_lockouts(spark, scratch, "lock_out", batches, max_failures=3, lock_seconds=900)
+    assert {s: v for s, v in got.items() if s} == brute_lockouts(rows, 3, dt.timedelta(minutes=15))
+
+
+def test_lockouts_stream_keeps_silent_keys(spark, scratch):
+    a = [("a", _ts(0), False, 1), ("a", _ts(1), False, 2), ("a", _ts(60 * 50), False, 3), ("a", _ts(60 * 50 + 1), True, 4)]
+    far = [[("b", _ts(60 * h), True, 100 + h)] for h in (10, 20, 30)]
+    end = [("b", _ts(60 * 200), True, 200)]
+    batches = [a[:2], *far, a[2:], end]
+    got = _run_lockouts(spark, scratch, "lock_silent", batches, max_failures=3, lock_seconds=900)
+    assert got[3] == (False, True) and got[4] == (True, False)
+    # With an idle limit the key is forgotten on purpose.
+    got = _run_lockouts(spark, scratch, "lock_idle", batches, max_failures=3, lock_seconds=900, idle_seconds=3600)
+    assert got[3] == (False, False) and got[4] == (False, False)
 
 
 def test_sessions_stream_matches_batch(spark, scratch):

@@ -1,10 +1,4 @@
-"""Parsing of form text into typed values; invalid input gives NULL.
-
-ANSI mode is on, so every conversion of untrusted text goes through
-``try_cast``.  The number rules follow JavaScript ``Number()`` on decimal
-literals: surrounding white space is ignored, a sign, a fraction and an
-exponent are allowed, anything else is not a number.
-"""
+"""Fixed patterns of form text, and the text form of amounts."""
 
 from __future__ import annotations
 
@@ -17,54 +11,8 @@ from .text import ColumnOrName, _c, utrim
 ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 # --- end of fixed patterns ---
-DECIMAL_LITERAL_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
-def js_number(c: ColumnOrName) -> Column:
-    """Finite double of a decimal literal, else NULL (empty text is NULL)."""
-    t = utrim(c)
-    val = F.when(t.rlike(DECIMAL_LITERAL_RE), t.try_cast("double"))
-    return F.when(~F.isnan(val) & (F.abs(val) != F.lit(float("inf"))), val)
-
-
-def int_or_null(c: ColumnOrName) -> Column:
-    """Integer of the text (``'7.0'`` counts), NULL if absent, empty or not whole."""
-    d = js_number(c)
-    in_range = (d >= F.lit(-2147483648.0)) & (d <= F.lit(2147483647.0))
-    return F.when((d == F.floor(d)) & in_range, d.cast("int"))
-
-
-def positive_id(c: ColumnOrName) -> Column:
-    """Id filter value: a non-zero integer, else NULL (0 and '' mean "no filter")."""
-    i = int_or_null(c)
-    return F.when(i != 0, i)
 
 
 def decimal_text(c: ColumnOrName) -> Column:
     """Form text of an amount with the decimal comma read as a point."""
     return utrim(F.replace(_c(c), F.lit(","), F.lit(".")))
-
-
-def decimal_or_null(c: ColumnOrName, precision: int = 12, scale: int = 2) -> Column:
-    """Decimal of the text with ',' read as '.'; invalid or out of range gives NULL.
-
-    One comma is read as the decimal point; with two or more the text is not a
-    number either way, so replacing all commas gives the same verdict as
-    replacing the first.
-    """
-    t = decimal_text(c)
-    return F.when(js_number(t).isNotNull(), t.try_cast(f"decimal({precision},{scale})"))
-
-
-def is_iso_date_shape(c: ColumnOrName) -> Column:
-    return F.coalesce(_c(c).rlike(ISO_DATE_RE), F.lit(False))
-
-
-def iso_date_or_null(c: ColumnOrName) -> Column:
-    """Date of 'YYYY-MM-DD' text that names a real day, else NULL."""
-    t = utrim(c)
-    return F.when(t.rlike(ISO_DATE_RE), t.try_cast("date"))
-
-
-def is_email(c: ColumnOrName) -> Column:
-    return F.coalesce(utrim(c).rlike(EMAIL_RE), F.lit(False))

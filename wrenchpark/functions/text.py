@@ -35,12 +35,6 @@ def is_non_empty(c: ColumnOrName) -> Column:
     return F.coalesce(F.length(utrim(c)) > 0, F.lit(False))
 
 
-def clamp(c: ColumnOrName, n: int) -> Column:
-    """Trim and keep the first ``n`` characters; non-empty text only."""
-    t = utrim(c)
-    return F.when(F.length(t) > 0, F.substring(t, 1, n)).otherwise(_c(c))
-
-
 def preview(c: ColumnOrName, n: int = 200) -> Column:
     return F.substring(_c(c), 1, n)
 

@@ -19,17 +19,19 @@ def check_uploads(files: DataFrame, upload_col: str = "upload_id", group_col: st
                   mime_col: str = "mime_type", size_col: str = "size_bytes",
                   max_bytes: int = S.UPLOAD_MAX_BYTES) -> DataFrame:
     """Files with ``accepted`` and ``reason`` (comma list of the broken rules
-    of their upload: ``count:<group>``, ``mime``, ``size``; empty when none)."""
+    of their upload: ``count:<group>``, ``group`` for an unknown one, ``mime`` for
+    a type that is missing or not allowed, ``size``; empty when none)."""
     allowed = list(S.ALLOWED_MIME)
     g = F.col(f"`{group_col}`")
     per = files.groupBy(upload_col).agg(
         *[F.count_if(g == F.lit(name)).alias(f"__n_{name}") for name in S.ATTACHMENT_GROUPS],
-        F.bool_or(~F.col(mime_col).isin(allowed)).alias("__bad_mime"),
+        F.bool_or(~F.coalesce(g.isin(S.ATTACHMENT_GROUPS), F.lit(False))).alias("__bad_group"),
+        F.bool_or(~F.coalesce(F.col(mime_col).isin(allowed), F.lit(False))).alias("__bad_mime"),
         F.bool_or(F.col(size_col) > F.lit(max_bytes)).alias("__too_big"),
     )
     parts = [F.when(F.col(f"__n_{name}") > F.lit(limit), F.lit(f"count:{name}"))
              for name, limit in S.ATTACHMENT_GROUP_LIMITS.items()]
-    parts += [F.when(F.col("__bad_mime"), F.lit("mime")), F.when(F.col("__too_big"), F.lit("size"))]
+    parts += [F.when(F.col("__bad_group"), F.lit("group")), F.when(F.col("__bad_mime"), F.lit("mime")), F.when(F.col("__too_big"), F.lit("size"))]
     verdict = per.select(upload_col, F.concat_ws(",", *parts).alias("reason"))
     return (files.join(verdict, upload_col)
             .withColumn("accepted", F.col("reason") == F.lit("")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from .dims import Dim, as_dim
+from .ingest import split_known
 from .ordered import scan
 
 # Columns a full update replaces (created_at and closed_at stay as they are).
@@ -31,12 +32,19 @@ def last_per_key(changes: DataFrame, key: str, order: list[str], values: list[st
 
 
 def apply_updates(jobs: DataFrame, updates: DataFrame, key: str = "target_id",
-                  order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                  order: list[str] | None = None,
+                  catalogs: Mapping[str, Dim] | None = None) -> tuple[DataFrame, DataFrame]:
     """Full-row replace of the update columns; absent values become NULL.
 
+    With ``catalogs``, an update that names a missing status, type, location
+    or priority is refused before the last update of an id is chosen, so it
+    never wins over an earlier valid one (:func:`update_rejects` lists it).
     Returns (new snapshot, updates whose id does not exist).
     """
     order = order or ["seq"]
+    not_found = updates.join(jobs.select(F.col("id").alias(key)), key, "left_anti")
+    if catalogs is not None:
+        updates, _ = split_known(updates, catalogs)
     last = last_per_key(updates, key, order, UPDATE_COLUMNS)
     j = jobs.alias("j").join(last.alias("u"), F.col("j.id") == F.col(f"u.{key}"), "left")
     matched = F.col(f"u.{key}").isNotNull()
@@ -48,10 +56,15 @@ def apply_updates(jobs: DataFrame, updates: DataFrame, key: str = "target_id",
         else:
             cols.append(F.col(f"j.{c}"))
     snapshot = j.select(*cols)
-    not_found = updates.join(jobs.select(F.col("id").alias(key)), key, "left_anti")
     return snapshot, not_found
 
 
+def update_rejects(jobs: DataFrame, updates: DataFrame, catalogs: Mapping[str, Dim], key: str = "target_id") -> DataFrame:
+    """Updates of existing jobs that name a missing catalog row, with the reason."""
+    _, refused = split_known(updates, catalogs)
+    return refused.join(jobs.select(F.col("id").alias(key)), key, "left_semi")
+
+
 def _is_closed(statuses: Dim, status_col: str) -> tuple[DataFrame, Column]:
     st = as_dim(statuses).for_join().select(F.col("id").alias("__sid"),
                                             (F.lower("name") == F.lit(S.CLOSED_STATUS)).alias("__closed"))
@@ -65,22 +78,14 @@ def valid_status_changes(jobs: DataFrame, changes: DataFrame,
     rejected ones with a reason: ``invalid`` (no status), ``fk:estado``
     (unknown status) or ``not_found`` (unknown job)."""
     st, cond = _is_closed(statuses, "status_id")
-    has_status = F.coalesce(F.col("status_id"), F.lit(0)) != 0
-    c = changes.where(has_status)
-    known = c.join(st, cond, "left")
-    with_status = known.where(F.col("__sid").isNotNull())
-    ids = jobs.select(F.col("id").alias("job_id"))
-    # One join to the job table gives both existence and the status before the batch.
-    cur = jobs.select(F.col("id").alias("job_id"), F.col("status_id").alias("prior_status"),
-                      F.lit(True).alias("__job"))
-    valid = (with_status.join(cur, "job_id", "left").where(F.col("__job"))
-             .select(*changes.columns, F.col("__closed").alias("closes"), "prior_status"))
-    rej = (changes.where(~has_status).withColumn("reason", F.lit("invalid"))
-           .unionByName(known.where(F.col("__sid").isNull()).select(*changes.columns)
-                        .withColumn("reason", F.lit("fk:estado")))
-           .unionByName(with_status.join(ids, "job_id", "left_anti").select(*changes.columns)
-                        .withColumn("reason", F.lit("not_found"))))
-    return valid, rej
+    # One join to the catalog and one to the job table decide every change.
+    cur = jobs.select(F.col("id").alias("__job"), F.col("status_id").alias("prior_status"))
+    reason = (F.when(F.coalesce(F.col("status_id"), F.lit(0)) == 0, "invalid").when(F.col("__sid").isNull(), "fk:estado")
+               .when(F.col("__job").isNull(), "not_found"))
+    c = (changes.join(st, cond, "left").join(cur, F.col("job_id") == F.col("__job"), "left")
+         .withColumn("reason", reason))
+    valid = c.where(F.col("reason").isNull()).select(*changes.columns, F.col("__closed").alias("closes"), "prior_status")
+    return valid, c.where(F.col("reason").isNotNull()).select(*changes.columns, "reason")
 
 
 def apply_status_changes(jobs: DataFrame, changes: DataFrame, statuses: Dim) -> DataFrame:

@@ -36,16 +36,11 @@ MESSAGES = {
 # --- end of fixed values ---
 
 
-def _raw(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("string")
-
-
 ID_FIELDS = ["location_id", "type_id", "status_id", "priority_id"]
 TEXT_FIELDS = ["created_by_name", "created_by_email", "provider", "purchase_order", "requested_by",
                "notes", "owner_name", "owner_email", "repair_date", "due_date"]
 
 
-INTEGRAL_RE = r"^([+-]?\d+)(?:\.0*)?$"
 DECIMAL_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -60,7 +55,7 @@ def validate(records: DataFrame, mode: str = "create") -> DataFrame:
     text (no match gives '' and ``try_cast('')`` is NULL), so each text is
     read once even after Catalyst inlines the projections into a filter.
     Numbers follow JavaScript ``Number()`` on decimal text: an id is a whole
-    number (``'7.0'`` counts), an amount may use a decimal comma.
+    number (``'7.0'`` and ``'1e1'`` count), an amount may use a decimal comma.
     """
     raw = {n: (F.col(n) if n in records.columns else F.lit(None).cast("string"))
            for n in ["description", "net_value", *ID_FIELDS, *TEXT_FIELDS]}
@@ -69,7 +64,8 @@ def validate(records: DataFrame, mode: str = "create") -> DataFrame:
     desc_t = utrim(F.coalesce(raw["description"], F.lit("")))
 
     def whole(c: str) -> Column:
-        return F.regexp_extract(t[c], INTEGRAL_RE, 1).try_cast("int")
+        n = F.regexp_extract(t[c], DECIMAL_RE, 0).try_cast("decimal(38,9)")
+        return F.when(n == F.floor(n), n.try_cast("int"))
 
     def text_or_null(c: str) -> Column:
         return F.when(F.length(t[c]) > 0, t[c])
@@ -177,20 +173,22 @@ def assign_ids(df: DataFrame, order_by: list[str], base: int, out: str = "id") -
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition: the running sum is bounded by the partition count.
     offsets = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
-    n_parts = frozen.rdd.getNumPartitions()
-    right = F.broadcast(offsets) if n_parts <= 1_000_000 else offsets
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
-    return (tagged.join(right, "__pid")
+    return (tagged.join(F.broadcast(offsets), "__pid")
             .withColumn(out, F.lit(base).cast("bigint") + F.col("__off") + local + 1)
             .drop("__pid", "__mid", "__off"))
 
 
 def create_jobs(valid: DataFrame, existing_jobs: DataFrame, statuses: Dim | DataFrame, as_of: str,
                 order_by: list[str], default_name: str | None = None,
-                default_email: str | None = None) -> DataFrame:
+                default_email: str | None = None, catalogs: Mapping[str, Dim] | None = None) -> DataFrame:
     """New job rows from accepted records: status always 'Pendiente' (looked up
     by name), created now (``as_of``), default creator, ids above the current
-    maximum in ``order_by`` order."""
+    maximum in ``order_by`` order.  With ``catalogs``, records that name a
+    missing type, location or priority are refused before ids are given
+    (:func:`split_known` returns them)."""
+    if catalogs is not None:
+        valid, _ = split_known(valid, catalogs, CREATE_FK)
     base = existing_jobs.agg(F.max("id")).first()[0] or 0      # one scalar
     # The status id of 'Pendiente' is one catalog lookup (a scalar), as in the source.
     hit = as_dim(statuses).df.where(F.lower("name") == "pendiente").select("id").first()
@@ -207,26 +205,41 @@ def create_jobs(valid: DataFrame, existing_jobs: DataFrame, statuses: Dim | Data
 
 def comments_split(incoming: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New comments: text trimmed and non-empty, parent job present.
-    Returns (accepted, rejected with a reason)."""
-    t = trim_to_null(F.col("comment"))
-    c = incoming.withColumn("comment", t)
-    parents = jobs.select(F.col("id").alias("job_id"))
-    ok_text = c.where(F.col("comment").isNotNull())
-    acc = ok_text.join(parents, "job_id", "left_semi").withColumn("preview", preview("comment", S.PREVIEW_CHARS))
-    rej_text = c.where(F.col("comment").isNull()).withColumn("reason", F.lit("empty"))
-    rej_parent = ok_text.join(parents, "job_id", "left_anti").withColumn("reason", F.lit("not_found"))
-    return acc, rej_text.unionByName(rej_parent)
+    Returns (accepted, rejected with a reason); one join to the job table
+    decides both."""
+    parents = jobs.select(F.col("id").alias("__parent"))
+    c = (incoming.withColumn("comment", trim_to_null(F.col("comment")))
+         .join(parents, F.col("job_id") == F.col("__parent"), "left")
+         .withColumn("reason", F.when(F.col("comment").isNull(), "empty").when(F.col("__parent").isNull(), "not_found"))
+         .drop("__parent"))
+    acc = c.where(F.col("reason").isNull()).drop("reason").withColumn("preview", preview("comment", S.PREVIEW_CHARS))
+    return acc, c.where(F.col("reason").isNotNull())
 
 
 FK_COLUMNS = (("status_id", "status"), ("type_id", "type"), ("location_id", "location"),
               ("priority_id", "priority"))
 
 
-def _with_known(rows: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
+# A new job's status is given, so only the other references come from its record.
+CREATE_FK = FK_COLUMNS[1:]
+
+
+def split_known(rows: DataFrame, catalogs: Mapping[str, Dim],
+                columns: tuple[tuple[str, str], ...] = FK_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose references all exist, and the others with ``reason``: a comma
+    list of ``fk:<catalog>``.  A NULL reference is not looked up."""
+    df = _with_known(rows, catalogs, columns)
+    broken = [F.when(F.col(col).isNotNull() & F.col(f"__k_{cat}").isNull(), F.lit(f"fk:{cat}")) for col, cat in columns]
+    df = df.withColumn("reason", F.concat_ws(",", *broken)).drop(*[f"__k_{cat}" for _, cat in columns])
+    return df.where("reason = ''").drop("reason"), df.where("reason <> ''")
+
+
+def _with_known(rows: DataFrame, catalogs: Mapping[str, Dim],
+                columns: tuple[tuple[str, str], ...] = FK_COLUMNS) -> DataFrame:
     """Rows with a ``__k_<catalog>`` column: the catalog id when the row's id
     exists there, NULL otherwise (left joins to size-checked catalogs)."""
     df = rows
-    for col, cat in FK_COLUMNS:
+    for col, cat in columns:
         known = catalogs[cat].for_join().select(F.col("id").alias(f"__k_{cat}"))
         df = df.join(known, df[col] == known[f"__k_{cat}"], "left")
     return df
@@ -268,8 +281,8 @@ def contract_violations(jobs: DataFrame, catalogs: Mapping[str, Dim], statuses:
 
     NOT NULL of required columns, text longer than its limit, foreign keys and
     closed status without a closing time (K4) come from one pass over the
-    table (one array of breaches per row, exploded); duplicate ids need one
-    aggregate.  A missing required column is not a row: it raises, like a
+    table (one array of breaches per row, exploded); duplicate ids, and names
+    that a catalog has twice (in any case), need one aggregate each.  A missing required column is not a row: it raises, like a
     missing migration.
     """
     missing = [c for c in S.REQUIRED_COLUMNS if c not in jobs.columns]
@@ -293,4 +306,8 @@ def contract_violations(jobs: DataFrame, catalogs: Mapping[str, Dim], statuses:
             .select(F.col("b.rule").alias("rule"), F.col("b.column").alias("column"), "id"))
     dup = (jobs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
            .select(F.lit("unique").alias("rule"), F.lit("id").alias("column"), "id"))
+    for name, dim in catalogs.items():
+        twice = as_dim(dim).df.groupBy(F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
+        dup = dup.unionByName(twice.where("k > 1").select(F.lit("unique").alias("rule"), F.lit(f"{name}.name").alias("column"),
+                                                          F.col("id").cast("long").alias("id")))
     return rows.unionByName(dup)

@@ -9,8 +9,9 @@ plans as a TakeOrderedAndProject: each task keeps only its best
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -98,6 +99,26 @@ def status_bucket(status: str | Column = "status") -> Column:
              .otherwise(F.lit("other")))
 
 
+def catalog_rows(catalogs: Mapping[str, Dim]) -> DataFrame:
+    """(catalog, pos, id, name): locations by name, the other catalogs by id."""
+    parts = [dim.df.select(F.lit(name).alias("catalog"), "id", "name",
+                           (F.col("name") if name == "location" else F.lit("")).alias("__by")) for name, dim in catalogs.items()]
+    w = Window.partitionBy("catalog").orderBy("__by", "id")
+    rows = reduce(DataFrame.unionByName, parts).withColumn("pos", F.row_number().over(w))
+    return rows.select("catalog", "pos", "id", "name").orderBy("catalog", "pos")
+
+
+def nested_attachments(jobs: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(id, attachments): each job with its attachments nested, newest first;
+    an empty array when it has none.  One upload holds at most 24 files, so an
+    array is bounded by 24 times the uploads of the job; for jobs with very
+    many uploads use :func:`attachment_summary`."""
+    per = attachments.groupBy("job_id").agg(attachments_newest_first(attachments).alias("attachments"))
+    kind = per.schema["attachments"].dataType
+    return (jobs.select("id").join(per, F.col("id") == per.job_id, "left")
+            .select("id", F.coalesce("attachments", F.array().cast(kind)).alias("attachments")))
+
+
 def detail_row(jobs: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
     """Detail projection: every fact column, formatted dates and names."""
     df = star(jobs, catalogs)

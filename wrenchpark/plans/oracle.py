@@ -118,10 +118,10 @@ WITH statuses AS (
 ), validated AS (
   SELECT *,
     CASE WHEN length(d_t) > 0 THEN substr(d_t, 1, 4000) ELSE coalesce(description, '') END AS v_description,
-    TRY_CAST(regexp_extract(trim(location_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER) AS v_location_id,
-    TRY_CAST(regexp_extract(trim(type_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER) AS v_type_id,
-    TRY_CAST(regexp_extract(trim(status_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER) AS v_status_id,
-    nullif(TRY_CAST(regexp_extract(trim(priority_id), '^([+-]?\d+)(?:\.0*)?$', 1) AS INTEGER), 0) AS v_priority_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END AS v_location_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END AS v_type_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END AS v_status_id,
+    nullif(CASE WHEN TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END, 0) AS v_priority_id,
     CASE WHEN net_value IS NULL OR net_value = '' THEN NULL WHEN net_t = '' THEN CAST(0 AS DECIMAL(12,2))
          ELSE TRY_CAST(regexp_extract(net_t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(12,2)) END AS v_net_value,
     CASE WHEN length(cm_t) > 0 THEN cm_t END AS v_created_by_email,
@@ -131,10 +131,6 @@ WITH statuses AS (
   FROM (
     SELECT *,
       regexp_replace(coalesce(description, ''), '^\s+|\s+$', '', 'g') AS d_t,
-      CASE WHEN regexp_matches(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(location_id) AS DOUBLE) END AS loc_d,
-      CASE WHEN regexp_matches(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(type_id) AS DOUBLE) END AS typ_d,
-      CASE WHEN regexp_matches(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(status_id) AS DOUBLE) END AS st_d,
-      CASE WHEN regexp_matches(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST(trim(priority_id) AS DOUBLE) END AS pr_d,
       trim(replace(net_value, ',', '.')) AS net_t,
       regexp_replace(created_by_email, '^\s+|\s+$', '', 'g') AS cm_t,
       regexp_replace(owner_email, '^\s+|\s+$', '', 'g') AS om_t,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import audit as AU
 from ..operators import changes as C
 from ..operators import ingest as I
-from ..sources.testdata import DriverModel
+from ..sources.testdata import LIST_AS_OF, DriverModel
 from .oracle import q
 from .registry import register
 
@@ -34,8 +36,14 @@ _UPD_SQL = """
          v_priority_id AS priority_id, v_due_date AS due_date, CAST(NULL AS VARCHAR) AS owner_name,
          v_owner_email AS owner_email
   FROM checked WHERE update_error_fields = ''
+), known_upd AS (
+  SELECT *, concat_ws(',', CASE WHEN status_id NOT IN (SELECT id FROM statuses) THEN 'fk:status' END,
+                           CASE WHEN type_id NOT IN (SELECT id FROM types) THEN 'fk:type' END,
+                           CASE WHEN location_id NOT IN (SELECT id FROM locations) THEN 'fk:location' END,
+                           CASE WHEN priority_id NOT IN (SELECT id FROM priorities) THEN 'fk:priority' END) AS reason
+  FROM upd
 ), last_upd AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq DESC) AS rn FROM upd) WHERE rn = 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq DESC) AS rn FROM known_upd WHERE reason = '') WHERE rn = 1
 )
 """
 
@@ -48,7 +56,7 @@ FROM jobs j LEFT JOIN last_upd u ON u.target_id = j.id
 def apply_updates(m: DriverModel):
     """The job table after a batch of full updates (last update per id wins;
     created_at and closed_at untouched)."""
-    snap, _ = C.apply_updates(m.jobs, _updates(m))
+    snap, _ = C.apply_updates(m.jobs, _updates(m), catalogs=m.catalogs())
     return snap.select("id", "created_at", "closed_at", *UPD_COLS)
 
 
@@ -60,6 +68,14 @@ def update_not_found(m: DriverModel):
     return nf.select("target_id", "seq")
 
 
+@register("update_rejects", "M3, K14", q(_UPD_SQL + """
+SELECT target_id, seq, reason FROM known_upd WHERE reason <> '' AND target_id IN (SELECT id FROM jobs)
+"""))
+def update_rejects(m: DriverModel):
+    """Updates of existing jobs that name a missing catalog row."""
+    return C.update_rejects(m.jobs, _updates(m), m.catalogs()).select("target_id", "seq", "reason")
+
+
 _VALID_SQL = """
 , valid AS (
   SELECT c.*, lower(s.name) = 'cerrado' AS closes
@@ -148,6 +164,16 @@ def delete_not_found(m: DriverModel):
     return nf
 
 
+@register("attachment_delete", "M7", q("""
+SELECT id, job_id FROM attachments WHERE id NOT IN (SELECT id FROM attachments WHERE "group" = 'antes' AND size_bytes > 4000000)
+"""))
+def attachment_delete(m: DriverModel):
+    """Attachments left after deleting the large ones of one group by id."""
+    gone = m.attachments.where((F.col("group") == "antes") & (F.col("size_bytes") > 4000000)).select("id")
+    left, _ = C.delete_rows(m.attachments, gone)
+    return left.select("id", "job_id")
+
+
 @register("cascade_delete", "J6, M8", q("""
 , gone AS (SELECT id FROM jobs WHERE status_id = 3 AND created_at < TIMESTAMP '1996-01-01 00:00:00')
 SELECT 'attachments' AS child, id, job_id FROM attachments WHERE job_id NOT IN (SELECT id FROM gone)
@@ -176,3 +202,44 @@ def audit_parsed(m: DriverModel):
     p = AU.parsed(m.audit)
     return p.select("id", "job_id", "action", "logged_at",
                     F.try_variant_get("detail_json", "$.k", "int").alias("detail_k"))
+
+
+_ACTIONS_SQL = _UPD_SQL + _VALID_SQL + _DELETE_SQL + """
+, created AS (
+  SELECT (SELECT MAX(id) FROM jobs) + ROW_NUMBER() OVER (ORDER BY record_id) AS job_id, v_type_id, v_location_id, v_priority_id, v_due_date
+  FROM checked WHERE error_fields = '' AND v_type_id IN (SELECT id FROM types) AND v_location_id IN (SELECT id FROM locations)
+    AND (v_priority_id IS NULL OR v_priority_id IN (SELECT id FROM priorities))
+), actions AS (
+  SELECT job_id, 'CREADO' AS action, to_json({'tipo_id': v_type_id, 'ubicacion_id': v_location_id, 'prioridad_id': v_priority_id,
+                                             'fecha_objetivo': strftime(v_due_date, '%Y-%m-%d')}) AS detail FROM created
+  UNION ALL SELECT job_id, 'ADJUNTO_SUBIDO', to_json({'count': COUNT(*)}) FROM attachments
+            WHERE mime_type <> 'application/pdf' GROUP BY job_id
+  UNION ALL SELECT target_id, 'EDITADO', to_json({'descripcion': substr(description, 1, 200)}) FROM known_upd
+            WHERE reason = '' AND target_id IN (SELECT id FROM jobs)
+  UNION ALL SELECT job_id, 'ESTADO_CAMBIADO', to_json({'from': from_status, 'to': to_status, 'cerrado': closed}) FROM hist
+  UNION ALL SELECT job_id, 'COMENTARIO_AGREGADO', to_json({'comentario': substr(comment, 1, 200)}) FROM comments
+  UNION ALL SELECT job_id, 'COMENTARIO_ELIMINADO', to_json({'comentario_id': id}) FROM comments WHERE id IN (SELECT id FROM del)
+  UNION ALL SELECT job_id, 'ADJUNTO_ELIMINADO', to_json({'adjunto_id': id}) FROM attachments WHERE "group" = 'antes' AND size_bytes > 4000000
+)
+SELECT job_id, action, CAST(detail AS VARCHAR) AS detail, 'sistema' AS actor_name, '10.0.' || CAST(job_id % 256 AS VARCHAR) || '.1' AS ip,
+       substr(repeat('agente ', 50), 1, 250) AS user_agent
+FROM actions
+"""
+
+
+@register("audit_actions", "M9, X17, X19, X20", q(_ACTIONS_SQL))
+def audit_actions(m: DriverModel):
+    """Audit rows of all seven actions with actor, first forwarded address and cut agent."""
+    valid = I.accepted(I.validate(m.incoming))
+    new = I.create_jobs(valid, m.jobs, m.statuses, LIST_AS_OF, order_by=["record_id"], catalogs=m.catalogs())
+    known, _ = I.split_known(_updates(m), m.catalogs())
+    edited = known.join(m.jobs.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    large = m.attachments.where((F.col("group") == "antes") & (F.col("size_bytes") > 4000000))
+    parts = [AU.audit_created(new), AU.audit_uploaded(m.attachments.where(F.col("mime_type") != "application/pdf")), AU.audit_edited(edited),
+             AU.audit_from_history(C.status_history(m.jobs, m.status_changes, m.statuses)), AU.audit_from_comments(m.comments),
+             AU.audit_deleted(m.comments.join(_delete_ids(m).distinct(), "id", "left_semi"), "comment"), AU.audit_deleted(large, "attachment")]
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select(F.col("job_id").cast("long").alias("job_id"), "action", "detail") for p in parts])
+    rows = rows.withColumn("forwarded", F.concat(F.lit(" 10.0."), (F.col("job_id") % 256).cast("string"), F.lit(".1 , 172.16.0.1")))
+    rows = rows.withColumn("agent", F.repeat(F.lit("agente "), 50))
+    out = AU.with_request(rows, forwarded_for="forwarded", user_agent="agent", actor_name="sistema")
+    return out.select("job_id", "action", "detail", "actor_name", "ip", "user_agent")

@@ -38,16 +38,31 @@ SELECT (SELECT MAX(id) FROM jobs) + ROW_NUMBER() OVER (ORDER BY record_id) AS id
        CAST(1 AS INTEGER) AS status_id, TIMESTAMP '{LIST_AS_OF}' AS created_at,
        created_by_name, v_created_by_email AS created_by_email, v_description AS description,
        v_location_id AS location_id, v_type_id AS type_id
-FROM checked WHERE error_fields = ''
+FROM checked WHERE error_fields = '' AND v_type_id IN (SELECT id FROM types) AND v_location_id IN (SELECT id FROM locations)
+  AND (v_priority_id IS NULL OR v_priority_id IN (SELECT id FROM priorities))
 """))
 def create_jobs(m: DriverModel):
     """Accepted records become jobs numbered above the current maximum id."""
     valid = I.accepted(I.validate(m.incoming))
-    new = I.create_jobs(valid, m.jobs, m.statuses, LIST_AS_OF, order_by=["record_id"])
+    new = I.create_jobs(valid, m.jobs, m.statuses, LIST_AS_OF, order_by=["record_id"], catalogs=m.catalogs())
     return new.select("id", "record_id", "status_id", "created_at", "created_by_name", "created_by_email",
                       "description", "location_id", "type_id")
 
 
+@register("create_rejects", "M2, K14", q("""
+SELECT record_id, reason FROM (
+  SELECT record_id, concat_ws(',', CASE WHEN v_type_id NOT IN (SELECT id FROM types) THEN 'fk:type' END,
+                                   CASE WHEN v_location_id NOT IN (SELECT id FROM locations) THEN 'fk:location' END,
+                                   CASE WHEN v_priority_id NOT IN (SELECT id FROM priorities) THEN 'fk:priority' END) AS reason
+  FROM checked WHERE error_fields = '')
+WHERE reason <> ''
+"""))
+def create_rejects(m: DriverModel):
+    """Accepted records that name a missing type, location or priority."""
+    _, refused = I.split_known(I.accepted(I.validate(m.incoming)), m.catalogs(), I.CREATE_FK)
+    return refused.select("record_id", "reason")
+
+
 _COMMENTS_SQL = """
 , ic AS (
   SELECT conv_id * 1000 + turn AS comment_seq, conv_id * 211 + turn AS job_id,
@@ -97,6 +112,20 @@ def fk_violations(m: DriverModel):
 
 @register("contract_violations", "M13, K4", q("""
 SELECT 'not_null' AS rule, 'description' AS "column", id FROM jobs WHERE description IS NULL
+UNION ALL SELECT 'not_null', 'created_at', id FROM jobs WHERE created_at IS NULL
+UNION ALL SELECT 'not_null', 'location_id', id FROM jobs WHERE location_id IS NULL
+UNION ALL SELECT 'not_null', 'type_id', id FROM jobs WHERE type_id IS NULL
+UNION ALL SELECT 'not_null', 'status_id', id FROM jobs WHERE status_id IS NULL
+UNION ALL SELECT 'max_length', 'created_by_email', id FROM jobs WHERE length(created_by_email) > 150
+UNION ALL SELECT 'max_length', 'requested_by', id FROM jobs WHERE length(requested_by) > 100
+UNION ALL SELECT 'max_length', 'owner_name', id FROM jobs WHERE length(owner_name) > 100
+UNION ALL SELECT 'max_length', 'owner_email', id FROM jobs WHERE length(owner_email) > 150
+UNION ALL SELECT 'foreign_key', 'status', id FROM jobs WHERE status_id NOT IN (SELECT id FROM statuses)
+UNION ALL SELECT 'foreign_key', 'type', id FROM jobs WHERE type_id NOT IN (SELECT id FROM types)
+UNION ALL SELECT 'unique', 'status.name', MIN(id) FROM statuses GROUP BY lower(name) HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'type.name', MIN(id) FROM types GROUP BY lower(name) HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'location.name', MIN(id) FROM locations GROUP BY lower(name) HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'priority.name', MIN(id) FROM priorities GROUP BY lower(name) HAVING COUNT(*) > 1
 UNION ALL SELECT 'max_length', 'provider', id FROM jobs WHERE length(provider) > 150
 UNION ALL SELECT 'max_length', 'purchase_order', id FROM jobs WHERE length(purchase_order) > 50
 UNION ALL SELECT 'max_length', 'created_by_name', id FROM jobs WHERE length(created_by_name) > 100
@@ -149,13 +178,15 @@ def seed_missing(m: DriverModel):
          COUNT(*) FILTER (WHERE "group" = 'antes') AS n_antes,
          COUNT(*) FILTER (WHERE "group" = 'despues') AS n_despues,
          COUNT(*) FILTER (WHERE "group" = 'evidencia') AS n_evidencia,
-         bool_or(mime_type NOT IN ('image/jpeg', 'image/png', 'image/webp')) AS bad_mime,
+         bool_or(coalesce("group" NOT IN ('antes', 'despues', 'evidencia'), true)) AS bad_group,
+         bool_or(coalesce(mime_type NOT IN ('image/jpeg', 'image/png', 'image/webp'), true)) AS bad_mime,
          bool_or(size_bytes > 5242880) AS too_big
   FROM attachments GROUP BY job_id
 ), verdict AS (
   SELECT job_id, concat_ws(',', CASE WHEN n_antes > 2 THEN 'count:antes' END,
                                 CASE WHEN n_despues > 2 THEN 'count:despues' END,
                                 CASE WHEN n_evidencia > 20 THEN 'count:evidencia' END,
+                                CASE WHEN bad_group THEN 'group' END,
                                 CASE WHEN bad_mime THEN 'mime' END,
                                 CASE WHEN too_big THEN 'size' END) AS reason
   FROM per_upload

@@ -26,18 +26,14 @@ DETAIL_JOB_ID = 7
 
 
 @register("catalog_scan", "S1, T6", q("""
-SELECT 'status' AS catalog, id, name FROM statuses
-UNION ALL SELECT 'type', id, name FROM types
-UNION ALL SELECT 'location', id, name FROM locations
-UNION ALL SELECT 'priority', id, name FROM priorities
+SELECT 'status' AS catalog, CAST(ROW_NUMBER() OVER (ORDER BY id) AS INTEGER) AS pos, id, name FROM statuses
+UNION ALL SELECT 'type', CAST(ROW_NUMBER() OVER (ORDER BY id) AS INTEGER), id, name FROM types
+UNION ALL SELECT 'location', CAST(ROW_NUMBER() OVER (ORDER BY name) AS INTEGER), id, name FROM locations
+UNION ALL SELECT 'priority', CAST(ROW_NUMBER() OVER (ORDER BY id) AS INTEGER), id, name FROM priorities
 """))
 def catalog_scan(m: DriverModel):
-    """The four catalogs as (catalog, id, name) rows."""
-    parts = [dim.df.select(F.lit(name).alias("catalog"), "id", "name") for name, dim in m.catalogs().items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The four catalogs in their order, with each row's position in it."""
+    return L.catalog_rows(m.catalogs())
 
 
 @register("jobs_scan", "S3", q(f"SELECT {', '.join(S.JOB_COLUMNS)} FROM jobs"))
@@ -352,3 +348,16 @@ FROM e
 def export_csv_rows(m: DriverModel):
     """Each export row as its CSV line: ';' separated, quoted only when needed."""
     return X.csv_lines(X.export_rows(m.jobs, m.catalogs(), LIST_FILTER, LIST_AS_OF, ordered=False))
+
+
+@register("job_attachments_nested", "J4", q("""
+SELECT j.id, a.pos, a.id AS attachment_id, a."group", a.file_path
+FROM jobs j JOIN (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY id DESC, file_path DESC, "group" DESC, original_name DESC) - 1 AS INTEGER) AS pos
+  FROM attachments) a ON a.job_id = j.id
+"""))
+def job_attachments_nested(m: DriverModel):
+    """The attachments nested in every job, unfolded again with their place."""
+    nested = L.nested_attachments(m.jobs, m.attachments)
+    return nested.select("id", F.posexplode("attachments").alias("pos", "a")).select(
+        "id", "pos", F.col("a.id").alias("attachment_id"), F.col("a.group").alias("group"), F.col("a.file_path").alias("file_path"))

@@ -3,6 +3,8 @@ forms; the stream forms are exercised against them in the tests)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.testdata import LOCK_DURATION, LOCK_MAX_FAILURES, SESSION_GAP, DriverModel
 from ..streaming import audit_feed, lockouts, sessions
 from .oracle import q
@@ -25,9 +27,11 @@ def sessions_q(m: DriverModel):
     return sessions.sessions(m.activity, "user_id", "ts", SESSION_GAP).drop("session_no")
 
 
-@register("lockouts", "Z2", q(f"""
+def _walk_sql(source: str) -> str:
+    return q(f"""
+, src AS ({source})
 , a AS (
-  SELECT key, ts, ok, seq, ROW_NUMBER() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM login_attempts
+  SELECT key, ts, ok, seq, ROW_NUMBER() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM src
 ), walk AS (
   SELECT key, rn, seq, false AS refused,
          (NOT ok AND 1 >= {LOCK_MAX_FAILURES}) AS fires_lock,
@@ -49,7 +53,10 @@ def sessions_q(m: DriverModel):
 )
 SELECT key, seq, refused, fires_lock, CASE WHEN refused OR fires_lock THEN lock_until END AS locked_until
 FROM walk
-""").replace("\nWITH statuses AS (", "\nWITH RECURSIVE statuses AS (", 1))
+""").replace("\nWITH statuses AS (", "\nWITH RECURSIVE statuses AS (", 1)
+
+
+@register("lockouts", "Z2", _walk_sql("SELECT key, ts, ok, seq FROM login_attempts"))
 def lockouts_q(m: DriverModel):
     """Login attempts (error = failure, purchase = success) with the lockout
     decision: 3 failures lock a key for 12 hours on this data."""
@@ -58,6 +65,14 @@ def lockouts_q(m: DriverModel):
     return d.select("key", "seq", "refused", "fires_lock", "locked_until")
 
 
+@register("lockouts_hot", "Z2", _walk_sql("SELECT CAST(CAST(key AS BIGINT) % 3 AS VARCHAR) AS key, ts, ok, seq FROM login_attempts"))
+def lockouts_hot(m: DriverModel):
+    """The same attempts under three keys, each with a third of all rows."""
+    a = m.login_attempts.withColumn("key", (F.col("key").cast("long") % 3).cast("string"))
+    d = lockouts.lockout_decisions(a, "key", "ts", "ok", "seq", max_failures=LOCK_MAX_FAILURES, lock=LOCK_DURATION)
+    return d.select("key", "seq", "refused", "fires_lock", "locked_until")
+
+
 @register("audit_daily", "Z3", q("""
 SELECT CAST(ts AS DATE) AS day, event_type AS action, COUNT(*) AS n FROM events GROUP BY 1, 2
 """))

@@ -6,7 +6,6 @@ only reads what the job needs (Catalyst prunes further).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +47,7 @@ def optional_table(spark: SparkSession, path: str | None, schema: T.StructType,
     ensure_conf(spark)
     if table and spark.catalog.tableExists(table):
         return conform(spark.table(table), schema)
-    if path and (os.path.exists(path) or "://" in path) and path_exists(spark, path):
+    if path and path_exists(spark, path):
         return conform(spark.read.parquet(path), schema)
     return spark.createDataFrame([], schema)
 

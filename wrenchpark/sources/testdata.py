@@ -57,13 +57,6 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
-# Row counts of derived catalogs, by (input folder, catalog).  The driver's
-# tables are immutable inputs, so a count taken once holds for the session.
-_CATALOG_ROWS: dict[tuple[str, str], int] = {}
-_CATALOG_LOCAL: dict[tuple[str, str], list[tuple]] = {}
-LOCAL_CATALOG_MAX_ROWS = 10_000
-
-
 class DriverModel:
     """Lazy work-order tables over ``sf_dir``."""
 
@@ -72,27 +65,21 @@ class DriverModel:
         self.sf_dir = sf_dir
         self._spread_cache: dict[str, tuple[bool, int]] = {}
 
-    # Tables smaller than this many bytes are left as they are; larger ones
-    # read as fewer splits than the cluster has cores are spread round-robin.
-    SPREAD_MIN_BYTES = 1 << 20
+    # Tables that row-wise work runs over; the driver writes each as one row group.
+    FACTS = ("orders", "customer", "lineitem", "events", "conversations")
 
     def read(self, name: str, columns=None) -> DataFrame:
         df = read_table(self.spark, self.sf_dir, name, columns)
-        return self._spread(name, df)
+        return self._spread(name, df) if name in self.FACTS else df
 
     def _spread(self, name: str, df: DataFrame) -> DataFrame:
-        """The driver writes each table as one Parquet row group, so a scan is
-        one task however large the table.  When a table is big enough to
-        matter and yields fewer splits than the cluster's parallelism, it is
-        spread round-robin so row-wise work uses every core.  On real inputs
-        (thousands of splits) this is a no-op."""
+        """Spread a fact table round-robin when it yields fewer splits than the
+        cluster's parallelism (one row group is one task however many cores
+        there are).  On real inputs, with thousands of splits, a no-op."""
         if name not in self._spread_cache:
-            import os
-            path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
-            size = os.path.getsize(path) if os.path.exists(path) else 0
             try:
                 par = self.spark.sparkContext.defaultParallelism
-                need = size >= self.SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < par
+                need = df.rdd.getNumPartitions() < par
             except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
                 par, need = 0, False
             self._spread_cache[name] = (need, par)
@@ -111,8 +98,7 @@ class DriverModel:
     @cached_property
     def locations(self) -> Dim:
         nation = self.read("nation", ["n_nationkey", "n_name"])
-        return self._counted("locations", nation.select(F.col("n_nationkey").cast("int").alias("id"),
-                                                        F.col("n_name").alias("name")))
+        return Dim(nation.select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name")))
 
     @cached_property
     def types(self) -> Dim:
@@ -121,21 +107,7 @@ class DriverModel:
         # (a catalog) reach the numbering window.
         names = self.read("customer", ["c_mktsegment"]).select(F.col("c_mktsegment").alias("name")).distinct()
         numbered = names.select(F.dense_rank().over(Window.orderBy("name")).cast("int").alias("id"), "name")
-        return self._counted("types", numbered)
-
-    def _counted(self, name: str, df: DataFrame) -> Dim:
-        """A derived catalog with its row count.  When the count is under the
-        local bound the few rows are kept as a local relation for the session
-        (what a broadcast ships anyway), so later queries do not derive the
-        catalog again."""
-        key = (self.sf_dir, name)
-        if key not in _CATALOG_ROWS:
-            _CATALOG_ROWS[key] = df.count()
-            if _CATALOG_ROWS[key] <= LOCAL_CATALOG_MAX_ROWS:
-                _CATALOG_LOCAL[key] = [tuple(r) for r in df.collect()]
-        if key in _CATALOG_LOCAL:
-            return Dim(self.spark.createDataFrame(_CATALOG_LOCAL[key], S.CATALOG), _CATALOG_ROWS[key])
-        return Dim(df, _CATALOG_ROWS[key])
+        return Dim(numbered)
 
     def catalogs(self) -> dict[str, Dim]:
         return {"status": self.statuses, "type": self.types,

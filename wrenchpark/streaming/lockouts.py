@@ -6,10 +6,8 @@ nothing; a success clears the failure count; a failure adds one, and the
 ``max_failures``-th failure starts the lock and resets the count to 0.  An
 attempt exactly at the lock end is accepted.  Failures never expire.
 
-Batch form, exact.  Keys with at most ``SMALL_KEY_MAX`` attempts are folded
-in one pass with the built-in ``aggregate`` function over their bounded,
-sorted attempt array.  Larger keys (any size, up to a third of all rows) use
-a chain search without a per-key array or single-task window:
+Batch form, exact, and the same for keys of every size: a chain search without
+a per-key array or single-task window.
 
 1. Attempts are numbered per key (``idx``) with a bucketed ordered scan.
 2. An *epoch* starts in the clean state (count 0, no lock).  From a start
@@ -27,8 +25,10 @@ a chain search without a per-key array or single-task window:
    (forward fill in the ordered scan); attempts after the epoch end are
    refused.
 
-Stream form: ``applyInPandasWithState`` keyed by the login key, with the
-count and lock end as state and an event-time timeout that drops idle keys.
+Stream form: ``applyInPandasWithState`` keyed by the login key.  Attempts wait in
+the state until the watermark has passed them and are then folded in (ts, seq)
+order, so batches may bring them in any order.  The count and the lock end stay
+for good, as in the source, unless an idle limit is asked for.
 """
 
 from __future__ import annotations
@@ -45,69 +45,11 @@ def _bucket(ts: str, unit: str):
     return F.date_trunc(unit, F.col(ts))
 
 
-# Keys with at most this many attempts are folded in one pass (their attempts
-# form a bounded array); larger keys go through the distributed chain search.
-SMALL_KEY_MAX = 1000
-
-OUT_COLUMNS = ["idx", "refused", "fires_lock", "locked_until"]
-
-
 def lockout_decisions(attempts: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok",
                       seq: str = "seq", max_failures: int = 5, lock: str = "15 minutes",
-                      bucket_unit: str = "day", max_rounds: int = 64,
-                      small_key_max: int = SMALL_KEY_MAX) -> DataFrame:
-    """Each attempt with ``refused``, ``fires_lock`` and ``locked_until``.
-
-    Keys are split by size: a key with at most ``small_key_max`` attempts is
-    folded in order by the built-in ``aggregate`` function over its (bounded)
-    attempt array; larger keys, which may hold any share of the rows, use the
-    distributed chain search described in the module notes.
-    """
-    a = attempts.select(key, ts, ok, seq)
-    sizes = a.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    tagged = a.join(sizes, key)
-    small = _fold_small(tagged.where(F.col("__n") <= small_key_max).drop("__n"), key, ts, ok, seq,
-                        max_failures, lock)
-    if sizes.where(F.col("__n") > small_key_max).limit(1).count() == 0:     # one scalar: any large key?
-        return small
-    big = _chain_search(tagged.where(F.col("__n") > small_key_max).drop("__n"), key, ts, ok, seq,
-                        max_failures, lock, bucket_unit, max_rounds)
-    return small.unionByName(big)
-
-
-def _fold_small(a: DataFrame, key: str, ts: str, ok: str, seq: str, max_failures: int,
-                lock: str) -> DataFrame:
-    """Straight fold of each small key's attempts in (ts, seq) order."""
-    D = F.expr(f"INTERVAL {lock}")
-    arr = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"),
-                                               F.col(ok).alias("ok"))))
-    rec_type = "struct<idx:bigint,ts:timestamp_ntz,ok:boolean,seq:bigint,refused:boolean," \
-               "fires_lock:boolean,locked_until:timestamp_ntz>"
-    init = F.struct(F.lit(0).alias("count"), F.lit(None).cast("timestamp_ntz").alias("until"),
-                    F.array().cast(f"array<{rec_type}>").alias("out"))
-
-    def step(acc, x):
-        locked = F.coalesce(x["ts"] < acc["until"], F.lit(False))
-        failures = acc["count"] + 1
-        fires = ~locked & ~x["ok"] & (failures >= F.lit(max_failures))
-        ends = (x["ts"] + D).cast("timestamp_ntz")
-        rec = F.struct(F.size(acc["out"]).cast("bigint").alias("idx"), x["ts"].alias("ts"), x["ok"].alias("ok"),
-                       x["seq"].alias("seq"), locked.alias("refused"), fires.alias("fires_lock"),
-                       F.when(locked, acc["until"]).when(fires, ends).alias("locked_until"))
-        return F.struct(
-            F.when(locked, acc["count"]).when(x["ok"] | fires, F.lit(0)).otherwise(failures).alias("count"),
-            F.when(locked, acc["until"]).when(x["ok"], F.lit(None).cast("timestamp_ntz"))
-             .when(fires, ends).otherwise(acc["until"]).alias("until"),
-            F.concat(acc["out"], F.array(rec)).alias("out"))
-
-    folded = a.groupBy(key).agg(F.aggregate(arr, init, step).alias("__s"))
-    return folded.select(key, F.inline("__s.out")).select(
-        key, F.col("ts").alias(ts), F.col("ok").alias(ok), F.col("seq").alias(seq), *OUT_COLUMNS)
-
-
-def _chain_search(attempts: DataFrame, key: str, ts: str, ok: str, seq: str, max_failures: int,
-                  lock: str, bucket_unit: str, max_rounds: int) -> DataFrame:
-    """Exact decisions for keys of any size (steps 1-4 of the module notes)."""
+                      bucket_unit: str = "day", max_rounds: int = 64) -> DataFrame:
+    """Each attempt with ``refused``, ``fires_lock`` and ``locked_until``
+    (steps 1-4 of the module notes)."""
     spark = attempts.sparkSession
     checkpoint_dir(spark)
     D = F.expr(f"INTERVAL {lock}")
@@ -193,8 +135,9 @@ def lockout_summary(decisions: DataFrame, key: str = "key") -> DataFrame:
 
 # ----- streaming form -----
 
-STATE_SCHEMA = T.StructType([T.StructField("count", T.IntegerType()),
-                             T.StructField("lock_until", T.TimestampType())])
+# Times are microseconds; ``waiting`` is a JSON list of [ts, seq, ok] that the watermark has not passed.
+STATE_SCHEMA = T.StructType([T.StructField("count", T.IntegerType()), T.StructField("until", T.LongType()),
+                             T.StructField("last", T.LongType()), T.StructField("waiting", T.StringType())])
 OUT_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType()),
     T.StructField("ok", T.BooleanType()), T.StructField("seq", T.LongType()),
@@ -203,47 +146,64 @@ OUT_SCHEMA = T.StructType([
 ])
 
 
-def _fold_fn(max_failures: int, lock_seconds: int, idle_seconds: int):
+def _fold_fn(max_failures: int, lock_seconds: int, idle_seconds: int | None):
+    import json
+
     import pandas as pd
 
     def fold(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, until = (state.get if state.exists else (0, None))
+        count, until, last, waiting = state.get if state.exists else (0, None, 0, "[]")
+        rows = json.loads(waiting)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                at = pdf["ts"].astype("datetime64[us]").astype("int64")
+                rows += [[int(t), int(n), bool(o)] for t, n, o in zip(at, pdf["seq"], pdf["ok"], strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        # Later batches bring nothing at or before the watermark: these can be folded for good.
+        ready = sorted(r for r in rows if r[0] <= passed)
+        rows = [r for r in rows if r[0] > passed]
         out = []
-        lock = pd.Timedelta(seconds=lock_seconds)
-        for pdf in pdfs:
-            for row in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-                t = pd.Timestamp(row.ts)
-                if until is not None and t < pd.Timestamp(until):
-                    out.append((key[0], t, row.ok, row.seq, True, False, pd.Timestamp(until)))
-                    continue
-                if row.ok:
-                    count, until = 0, None
-                    out.append((key[0], t, row.ok, row.seq, False, False, None))
-                else:
-                    count += 1
-                    fired = count >= max_failures
-                    if fired:
-                        until, count = t + lock, 0
-                    out.append((key[0], t, row.ok, row.seq, False, fired, until if fired else None))
-        state.update((count, until))
-        # A key idle for ``idle_seconds`` of event time is forgotten (bounded state).
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(idle_seconds, lock_seconds) * 1000 + 1)
+        for t, n, ok in ready:
+            last = max(last, t)
+            if until is not None and t < until:
+                out.append((key[0], t, ok, n, True, False, until))
+                continue
+            count = 0 if ok else count + 1
+            fires = not ok and count >= max_failures
+            if ok:
+                until = None
+            if fires:
+                count, until = 0, t + lock_seconds * 1_000_000
+            out.append((key[0], t, ok, n, False, fires, until if fires else None))
+        forget = None if idle_seconds is None else max(last, until or 0) // 1000 + idle_seconds * 1000
+        if not rows and forget is not None and passed // 1000 >= forget:
+            state.remove()
+        else:
+            state.update((count, until, last, json.dumps(rows)))
+            # Wake when the watermark passes the next attempt, or else when the key has been idle for long.
+            wake = min(r[0] for r in rows) // 1000 + 1 if rows else forget
+            if wake is not None:
+                state.setTimeoutTimestamp(max(wake, passed // 1000 + 1))
         if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
+            frame = pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
+            for c in ("ts", "locked_until"):
+                frame[c] = pd.to_datetime(frame[c], unit="us")
+            yield frame
 
     return fold
 
 
 def lockouts_stream(attempts: DataFrame, max_failures: int = 5, lock_seconds: int = 900,
-                    watermark: str = "1 hour", idle_seconds: int = 7 * 24 * 3600) -> DataFrame:
-    """Streaming decisions (key, ts, ok, seq columns in).  Attempts of one
-    key are folded in time order inside each micro-batch; the state holds the
-    failure count and lock end.  The source keeps failures forever; the
-    stream forgets a key after ``idle_seconds`` of event time without
-    attempts (never before its lock ends), so state stays bounded."""
+                    watermark: str = "1 hour", idle_seconds: int | None = None) -> DataFrame:
+    """Streaming decisions (key, ts, ok, seq columns in).
+
+    A decision comes when the watermark has passed its attempt, so attempts
+    may arrive in any order within ``watermark``; later ones are dropped by
+    Spark.  Failures are kept for good, as in the source.  With
+    ``idle_seconds`` a key is forgotten after that much event time without an
+    attempt, counted from the end of its lock if that is later; this bounds
+    the state and gives up failures older than it.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     s = attempts.select("key", F.col("ts").cast("timestamp_ltz").alias("ts"), "ok", "seq").withWatermark("ts", watermark)
