@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,27 +50,13 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def parts(spark: SparkSession, n_rows: int, rows_per_part: int, least: int = 1, most: int = 200_000) -> int:
-    """Partitions for ``n_rows`` at about ``rows_per_part`` each, at least one wave of the session's shuffle setting."""
-    least = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, min(most, -(-n_rows // rows_per_part)))
-
-
-def batch_of(columns: dict[str, Any], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name]
-                                       for f in schema], schema=schema)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``size`` bytes in each (always at least one row)."""
     for b in batches:
         if not b.num_rows:
             continue
-        col = b.column(b.schema.get_field_index(column))
-        off = col.cast(pa.large_binary()).buffers()[1]
-        import numpy as np
-        first = col.cast(pa.large_binary())
-        o = np.frombuffer(off, np.int64)[first.offset:first.offset + len(first) + 1]
+        col = b.column(b.schema.get_field_index(column)).cast(pa.large_binary())
+        o = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
         start = 0
         while start < b.num_rows:
             end = int(np.searchsorted(o, o[start] + size, side="right")) - 1

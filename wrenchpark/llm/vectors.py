@@ -26,7 +26,3 @@ def matrix(col: pa.Array, dtype=np.float64) -> np.ndarray:
     """(rows, components) of a list column whose lists have one length."""
     flat = np.asarray(col.flatten(), dtype)
     return flat.reshape(len(col), -1) if len(col) and len(flat) else np.zeros((len(col), 0), dtype)
-
-
-def lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
