@@ -193,3 +193,23 @@ def test_exponent_ids_are_whole_numbers(spark):
     v = I.validate(spark.createDataFrame(rows, "record_id long, description string, location_id string, type_id string, priority_id string"))
     got = {r.record_id: (r.location_id, r.type_id, r.priority_id) for r in v.collect()}
     assert got == {1: (10, 7, 2), 2: (None, 3, None)}
+
+
+def test_manifest_to_registered_attachments(spark):
+    from wrenchpark.operators import attachments as A
+    big = 6 * 1024 * 1024
+    rows = [("/in/7/despues/b.png", 10), ("/in/7/antes/a.JPG", 10), ("/in/7/antes/z.webp", 10),   # saved, in group order
+            ("/in/8/antes/a.jpg", 10), ("/in/8/otro/b.jpg", 10),                                  # unknown group
+            ("/in/9/antes/a.pdf", 10), ("/in/10/antes/a.jpg", big), ("/in/x/antes/a.jpg", 10)]    # type, size, no job
+    files = spark.createDataFrame(rows, "path string, length long").withColumn("modificationTime", F.lit("2024-03-01 10:00:00").cast("timestamp"))
+    checked = A.check_uploads(A.from_manifest(files), upload_col="job_id")
+    reasons = {r.path: r.reason for r in checked.collect()}
+    assert len(reasons) == len(rows)                            # no file is lost
+    assert {reasons[p] for p, _ in rows[:3]} == {""} and {reasons[p] for p, _ in rows[3:5]} == {"group"}
+    assert [reasons[p] for p, _ in rows[5:]] == ["mime", "size", "group"]
+    existing = spark.createDataFrame([(41,)], "id long")
+    saved = A.register_uploads(checked, existing).orderBy("id").collect()
+    assert [(r.id, r.original_name, r.group) for r in saved] == [(42, "a.JPG", "antes"), (43, "z.webp", "antes"), (44, "b.png", "despues")]
+    assert saved[0].file_path.startswith("/uploads/2024-03/7_20240301_100000_") and saved[0].file_path.endswith(".jpg")
+    none = A.register_uploads(checked.limit(0), existing.limit(0))
+    assert none.columns == saved[0].__fields__ and none.count() == 0

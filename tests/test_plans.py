@@ -94,3 +94,18 @@ def test_catalog_join_same_result_without_broadcast(spark):
     unhinted = join_name(m.jobs, big, "location_id", "location")._jdf.queryExecution().optimizedPlan().toString()
     # the jobs view itself hints its type catalog; the size check adds one hint more
     assert hinted.lower().count("strategy=broadcast") == unhinted.lower().count("strategy=broadcast") + 1
+
+
+def test_report_reads_the_fact_twice(spark):
+    m = DriverModel(spark, SF_CHECK)
+    f = JobFilter.for_report(date_from="1998-01-01", date_to="1998-06-30")
+    p = _plan(R.report_document(m.jobs, m.catalogs(), f, "1998-06-30"))
+    fact_scans = [ln for ln in p.splitlines() if "FileScan parquet" in ln and "o_orderkey" in ln]
+    assert len(fact_scans) == 2 and p.count("Expand") == 1
+
+
+def test_report_of_an_empty_range(spark):
+    m = DriverModel(spark, "/root/testdata/sf0.001")
+    doc = R.report_document(m.jobs, m.catalogs(), JobFilter.for_report(date_from="2090-01-01", date_to="2090-01-02"), "2090-01-02").first()
+    assert tuple(doc.kpis) == (0, 0, 0, 0, None, None)
+    assert doc.by_status == doc.by_priority == doc.top_providers == []

@@ -76,9 +76,14 @@ def midnights_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     return F.datediff(F.to_date(_c(end)), F.to_date(_c(start)))
 
 
+def local_time(utc: ColumnOrName, zone: str = SOURCE_ZONE) -> Column:
+    """Wall clock of ``zone`` at a UTC time, as TIMESTAMP_NTZ."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _c(utc).cast("timestamp_ntz"))
+
+
 def local_now(zone: str = SOURCE_ZONE) -> Column:
     """Current wall clock of ``zone`` as TIMESTAMP_NTZ (for live use only)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.current_timestamp().cast("timestamp_ntz"))
+    return local_time(F.current_timestamp(), zone)
 
 
 def day_bounds(ts: ColumnOrName) -> tuple[Column, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import ColumnOrName, _c
+from .ingest import assign_ids
 
 
 def check_uploads(files: DataFrame, upload_col: str = "upload_id", group_col: str = "group",
@@ -33,7 +34,8 @@ def check_uploads(files: DataFrame, upload_col: str = "upload_id", group_col: st
              for name, limit in S.ATTACHMENT_GROUP_LIMITS.items()]
     parts += [F.when(F.col("__bad_group"), F.lit("group")), F.when(F.col("__bad_mime"), F.lit("mime")), F.when(F.col("__too_big"), F.lit("size"))]
     verdict = per.select(upload_col, F.concat_ws(",", *parts).alias("reason"))
-    return (files.join(verdict, upload_col)
+    of = verdict.withColumnRenamed(upload_col, "__upload")
+    return (files.join(of, F.col(upload_col).eqNullSafe(F.col("__upload"))).drop("__upload")
             .withColumn("accepted", F.col("reason") == F.lit("")))
 
 
@@ -64,3 +66,31 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", "true").load(path)
             .select("path", "modificationTime", "length"))
+
+
+def from_manifest(files: DataFrame) -> DataFrame:
+    """Manifest rows as upload rows.  A path ends in ``<job id>/<group>/<file name>``; the
+    type follows the file name's extension (NULL when unknown).  A path of another
+    shape gets a NULL job and group, so :func:`check_uploads` refuses it."""
+    shape = r"([0-9]{1,18})/([^/]+)/([^/]+)$"
+    placed = F.col("path").rlike(shape)
+
+    def field(i: int) -> Column:
+        return F.when(placed, F.regexp_extract("path", shape, i))
+
+    mimes = F.create_map(*[F.lit(x) for mime, ext in S.ALLOWED_MIME.items() for x in (ext, mime)])
+    return files.select(field(1).cast("bigint").alias("job_id"), field(2).alias("group"), field(3).alias("original_name"),
+                        mimes[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))].alias("mime_type"),
+                        F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("uploaded_at"), "path")
+
+
+def register_uploads(checked: DataFrame, existing: DataFrame) -> DataFrame:
+    """New attachment rows of the accepted files: ids above the current maximum, by
+    job, group in its fixed order and path; the storage path is derived from
+    job, time, type and a hash of the given path."""
+    place = F.array_position(F.array(*[F.lit(g) for g in S.ATTACHMENT_GROUPS]), F.col("group"))
+    rows = checked.where("accepted").select(
+        "job_id", "group", storage_path("job_id", "uploaded_at", "mime_type", "path").alias("file_path"),
+        "original_name", "uploaded_at", place.alias("__place"), "path")
+    base = existing.agg(F.max("id")).first()[0] or 0      # one scalar
+    return assign_ids(rows, ["job_id", "__place", "path"], base).select(*[f.name for f in S.ATTACHMENT.fields])

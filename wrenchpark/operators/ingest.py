@@ -265,11 +265,11 @@ def seed_missing(existing: DataFrame, seed: list[tuple[int, str]], only_if_empty
     empty; otherwise each seed whose name is absent (case-insensitive),
     numbered above the current maximum id."""
     spark = existing.sparkSession
-    if only_if_empty and existing.limit(1).count() > 0:
+    base, rows = existing.agg(F.coalesce(F.max("id"), F.lit(0)), F.count(F.lit(1))).first()      # two scalars
+    if only_if_empty and rows:
         return spark.createDataFrame([], "catalog string, id int, name string")
     seeds = spark.createDataFrame(seed, S.CATALOG).select(F.col("id").alias("seed_pos"), "name")
     absent = seeds.join(existing.select(F.lower("name").alias("__k")), F.lower("name") == F.col("__k"), "left_anti")
-    base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     numbered = absent.select(F.lit(catalog_name).alias("catalog"),
                              (F.lit(base) + F.dense_rank().over(Window.orderBy("seed_pos"))).cast("int").alias("id"),
                              "name")

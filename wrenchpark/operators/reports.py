@@ -1,10 +1,10 @@
 """The summary report: KPIs, closing time, breakdowns and provider totals.
 
 The source system runs seven separate queries over the same filtered set.
-Here the breakdowns share one scan through GROUPING SETS, KPIs and closing
-time are single global aggregates (partial aggregation on every task, one
-tiny final merge), and the exact median uses ``percentile`` whose buffer is a
-map of distinct day counts, not the rows.
+Here all counts share one scan through GROUPING SETS, from which KPIs, mean
+and exact median (``percentile`` over the counts of distinct days) follow; the
+provider totals are a second scan.  Each part is also a query of its own with
+partial aggregation on every task and one tiny final merge.
 """
 
 from __future__ import annotations
@@ -94,32 +94,32 @@ def breakdown_all(filtered: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame
     return res.where(F.col("name").isNotNull())
 
 
-def breakdowns_and_providers(filtered: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
-    """The four breakdowns and the provider totals from one scan: one
-    GROUPING SETS aggregate with a fifth set for the provider key.  Rows carry
-    ``dimension``, ``name``, ``total`` and ``amount`` (provider rows only)."""
+def report_counts(filtered: DataFrame, catalogs: Mapping[str, Dim], today: str) -> DataFrame:
+    """The breakdowns, and what KPIs and closing time need, from one scan: one
+    GROUPING SETS aggregate of plain counts with a fifth set for the days to
+    close (rows of a known status that were closed).  Rows carry ``part`` (status,
+    type, location, priority, days), ``name`` or ``days``, ``total`` and ``overdue``
+    (due before ``today``; of use in the status rows, where the name tells open
+    from closed).  The result is bounded by catalog sizes and distinct day counts."""
     df = filtered
     for col, name, key in (("status_id", "status", "status"), ("type_id", "job_type", "type"),
                            ("location_id", "location", "location"), ("priority_id", "priority", "priority")):
         df = join_name(df, catalogs[key], col, name, how="left")
     df = df.select("status", "job_type", "location",
                    F.coalesce(F.col("priority"), F.lit(S.NO_PRIORITY_LABEL)).alias("priority_label"),
-                   provider_key("provider", S.NO_PROVIDER_LABEL).alias("provider_label"),
-                   F.coalesce(F.col("net_value"), F.lit(0).cast("decimal(12,2)")).alias("net"))
-    keys = ["status", "job_type", "location", "priority_label", "provider_label"]
+                   F.when(F.col("status").isNotNull() & F.col("closed_at").isNotNull(),
+                          midnights_between("created_at", "closed_at")).alias("days"),
+                   (F.col("due_date") < date_lit(today)).alias("late"))
+    labels = {"status": "status", "job_type": "type", "location": "location", "priority_label": "priority", "days": "days"}
+    keys = list(labels)
     out = df.groupingSets([[k] for k in keys], *keys).agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("total"),
-        F.sum("net").cast("decimal(38,2)").alias("amount"))
-    label = {"status": "status", "job_type": "type", "location": "location", "priority_label": "priority",
-             "provider_label": "providers"}
-    dimension = name = None
-    for i, k in enumerate(keys):
-        cond = F.col("gid") == F.lit((1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)))
-        dimension = F.when(cond, F.lit(label[k])) if dimension is None else dimension.when(cond, F.lit(label[k]))
-        name = F.when(cond, F.col(k)) if name is None else name.when(cond, F.col(k))
-    res = out.select(dimension.alias("dimension"), name.alias("name"), "total",
-                     F.when(F.col("gid") == 30, F.col("amount")).alias("amount"))
-    return res.where(F.col("name").isNotNull())
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("late")).alias("overdue"))
+    # In the grouping id the bit of the one column that is in the set is 0; the first column has the highest bit.
+    every = (1 << len(keys)) - 1
+    part = F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (every - (1 << (len(keys) - 1 - i)), labels[k])])
+    rows = out.select(part[F.col("gid").cast("int")].alias("part"),
+                      F.coalesce("status", "job_type", "location", "priority_label").alias("name"), "days", "total", "overdue")
+    return rows.where(F.col("name").isNotNull() | F.col("days").isNotNull())
 
 
 def top_providers(filtered: DataFrame, k: int = TOP_PROVIDERS, collation: str | None = None) -> DataFrame:
@@ -142,61 +142,52 @@ def report_filter(filt: JobFilter, today: str) -> JobFilter:
     return filt.with_default_range(today)
 
 
-def kpis_with_closing(filtered: DataFrame, catalogs: Mapping[str, Dim], today: str) -> DataFrame:
-    """KPIs and closing time in one aggregate (jobs joined to statuses only)."""
-    df = join_name(filtered, catalogs["status"], "status_id", "status")
-    closed = _closed()
-    d = F.when(F.col("closed_at").isNotNull(), midnights_between("created_at", "closed_at"))
-    return df.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(~closed).alias("open"),
-        F.count_if(closed).alias("closed"),
-        F.count_if(~closed & F.col("due_date").isNotNull() & (F.col("due_date") < date_lit(today)))
-         .alias("overdue"),
-        F.avg(d.cast("double")).alias("avg_days_to_close"),
-        F.percentile(d, F.lit(0.5)).alias("median_days_to_close"),
-    )
-
-
 def report_document(jobs: DataFrame, catalogs: Mapping[str, Dim], filt: JobFilter,
                     today: str) -> DataFrame:
     """The whole report as one row: range, kpis (with mean and median) and the
     five breakdown arrays.
 
-    The parts are one-row KPIs, breakdown rows (bounded by catalog sizes) and
-    the top-k providers; they are united and folded by one global aggregate,
-    so no part is ever larger than a catalog or k rows.
+    Two scans of the fact: one for all counts (:func:`report_counts`), one for
+    the top-k providers.  Both results are united and folded by one global
+    aggregate, so no part is ever larger than a catalog, the distinct days to
+    close or k rows.  No row in range gives zero counts, NULL mean and median
+    and empty arrays.
     """
     f = report_filter(filt, today)
     filtered = f.apply(jobs)
     lo, hi = f.range()
-    k = kpis_with_closing(filtered, catalogs, today).select(
-        F.lit("kpis").alias("part"),
-        F.struct("total", "open", "closed", "overdue", "avg_days_to_close",
-                 "median_days_to_close").alias("kpis"))
-    both = breakdowns_and_providers(filtered, catalogs)
-    b = both.where(F.col("dimension") != "providers").select(
-        F.col("dimension").alias("part"), F.struct("total", "name").alias("entry"))
-    tp = (both.where(F.col("dimension") == "providers")
-          .orderBy(F.col("amount").desc(), F.col("total").desc(), F.col("name").asc()).limit(TOP_PROVIDERS)
-          .select(F.lit("providers").alias("part"),
-                  F.struct("amount", "total", F.col("name").alias("provider")).alias("provider_entry")))
-    parts = k.unionByName(b, allowMissingColumns=True).unionByName(tp, allowMissingColumns=True)
+    counts = report_counts(filtered, catalogs, today)
+    tp = top_providers(filtered).select(F.lit("providers").alias("part"), F.col("provider").alias("name"), "total", "amount")
+    parts = counts.unionByName(tp, allowMissingColumns=True)
+
+    def tally(cond, column: str = "total"):
+        return F.coalesce(F.sum(F.when(cond, F.col(column))), F.lit(0).cast("bigint"))
+
+    by_status = F.col("part") == "status"
+    closed = by_status & (F.lower("name") == F.lit(S.CLOSED_STATUS))
+    still_open = by_status & (F.lower("name") != F.lit(S.CLOSED_STATUS))
+    by_days = F.col("part") == "days"
+    kpi = F.struct(
+        tally(by_status).alias("total"), tally(still_open).alias("open"), tally(closed).alias("closed"),
+        tally(still_open, "overdue").alias("overdue"),
+        F.try_divide(F.sum(F.when(by_days, F.col("days") * F.col("total"))),
+                     F.sum(F.when(by_days, F.col("total")))).cast("double").alias("avg_days_to_close"),
+        F.percentile(F.col("days"), F.lit(0.5), F.col("total")).alias("median_days_to_close"))
 
     def ordered(dim: str):
         # sort_array on (-total, name) gives count desc, then name.
         arr = F.sort_array(F.collect_list(F.when(F.col("part") == dim, F.struct(
-            (-F.col("entry.total")).alias("k"), F.col("entry.name").alias("name"),
-            F.col("entry.total").alias("total")))))
+            (-F.col("total")).alias("k"), F.col("name").alias("name"),
+            F.col("total").alias("total")))))
         return F.transform(arr, lambda x: F.struct(x["name"].alias("name"), x["total"].alias("total")))
 
     providers = F.sort_array(F.collect_list(F.when(F.col("part") == "providers", F.struct(
-        (-F.col("provider_entry.amount")).alias("a"), (-F.col("provider_entry.total")).alias("t"),
-        F.col("provider_entry.provider").alias("provider"), F.col("provider_entry.amount").alias("amount"),
-        F.col("provider_entry.total").alias("total")))))
+        (-F.col("amount")).alias("a"), (-F.col("total")).alias("t"),
+        F.col("name").alias("provider"), F.col("amount").alias("amount"),
+        F.col("total").alias("total")))))
     return parts.agg(
         F.struct(F.lit(lo).alias("from"), F.lit(hi).alias("to")).alias("range"),
-        F.first("kpis", ignorenulls=True).alias("kpis"),
+        kpi.alias("kpis"),
         ordered("status").alias("by_status"),
         ordered("type").alias("by_type"),
         ordered("location").alias("by_location"),

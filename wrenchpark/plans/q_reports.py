@@ -123,15 +123,16 @@ tp AS (SELECT coalesce(nullif(trim(provider), ''), '—') AS provider, COUNT(*)
        FROM fj GROUP BY 1 ORDER BY amount DESC, total DESC, provider ASC LIMIT 10)
 SELECT '{REPORT_FROM}' AS range_from, '{REPORT_TO}' AS range_to, k.total, k.open, k.closed, k.overdue,
        k.avg_days_to_close, k.median_days_to_close,
-       (SELECT COUNT(*) FROM bs) AS n_status, (SELECT name FROM bs ORDER BY total DESC, name ASC LIMIT 1) AS top_status,
-       (SELECT COUNT(*) FROM bt) AS n_type, (SELECT COUNT(*) FROM bl) AS n_location,
-       (SELECT COUNT(*) FROM bp) AS n_priority,
-       (SELECT string_agg(provider, '|' ORDER BY amount DESC, total DESC, provider) FROM tp) AS providers
+       (SELECT string_agg(name || '=' || total, '|' ORDER BY total DESC, name) FROM bs) AS by_status,
+       (SELECT string_agg(name || '=' || total, '|' ORDER BY total DESC, name) FROM bt) AS by_type,
+       (SELECT string_agg(name || '=' || total, '|' ORDER BY total DESC, name) FROM bl) AS by_location,
+       (SELECT string_agg(name || '=' || total, '|' ORDER BY total DESC, name) FROM bp) AS by_priority,
+       (SELECT string_agg(provider || '=' || total || '=' || amount, '|' ORDER BY amount DESC, total DESC, provider) FROM tp) AS providers
 FROM k
 """))
 def report_document(m: DriverModel):
-    """The nested report; the registered form flattens it to scalars (array
-    sizes, first status, provider order)."""
+    """The nested report; the registered form writes each array as one text
+    with every name, total and amount in order."""
     doc = R.report_document(m.jobs, m.catalogs(), JobFilter.for_report(date_from=REPORT_FROM, date_to=REPORT_TO),
                             REPORT_TO)
     return doc.select(
@@ -140,10 +141,10 @@ def report_document(m: DriverModel):
         F.col("kpis.closed").alias("closed"), F.col("kpis.overdue").alias("overdue"),
         F.round("kpis.avg_days_to_close", ROUND).alias("avg_days_to_close"),
         F.col("kpis.median_days_to_close").alias("median_days_to_close"),
-        F.size("by_status").cast("bigint").alias("n_status"),
-        F.col("by_status")[0]["name"].alias("top_status"),
-        F.size("by_type").cast("bigint").alias("n_type"),
-        F.size("by_location").cast("bigint").alias("n_location"),
-        F.size("by_priority").cast("bigint").alias("n_priority"),
-        F.array_join(F.transform("top_providers", lambda x: x["provider"]), "|").alias("providers"),
+        *[_entries(c, "name", "total").alias(c) for c in ("by_status", "by_type", "by_location", "by_priority")],
+        _entries("top_providers", "provider", "total", "amount").alias("providers"),
     )
+
+
+def _entries(array: str, *fields: str):
+    return F.array_join(F.transform(array, lambda x: F.concat_ws("=", *[x[f].cast("string") for f in fields])), "|")
