@@ -70,3 +70,33 @@ def test_hot_key_sessions_exact(spark):
             prev = t
         expect.append((key, start, n))
     assert got == sorted(expect)
+
+
+def _executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_ordered_scans_read_their_input_once(spark):
+    from conftest import SF_CHECK
+    from wrenchpark.plans import registry
+    for key, column in (("status_history", "event_type"), ("audit_rows", "event_type"), ("sessions", "user_id")):
+        plan = _executed(registry.queries()[key](spark, SF_CHECK))
+        scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and column in ln]
+        assert len(scans) == 1 and "ReusedExchange" in plan, key
+
+
+def test_one_key_on_one_day_is_split(spark):
+    from wrenchpark.operators import changes as C
+    from wrenchpark.operators.dims import Dim
+    n = 2400
+    changes = spark.createDataFrame([(1, 1 + i % 3, T0 + dt.timedelta(seconds=36 * i), i) for i in range(n)],
+                                    "job_id long, status_id int, ts timestamp_ntz, seq long")
+    jobs = spark.createDataFrame([(1, 4)], "id long, status_id int")
+    statuses = Dim(spark.createDataFrame([(1, "Pendiente"), (2, "En curso"), (3, "Cerrado"), (4, "En espera")], "id int, name string"), 4)
+    got = sorted((r.seq, r.from_status, r.to_status) for r in C.status_history(jobs, changes, statuses).collect())
+    assert got == [(i, 1 + (i - 1) % 3 if i else 4, 1 + i % 3) for i in range(n)]
+    pieces = changes.groupBy("job_id", F.date_trunc("hour", "ts")).count().agg(F.max("count")).first()[0]
+    assert pieces == 100                                    # one day of one job is 24 pieces
+    day = changes.select(F.col("job_id").alias("user_id"), "ts")
+    assert [r.n_events for r in sessions.sessions(day).collect()] == [n]

@@ -116,10 +116,13 @@ def status_history(jobs: DataFrame, changes: DataFrame, statuses: Dim,
                    bucket: Column | None = None) -> DataFrame:
     """Each applicable change with the status it replaced (``from_status``):
     the previous applicable change of the job, or the job's status before the
-    batch for its first change.  The ordered scan is bucketed by day so a job
-    with very many changes is not one task."""
+    batch for its first change.  The ordered scan is bucketed by hour (``bucket``:
+    another monotone column of ``ts``), so a job with very many changes, even on
+    one day, is not one task."""
     valid, _ = valid_status_changes(jobs, changes, statuses)
-    b = bucket if bucket is not None else F.date_trunc("day", F.col("ts"))
+    b = bucket if bucket is not None else F.date_trunc("hour", F.col("ts"))
+    # Stated here, or it would be inferred for one side of the scan's join only and keep both from sharing their exchange.
+    valid = valid.where(F.col("job_id").isNotNull())
     h = scan(valid, "job_id", ["ts", "seq"], b, previous=["status_id"])
     return h.select("job_id", "seq", "ts", F.coalesce("prev_status_id", "prior_status").alias("from_status"),
                     F.col("status_id").alias("to_status"), F.col("closes").alias("closed"))

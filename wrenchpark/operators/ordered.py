@@ -12,7 +12,12 @@ values across piece boundaries:
 
 The summary window runs over one row per (key, bucket), so its size is the
 number of buckets of a key, not its number of rows.  The bucket must be a
-monotone function of the order (e.g. the hour or day of the timestamp).
+monotone function of the order (e.g. the hour or day of the timestamp), fine
+enough that one (key, bucket) fits a task.
+
+With ``previous`` the pieces and their summary share one exchange by (key,
+bucket), so the input is computed once.  For that the summary takes whole rows,
+or column pruning would make two different exchanges of them.
 """
 
 from __future__ import annotations
@@ -32,7 +37,10 @@ def scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str], bucket:
     """Add ``prev_<c>`` for ``previous``, ``run_<c>`` for ``running`` and
     ``last_<c>`` for ``last_seen`` columns, in (key, order) order."""
     keys = [key] if isinstance(key, str) else list(key)
-    d = df.withColumn(B, bucket)
+    pieces = df.withColumn(B, bucket)
+    if previous:
+        pieces = pieces.repartition(*keys, B)
+    d = pieces
     w = Window.partitionBy(*keys, B).orderBy(*order)
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn(RN, F.row_number().over(w))
@@ -46,7 +54,7 @@ def scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str], bucket:
     # One summary row per (key, bucket).
     aggs = []
     if previous:
-        aggs.append(F.max_by(F.struct(*[F.col(c) for c in previous]), F.struct(*[F.col(o) for o in order]))
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(o) for o in order]))
                     .alias("__tail"))
     for c in running:
         aggs.append(F.sum(c).alias(f"__sum_{c}"))
@@ -55,13 +63,13 @@ def scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str], bucket:
                     .alias(f"__last_{c}"))
     if not aggs:
         return d.drop(B, RN)
-    summ = df.withColumn(B, bucket).groupBy(*keys, B).agg(*aggs)
+    summ = pieces.groupBy(*keys, B).agg(*aggs)
     wb = Window.partitionBy(*keys).orderBy(B)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [*keys, B]
     sel = [F.col(k) for k in carry_cols]
     if previous:
-        sel.append(F.lag("__tail").over(wb).alias("__carry_prev"))
+        sel.append(F.lag("__tail").over(wb).alias("__carry_prev"))      # one whole row a piece
     for c in running:
         sel.append(F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__carry_run_{c}"))
     for c in last_seen:

@@ -22,10 +22,15 @@ def _interval(gap: str):
 
 
 def session_numbers(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes",
-                    bucket_unit: str = "day") -> DataFrame:
-    """Events with ``session_no`` (1, 2, ... within each key, in time order)."""
+                    bucket_unit: str = "hour") -> DataFrame:
+    """Events with ``session_no`` (1, 2, ... within each key, in time order).
+    Events without key or time belong to no session and are left out.
+
+    The buckets and their summary use one exchange by (key, bucket); the null
+    tests are stated here because the join below would add them to one side only."""
     g = _interval(gap)
     d = events.withColumn("__b", F.date_trunc(bucket_unit, F.col(ts)))
+    d = d.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col("__b").isNotNull()).repartition(key, "__b")
     w = Window.partitionBy(key, "__b").orderBy(ts)
     prev = F.lag(ts).over(w)
     d = d.withColumn("__start", F.when(prev.isNull() | (F.col(ts) > prev + g), 1).otherwise(0))
@@ -46,7 +51,7 @@ def session_numbers(events: DataFrame, key: str = "user_id", ts: str = "ts", gap
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes",
-             bucket_unit: str = "day") -> DataFrame:
+             bucket_unit: str = "hour") -> DataFrame:
     """One row per session: key, start, end (last event) and event count."""
     n = session_numbers(events.select(key, ts), key, ts, gap, bucket_unit)
     return n.groupBy(key, "session_no").agg(
