@@ -56,6 +56,9 @@ def test_null_and_repeated_rows(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long")})
     kept = near.kept(docs)
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, None), (True, None)]
+    same = [{r.text for r in near.kept(docs.repartition(k)).where("doc_id = 3").collect()} for k in (1, 3, 7)]
+    assert len(same[0]) == 1 and same[0] == same[1] == same[2]
+    assert kept.dtypes == docs.dtypes
     cut = repeats.remove_repeats(kept)
     done = P.pack(spark, P.mask_secrets(spark, cut, SF), SF)
     assert done.count() >= 6

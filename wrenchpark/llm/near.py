@@ -315,9 +315,11 @@ def kept(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     """One row of ``docs`` for each component, with all its columns; rows with a null id stay."""
     first = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__d")).distinct()
     rows = docs.join(first, docs[id_col] == F.col("__d"), "left_semi")
-    # Of rows that share an id the one with the smallest text hash stays.
+    # Of rows that share an id the one with the smallest text hash stays, so that a task run again keeps the same one.
     once = rows.groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(id_col).alias("__d"))
-    many = rows.join(once, docs[id_col] == F.col("__d"), "left_semi").dropDuplicates([id_col])
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    order = F.struct(F.xxhash64(docs[text_col]), docs[text_col], F.to_json(whole))
+    many = rows.join(once, docs[id_col] == F.col("__d"), "left_semi").groupBy(id_col).agg(F.min_by(whole, order).alias("__row")).select("__row.*")
     return rows.join(once, docs[id_col] == F.col("__d"), "left_anti").unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))
 
 
