@@ -73,6 +73,20 @@ def test_patterns_random_runs_and_masking(spark):
     assert result(docs.limit(0), secrets.train(docs.limit(0))) == []
 
 
+def test_clean_runs_are_not_random(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = secrets.train(docs)
+    clean = ["-" * 30, "=" * 40, "_" * 25, "src/main/java/com/example/service/UserService", "/en/products/category/item-name", "state-of-the-art-technology",
+             "/usr/local/share/documentation", "12345678901234567890", "2024-01-31/2024-02-29/001", "----------------------aB", "a-b-c-d-e-f-g-h-i-j-k-l", "a_long_name_of_some_function"]
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    keys = [key(40) for _ in range(60)] + ["%s-%s-%s" % tuple("%08x" % rng.getrandbits(32) for _ in range(3)) for _ in range(10)]
+    texts = dict(enumerate([f"see {x} there" for x in clean + keys]))
+    rows = {r.doc_id: r.spans for r in result(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model)}
+    assert {x: rows[i] for i, x in enumerate(clean) if rows[i]} == {}
+    assert [x for i, x in enumerate(keys, len(clean)) if rows[i] != f"random:4:{4 + len(x)}"] == []
+
+
 def words_of(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)

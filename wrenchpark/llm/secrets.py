@@ -3,9 +3,13 @@
 Fixed patterns find assignments of secrets, access keys and long hexadecimal
 runs.  Two character Markov models add what has no fixed form: one of random
 strings, trained on the values that the patterns found anywhere in the corpus,
-and one of ordinary identifiers, trained on words of a bounded sample of rows.
+and one of ordinary runs, trained on the short runs of the same characters
+(words, numbers, short paths) outside these values, in a sample of rows.
 A long run of key characters is a secret if the mean log-likelihood ratio of
-its transitions exceeds ``RATIO``.
+its transitions exceeds ``RATIO``.  Transitions from or to a separator and those
+between digits have a ratio of 0: they show where paths, hyphenated words, lines
+and numbers are joined, not whether their pieces are random.  So a run of digits
+and separators alone is never random.
 
 Both models are one table of 68 x 68 numbers, counted with a grouping.
 
@@ -36,9 +40,12 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Words that train the model of identifiers: shorter than a candidate, so that no candidate speaks for itself.
-IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{7,18}(?![A-Za-z0-9_])"
-#: Rows whose words the model of identifiers is trained on: those with the smallest hash.
+SEPARATORS, DIGITS = "+/_=-", "0123456789"
+#: Runs that train the ordinary model: shorter than a candidate, so that no candidate speaks for itself.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}+(?![A-Za-z0-9+/_=-])"
+#: What base spans hold does not train it.
+BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}|""" + ACCESS + "|" + HEX
+#: Rows whose runs the ordinary model is trained on: those with the smallest hash.
 SAMPLE_ROWS = 2000
 #: Mean log-likelihood ratio of a transition from which a run counts as random.
 RATIO = 0.5
@@ -91,7 +98,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     secret = rows.select(F.explode(F.concat(*spans.values())).alias("x")).select(F.col("x.v").alias("token"))
     drawn = [r.id for r in rows.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
     plain = (rows.where(F.col("id").isin(drawn) if drawn else F.lit(False))
-             .select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("token")))
+             .select(F.explode(F.regexp_extract_all(F.regexp_replace("text", BASE, " "), F.lit(ORDINARY), F.lit(0))).alias("token")))
     count = {0: {}, 1: {}}
     for r in _transitions(secret, 1).union(_transitions(plain, 0)).collect():
         count[r.label][r.cell] = r.n
@@ -102,9 +109,12 @@ def ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
     """Logarithms of P(next | character) under the random model over that under the ordinary one.
 
     Random strings follow their counts or, one time in two, any alphabet with
-    equal chances.  Ordinary identifiers back off to how frequent the next
-    character is at all.
+    equal chances.  Ordinary runs back off to how frequent the next character is
+    at all and take any character one time in 100, so that no single transition
+    decides for a run.  Separators and pairs of digits say nothing.
     """
+    apart = {ALPHABET.index(c) + 1 for c in SEPARATORS}
+    digits = {ALPHABET.index(c) + 1 for c in DIGITS}
     total = sum(ordinary.values())
     share = [(sum(ordinary.get(a * SIDE + c, 0) for a in range(SIDE)) + 1) / (total + SIDE) for c in range(SIDE)]
     out = []
@@ -112,8 +122,12 @@ def ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
         row = range(a * SIDE, (a + 1) * SIDE)
         r, o = sum(random.get(c, 0) for c in row), sum(ordinary.get(c, 0) for c in row)
         for c, p in zip(row, share, strict=True):
+            if apart & {a, c % SIDE} or digits >= {a, c % SIDE}:
+                out.append(0.0)
+                continue
             likely = 0.5 / SIDE + 0.5 * (random.get(c, 0) + 1) / (r + SIDE)
-            out.append(math.log(likely) - math.log((ordinary.get(c, 0) + BACK_OFF * p) / (o + BACK_OFF)))
+            plain = 0.01 / SIDE + 0.99 * (ordinary.get(c, 0) + BACK_OFF * p) / (o + BACK_OFF)
+            out.append(math.log(likely) - math.log(plain))
     return out
 
 
