@@ -87,6 +87,16 @@ def test_clean_runs_are_not_random(spark):
     assert [x for i, x in enumerate(keys, len(clean)) if rows[i] != f"random:4:{4 + len(x)}"] == []
 
 
+def test_every_row_trains_the_ordinary_model(spark):
+    # The words of one rare source in 4,000 rows, whatever its id, are ordinary.
+    texts = [(i, "plain words of the corpus") for i in range(4000)]
+    rare = "XqzWvkQxjZwqVkxQ"
+    for lone in (17, None):
+        docs = spark.createDataFrame([(i, t) if i != 17 else (lone, f"{rare} " * 3000) for i, t in texts], "doc_id long, text string")
+        found = secrets.scan(spark.createDataFrame([(1, f"{rare}{rare}")], "doc_id long, text string"), secrets.train(docs))
+        assert found.select(F.size("_random")).first()[0] == 0
+
+
 def words_of(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)

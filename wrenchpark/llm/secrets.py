@@ -4,7 +4,7 @@ Fixed patterns find assignments of secrets, access keys and long hexadecimal
 runs.  Two character Markov models add what has no fixed form: one of random
 strings, trained on the values that the patterns found anywhere in the corpus,
 and one of ordinary runs, trained on the short runs of the same characters
-(words, numbers, short paths) outside these values, in a sample of rows.
+(words, numbers, short paths) outside these values, of all rows.
 A long run of key characters is a secret if the mean log-likelihood ratio of
 its transitions exceeds ``RATIO``.  Transitions from or to a separator and those
 between digits have a ratio of 0: they show where paths, hyphenated words, lines
@@ -45,8 +45,6 @@ SEPARATORS, DIGITS = "+/_=-", "0123456789"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}+(?![A-Za-z0-9+/_=-])"
 #: What base spans hold does not train it.
 BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}|""" + ACCESS + "|" + HEX
-#: Rows whose runs the ordinary model is trained on: those with the smallest hash.
-SAMPLE_ROWS = 2000
 #: Mean log-likelihood ratio of a transition from which a run counts as random.
 RATIO = 0.5
 BACK_OFF = 5.0
@@ -84,21 +82,18 @@ def _codes(token: Column) -> Column:
 
 def _transitions(tokens: DataFrame, label: int) -> DataFrame:
     """Counts (label, cell, n) of neighbouring characters of the column ``token``."""
-    codes = tokens.select(_codes(F.col("token")).alias("c"))
+    # Equal tokens are cut into transitions once.
+    codes = tokens.groupBy("token").agg(F.count("*").alias("times")).select(_codes(F.col("token")).alias("c"), "times")
     cells = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * SIDE + b)
-    return (codes.where("size(c) > 1").select(F.explode(cells).alias("cell"))
-            .groupBy("cell").agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "cell", "n"))
+    return (codes.where("size(c) > 1").select(F.explode(cells).alias("cell"), "times")
+            .groupBy("cell").agg(F.sum("times").alias("n")).select(F.lit(label).alias("label"), "cell", "n"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[float]:
+def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each transition."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    spans = base_spans(F.col("text"))
-    secret = rows.select(F.explode(F.concat(*spans.values())).alias("x")).select(F.col("x.v").alias("token"))
-    drawn = [r.id for r in rows.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
-    plain = (rows.where(F.col("id").isin(drawn) if drawn else F.lit(False))
-             .select(F.explode(F.regexp_extract_all(F.regexp_replace("text", BASE, " "), F.lit(ORDINARY), F.lit(0))).alias("token")))
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    secret = rows.select(F.explode(F.concat(*base_spans(F.col("text")).values())).alias("x")).select(F.col("x.v").alias("token"))
+    plain = rows.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", BASE, " "), F.lit(ORDINARY), F.lit(0))).alias("token"))
     count = {0: {}, 1: {}}
     for r in _transitions(secret, 1).union(_transitions(plain, 0)).collect():
         count[r.label][r.cell] = r.n
