@@ -57,6 +57,27 @@ def test_shingles_equal_plain_sets():
     assert b[a == 1].tolist() == d.tolist()
 
 
+def test_trees_find_pairs_at_every_depth(spark):
+    assert [near.miss_rate(0.8, d) < 1e-5 for d in (1, 2, 3)] == [True] * 3
+    # The branching itself: pairs that agree in 21 of 32 tokens, which the rate also counts, with every node taken for a large one.
+    rng, pairs = np.random.default_rng(3), 300
+    rows = []
+    for i in range(pairs):
+        a = rng.integers(-2**31, 2**31 - 1, near.COORDS)
+        b = a.copy()
+        b[rng.permutation(near.COORDS)[:11]] += 1
+        rows += [(2 * i, a.tolist()), (2 * i + 1, b.tolist())]
+    sigs = spark.createDataFrame(rows, "cid long, sig array<int>")
+    nodes = sigs.select(F.explode(F.array(*[F.xxhash64(F.lit(t)) for t in range(1, near.TREES + 1)])).alias("node"), "cid", F.col("cid").alias("label"), "sig")
+    for depth in (1, 2, 3):
+        kids = near._branch(nodes, depth).distinct()
+        both = kids.groupBy("node", F.floor(F.col("cid") / 2).alias("pair")).agg(F.count("*").alias("n")).where("n = 2")
+        # A pair that parts in a node never meets below it.
+        met = both.select("node", F.explode(F.array(F.col("pair") * 2, F.col("pair") * 2 + 1)).alias("cid"))
+        nodes = met.join(sigs, "cid").select("node", "cid", F.col("cid").alias("label"), "sig").localCheckpoint()
+        assert nodes.select(F.floor(F.col("cid") / 2)).distinct().count() >= pairs - 2
+
+
 def test_complete_groups():
     keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5]
     whole = pa.record_batch({"k": keys, "i": list(range(10))})

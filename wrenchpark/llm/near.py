@@ -9,11 +9,11 @@ whose sets have a Jaccard similarity of at least ``percent`` / 100 are linked.
 2. ``TREES`` independent trees branch all classes: a node chooses one or two
    coordinates by its own hash (1.25 on average, the inverse of the similarity)
    and sends each member to the child of its minwise token there.  Deeper nodes
-   add two and four tokens at once (``STEPS``), so that sets that have little in
-   common part quickly.
+   add two and three tokens at once (``STEPS``), so that sets that have little in
+   common part quickly, and take more paths, so that pairs still meet.
 3. Nodes of at most ``LEAF`` members are leaves.  All members of a leaf are
    compared, first by their minwise tokens and, where ``AGREE`` of these agree,
-   on their full sets.  Nodes with the same members, from whatever tree, count
+   on their full sets.  Leaves with the same members, from whatever tree, count
    once.
 4. Larger nodes first compare each member with one leader; members linked with
    it get its label.  Then they branch again.  Nodes whose members have all one
@@ -22,9 +22,11 @@ whose sets have a Jaccard similarity of at least ``percent`` / 100 are linked.
 5. Leaves return a star for each group of linked members, not all pairs.
    Connected components of the stars are those of the links.
 
-Every link is confirmed on full sets.  A pair just at 0.8 meets in one tree of
-depth one with probability of about 0.85, and ten trees miss it once in 10^8;
-the tokens refuse it three times in 10^6.
+Every link is confirmed on full sets.  All trees draw from the same tokens, so
+they are not independent: of the pairs just at 0.8 whose tokens agree often
+enough, ten trees miss 6 in 10^7 at depth one, 3 in 10^6 at depth two and 9 in
+10^6 at depth three if every node of the levels before is large
+(``miss_rate``).  The tokens refuse three more in 10^6.
 
 Cases: a null or empty text, or one of white space, has an empty set and links
 with nothing; fewer words than a shingle make one shingle of them all; rows
@@ -34,6 +36,7 @@ component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,7 +55,7 @@ COORDS = 32
 TREES = 10
 LEAF = 1000
 #: Coordinates that a node's children add to the path, and how many paths a node takes at most; by level.
-STEPS = ((1, 2), (2, 2), (4, 3))
+STEPS = ((1, 2), (2, 5), (3, 8))
 #: Percent of the nodes that take the last of these paths.
 LAST_PATH = (25, 100, 100)
 BLOCK = 4000
@@ -62,6 +65,22 @@ AGREE = 14
 _MULTIPLIERS = textnum.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def miss_rate(similarity: float, depth: int) -> float:
+    """Probability that a pair with ``AGREE`` tokens in common meets in no node of level ``depth``, all nodes before being large.
+
+    A path draws its coordinates with replacement; trees are independent given
+    how many tokens agree.
+    """
+    out = 0.0
+    for agree in range(AGREE, COORDS + 1):
+        miss = 0.0
+        for (step, paths), last in reversed(list(zip(STEPS[:depth], LAST_PATH, strict=False))):
+            path = 1 - (agree / COORDS) ** step * (1 - miss)
+            miss = path ** (paths - 1) * (1 - last / 100 * (1 - path))
+        out += math.comb(COORDS, agree) * similarity ** agree * (1 - similarity) ** (COORDS - agree) * miss ** TREES
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Batches with the first place of each non-empty set, set sizes, and all hashes."""
     for b in slices(batches, "text"):
@@ -272,7 +291,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                                                F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
                       .where("low < high").select("node", "n", "print"), "near-found")
         leaf = kids.join(_once(found.where(F.col("n") <= LEAF)), "node").select("node", "cid", "label")
-        inside = stage(kids.join(_once(found.where(F.col("n") > LEAF)), "node"), "near-inside")
+        # Large nodes with the same members branch each in its own way, and count once only where they are compared completely.
+        large = found.where(F.col("n") > LEAF)
+        inside = stage(kids.join(_once(large) if depth == len(STEPS) else large.select("node", "n"), "node"), "near-inside")
         more = not inside.isEmpty()
         if more and depth == len(STEPS):
             # Every pair of blocks is one group; a member meets all blocks of its node.
