@@ -1,17 +1,17 @@
-"""Registered queries: sessions, login lockouts, daily audit counts (batch
-forms; the stream forms are exercised against them in the tests)."""
+"""Registered queries: sessions, login lockouts, daily audit counts, each as a
+batch and as a stream job that is run over the table slice by slice."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.testdata import LOCK_DURATION, LOCK_MAX_FAILURES, SESSION_GAP, DriverModel
-from ..streaming import audit_feed, lockouts, sessions
+from ..sources.testdata import LOCK_DURATION, LOCK_MAX_FAILURES, LOCK_SECONDS, SESSION_GAP, DriverModel
+from ..streaming import audit_feed, jobs, lockouts, sessions
 from .oracle import q
 from .registry import register
 
 
-@register("sessions", "Z1", q(f"""
+SESSIONS_SQL = q(f"""
 , e AS (
   SELECT user_id, ts,
          CASE WHEN LAG(ts) OVER w IS NULL OR ts > LAG(ts) OVER w + INTERVAL '{SESSION_GAP}' THEN 1 ELSE 0 END AS s
@@ -21,12 +21,22 @@ from .registry import register
 )
 SELECT user_id, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS n_events
 FROM g GROUP BY user_id, sid
-"""))
+""")
+
+
+@register("sessions", "Z1", SESSIONS_SQL)
 def sessions_q(m: DriverModel):
     """Activity sessions of each user (idle gap of 12 hours on this data)."""
     return sessions.sessions(m.activity, "user_id", "ts", SESSION_GAP).drop("session_no")
 
 
+@register("sessions_stream", "Z1", SESSIONS_SQL)
+def sessions_stream(m: DriverModel):
+    """The same sessions from the stream job: two starts, the second from its checkpoint."""
+    return jobs.replay(m.activity, "ts", jobs.run_sessions, {"user_id": -1},
+                       "user_id bigint, session_start timestamp_ntz, session_end timestamp_ntz, n_events bigint", gap=SESSION_GAP)
+
+
 def _walk_sql(source: str) -> str:
     return q(f"""
 , src AS ({source})
@@ -56,7 +66,10 @@ FROM walk
 """).replace("\nWITH statuses AS (", "\nWITH RECURSIVE statuses AS (", 1)
 
 
-@register("lockouts", "Z2", _walk_sql("SELECT key, ts, ok, seq FROM login_attempts"))
+LOCKOUTS_SQL = _walk_sql("SELECT key, ts, ok, seq FROM login_attempts")
+
+
+@register("lockouts", "Z2", LOCKOUTS_SQL)
 def lockouts_q(m: DriverModel):
     """Login attempts (error = failure, purchase = success) with the lockout
     decision: 3 failures lock a key for 12 hours on this data."""
@@ -65,6 +78,15 @@ def lockouts_q(m: DriverModel):
     return d.select("key", "seq", "refused", "fires_lock", "locked_until")
 
 
+@register("lockouts_stream", "Z2", LOCKOUTS_SQL)
+def lockouts_stream(m: DriverModel):
+    """The same decisions from the stream job, whose state outlives its starts."""
+    d = jobs.replay(m.login_attempts, "ts", jobs.run_lockouts, {"key": "closing", "ok": True, "seq": -1},
+                    "key string, ts timestamp_ntz, ok boolean, seq bigint, refused boolean, fires_lock boolean, locked_until timestamp_ntz",
+                    max_failures=LOCK_MAX_FAILURES, lock_seconds=LOCK_SECONDS, idle_seconds=None)
+    return d.select("key", "seq", "refused", "fires_lock", "locked_until")
+
+
 @register("lockouts_hot", "Z2", _walk_sql("SELECT CAST(CAST(key AS BIGINT) % 3 AS VARCHAR) AS key, ts, ok, seq FROM login_attempts"))
 def lockouts_hot(m: DriverModel):
     """The same attempts under three keys, each with a third of all rows."""
@@ -73,9 +95,18 @@ def lockouts_hot(m: DriverModel):
     return d.select("key", "seq", "refused", "fires_lock", "locked_until")
 
 
-@register("audit_daily", "Z3", q("""
+AUDIT_SQL = q("""
 SELECT CAST(ts AS DATE) AS day, event_type AS action, COUNT(*) AS n FROM events GROUP BY 1, 2
-"""))
+""")
+
+
+@register("audit_daily", "Z3", AUDIT_SQL)
 def audit_daily(m: DriverModel):
     """Audit rows per action and day."""
     return audit_feed.daily_counts(m.audit)
+
+
+@register("audit_stream", "Z3", AUDIT_SQL)
+def audit_stream(m: DriverModel):
+    """The same counts from the stream job: each day when the watermark has passed it."""
+    return jobs.replay(m.audit, "logged_at", jobs.run_audit_daily, {"id": -1, "action": "closing"}, "day date, action string, n bigint")

@@ -39,6 +39,7 @@ REPORT_TO = "1998-06-30"
 SESSION_GAP = "12 hours"
 LOCK_MAX_FAILURES = 3
 LOCK_DURATION = "12 hours"
+LOCK_SECONDS = 12 * 3600
 
 
 def _hours(c: Column) -> Column:

@@ -6,124 +6,249 @@ nothing; a success clears the failure count; a failure adds one, and the
 ``max_failures``-th failure starts the lock and resets the count to 0.  An
 attempt exactly at the lock end is accepted.  Failures never expire.
 
-Batch form, exact, and the same for keys of every size: a chain search without
-a per-key array or single-task window.
-
-1. Attempts are numbered per key (``idx``) with a bucketed ordered scan.
-2. An *epoch* starts in the clean state (count 0, no lock).  From a start
-   ``i`` the epoch ends at the first success among the next ``max_failures``
-   attempts, or, if all of them fail, at the last of them, which fires a lock
-   whose end ``T`` makes the next epoch start at the first attempt with time
-   >= ``T``.  So each ``i`` has a successor ``next(i)`` computed from a
-   bounded look-ahead (a join on (key, idx - d) for d < max_failures) and one
-   ordered count for the lock end.
-3. The real epoch starts are the chain 0, next(0), next(next(0)), ... found
-   by pointer doubling: log2(chain length) rounds of equi-joins on the unique
-   (key, idx), which hash-spread even when one key is huge.  Each round is
-   checkpointed to the shared checkpoint folder so lineage stays short.
-4. Every attempt takes its epoch from the last start at or before it
-   (forward fill in the ordered scan); attempts after the epoch end are
-   refused.
-
-Stream form: ``applyInPandasWithState`` keyed by the login key.  Attempts wait in
-the state until the watermark has passed them and are then folded in (ts, seq)
-order, so batches may bring them in any order.  The count and the lock end stay
-for good, as in the source, unless an idle limit is asked for.
+Batch form, exact, and the same for keys of every size: attempts are cut into
+(key, time bucket) pieces, and each piece becomes one map from the state before
+it to the state after it.  A state is a failure count, or a lock with its end.
+
+1. A piece's map holds one state for each count, and for a lock one state for
+   each run of lock ends that leave the piece alike.  All starts inside a piece
+   are followed at once: an *epoch* begins without failures and ends at the next
+   success, or at the failure that fires a lock; what comes next is known for
+   each row, and pointer doubling in the task leads every start to its end.
+2. One pass over the maps of a key in time order composes them: it carries the
+   state from piece to piece and gives each piece the state it begins with.
+3. The pieces are read again from the same exchange, each with its state, and
+   every attempt gets its decision.
+
+A key that holds a third of all rows is spread over its buckets; only its maps
+meet in one task, read one after the other.
+
+Stream form: ``transformWithState`` keyed by the login key.  Attempts wait in a
+map state under their millisecond, with a timer there, and are folded once, in
+(ts, seq) order, when the watermark has passed them, so batches may bring them in
+any order.  Nothing that waits is written again.  The count and the lock end
+stay for good, as in the source, unless an idle limit is asked for.
+
+Attempts without a key or a time take no part; a missing outcome is a failure.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_left
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+#: "No lock" among lock ends, which are microseconds.
+NONE = np.iinfo(np.int64).min
+_BUCKET = "__bucket"
+
+
+def _whole_pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete pieces with the pieces' borders, from batches sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            c = t.column(k).combine_chunks()
+            new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
+        return t, np.append(np.flatnonzero(new), t.num_rows)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        last = [b.column(b.schema.get_field_index(k)) for k in keys]
+        if all(c[0] == c[-1] for c in last) and all(held[0].column(b.schema.get_field_index(k))[0] == c[-1] for k, c in zip(keys, last, strict=True)):
+            continue
+        t, border = table()
+        cut = int(border[-2])
+        yield t.slice(0, cut), border[:-1]
+        held = t.slice(cut).to_batches()
+    if held:
+        yield table()
+
+
+def _micros(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().cast(pa.timestamp("us")).cast(pa.int64()))
+
+
+class _Walk:
+    """The epochs of pieces, row by row: ``border`` are the n+1 borders of the pieces."""
+
+    def __init__(self, ts: np.ndarray, ok: np.ndarray, border: np.ndarray, max_failures: int, lock: int):
+        self.ts, self.first, self.max, self.lock = ts, border[:-1], max_failures, lock
+        n = len(ts)
+        self.piece = np.repeat(np.arange(len(border) - 1), np.diff(border))
+        self.stop = border[1:][self.piece]
+        success = np.where(ok, np.arange(n), n)
+        self.success = np.minimum(np.minimum.accumulate(success[::-1])[::-1], self.stop)
+        self.base = ts[self.first]
+        self.width = int((ts - self.base[self.piece]).max(initial=0)) + 2
+        self.order = self.piece * self.width + ts - self.base[self.piece]
+        self.end, self.until, self.next = self.epoch(np.arange(n), np.full(n, max_failures))
+        last = np.where(self.next < self.stop, self.next, np.arange(n))
+        while (last[last] != last).any():
+            last = last[last]
+        self.count_after, self.until_after = self._left(last, self.max)
+
+    def at_or_after(self, piece: np.ndarray, time: np.ndarray) -> np.ndarray:
+        """First row of each piece at or after a time, or the piece's end."""
+        since = np.clip(time - self.base[piece], 0, self.width - 1)
+        return np.searchsorted(self.order, piece * self.width + since)
+
+    def epoch(self, at: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last row, lock end or NONE, next start) of the epochs that begin at rows and need so many failures for a lock."""
+        stop, success = self.stop[at], self.success[at]
+        good = success < np.minimum(at + need, stop)
+        fires = ~good & (at + need <= stop)
+        fired = np.where(fires, at + need - 1, at)
+        until = np.where(fires, self.ts[fired] + self.lock, NONE)
+        end = np.where(good, success, np.where(fires, fired, stop - 1))
+        after = self.at_or_after(self.piece[at], np.where(fires, until, self.ts[at]))
+        return end, until, np.where(good, success + 1, np.where(fires, after, stop))
 
-from ..operators.ordered import scan
-from ..session import checkpoint_dir
+    def _left(self, at: np.ndarray, need) -> tuple[np.ndarray, np.ndarray]:
+        """State behind the piece of epochs that no other follows there."""
+        open_ = (self.until[at] == NONE) & (self.success[at] >= self.stop[at])
+        return np.where(open_, self.max - need + self.stop[at] - at, 0), self.until[at]
 
+    def through(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """State behind each piece that begins with ``count`` failures."""
+        at, need = self.first, self.max - count
+        _, until, after = self.epoch(at, np.full(len(at), need))
+        stop = self.stop[at]
+        more = after < stop
+        to = np.where(more, after, at)
+        open_ = (until == NONE) & (self.success[at] >= stop)
+        return np.where(more, self.count_after[to], np.where(open_, count + stop - at, 0)), np.where(more, self.until_after[to], until)
 
-def _bucket(ts: str, unit: str):
-    return F.date_trunc(unit, F.col(ts))
+    def steps(self, limit: np.ndarray) -> np.ndarray:
+        """Rows that tell apart what a lock's end does to a piece: the last of each run of equal outcomes.
 
+        ``limit`` is a time that no lock from before the piece reaches."""
+        n = len(self.ts)
+        at = np.flatnonzero(np.append(True, (np.diff(self.ts) != 0) | (np.diff(self.piece) != 0))[:n])
+        piece = self.piece[at]
+        opens = np.append(True, np.diff(piece) != 0)[:len(at)]
+        seen = np.append(False, self.ts[at][:-1] >= limit[piece[:-1]])[:len(at)]
+        at = at[opens | ~seen]
+        same = (np.diff(self.piece[at]) == 0) & (np.diff(self.count_after[at]) == 0) & (np.diff(self.until_after[at]) == 0)
+        return at[~np.append(same, False)[:len(at)]]
 
-def lockout_decisions(attempts: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok",
-                      seq: str = "seq", max_failures: int = 5, lock: str = "15 minutes",
-                      bucket_unit: str = "day", max_rounds: int = 64) -> DataFrame:
-    """Each attempt with ``refused``, ``fires_lock`` and ``locked_until``
-    (steps 1-4 of the module notes)."""
+
+def _maps(key: str, max_failures: int, lock: int):
+    """Step 1: one row for each piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, border in _whole_pieces(batches, [key, _BUCKET]):
+            first = border[:-1]
+            walk = _Walk(_micros(t.column("ts")), np.asarray(t.column("ok")), border, max_failures, lock)
+            steps = walk.steps(_micros(t.column(_BUCKET))[first] + lock)
+            cut = pa.array(np.searchsorted(steps, border), pa.int32())
+            counts = [walk.through(c) for c in range(max_failures)]
+            rows = pa.array(np.arange(len(first) + 1) * max_failures, pa.int32())
+            many = lambda offsets, values: pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                t.column(key).combine_chunks().take(pa.array(first)), t.column(_BUCKET).combine_chunks().take(pa.array(first)), pa.array(walk.ts[first]),
+                many(rows, np.stack([c for c, _ in counts], axis=1).ravel()), many(rows, np.stack([u for _, u in counts], axis=1).ravel()),
+                many(cut, walk.ts[steps]), many(cut, walk.count_after[steps]), many(cut, walk.until_after[steps])],
+                names=[key, _BUCKET, "first", "counts", "untils", "step_ts", "step_counts", "step_untils"])
+    return run
+
+
+def _compose(key: str):
+    """Step 2: the state that each piece begins with, from rows in (key, bucket) order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, until = None, 0, NONE
+        for b in batches:
+            column = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            out_count, out_until = [], []
+            rows = zip(*(column[c].to_pylist() for c in (key, "first", "counts", "untils", "step_ts", "step_counts", "step_untils")), strict=True)
+            for k, first, counts, untils, step_ts, step_counts, step_untils in rows:
+                if k != now:
+                    now, count, until = k, 0, NONE
+                out_count.append(count)
+                out_until.append(until)
+                if until <= first:
+                    # No lock, or one that ended before: its count is 0.
+                    count, until = counts[count], untils[count]
+                    continue
+                at = bisect_left(step_ts, until)
+                if at < len(step_ts):
+                    count, until = step_counts[at], step_untils[at]
+            yield pa.RecordBatch.from_arrays([column[key], column[_BUCKET], pa.array(out_count, pa.int64()), pa.array(out_until, pa.int64())],
+                                             names=[key, _BUCKET, "__count", "__until"])
+    return run
+
+
+def _decide(key: str, max_failures: int, lock: int):
+    """Step 3: decisions of rows that carry the state of their piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, border in _whole_pieces(batches, [key, _BUCKET]):
+            first, stop = border[:-1], border[1:]
+            ts = _micros(t.column("ts"))
+            walk = _Walk(ts, np.asarray(t.column("ok")), border, max_failures, lock)
+            count, carried = np.asarray(t.column("__count"))[first], np.asarray(t.column("__until"))[first]
+            locked = carried > ts[first]
+            at = np.where(locked, walk.at_or_after(np.arange(len(first)), carried), first)
+            some = at < stop
+            at, need = at[some], max_failures - np.where(locked, 0, count)[some]
+            end, until = walk.end.copy(), walk.until.copy()
+            end[at], until[at], after = walk.epoch(at, need)
+            starts = np.zeros(len(ts) + 1, bool)
+            starts[after[after < stop[some]]] = True
+            jump = np.append(np.where(walk.next < walk.stop, walk.next, len(ts)), len(ts))
+            before = -1
+            while (reached := int(starts.sum())) != before:
+                starts[jump[starts]] = True
+                starts[-1] = False
+                jump, before = jump[jump], reached
+            starts[at] = True
+            row = np.arange(len(ts))
+            begun = np.maximum.accumulate(np.where(starts[:-1], row, -1))
+            early = begun < first[walk.piece]
+            begun = np.where(early, row, begun)
+            refused = early | (row > end[begun])
+            fires = ~early & (until[begun] != NONE) & (row == end[begun])
+            lock_end = np.where(early, carried[walk.piece], until[begun])
+            shown = pa.array(lock_end, pa.int64(), mask=~(refused | fires)).cast(pa.timestamp("us"))
+            names = [key, "ts", "ok", "seq"]
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), pa.array(refused), pa.array(fires), shown],
+                                             names=[*names, "refused", "fires_lock", "locked_until"])
+    return run
+
+
+def lockout_decisions(attempts: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok", seq: str = "seq",
+                      max_failures: int = 5, lock: str = "15 minutes", bucket_unit: str = "day") -> DataFrame:
+    """Each attempt (key, ts, ok, seq) with ``refused``, ``fires_lock`` and ``locked_until``.
+
+    A (key, bucket) piece must fit a task; pieces of ``bucket_unit`` are whole units of time.
+    """
     spark = attempts.sparkSession
-    checkpoint_dir(spark)
-    D = F.expr(f"INTERVAL {lock}")
-    a = attempts.select(key, ts, ok, seq).withColumn("__one", F.lit(1))
-    # 1. position of each attempt in its key (0-based) and key size
-    a = scan(a, key, [ts, seq], _bucket(ts, bucket_unit), running=["__one"])
-    a = a.withColumn("idx", F.col("run___one") - 1).drop("run___one", "__one").checkpoint()
-    sizes = a.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-
-    # 2a. bounded look-ahead: attempt j is offset d = j - i of start i, d < max
-    look = (a.select(key, "idx", ts, ok)
-            .withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max_failures - 1))))
-            .withColumn("base", F.col("idx") - F.col("d"))
-            .where(F.col("base") >= 0))
-    ahead = look.groupBy(key, "base").agg(
-        F.min(F.when(F.col(ok), F.col("d"))).alias("first_ok"),
-        F.count(F.lit(1)).alias("avail"),
-        F.max(F.when(F.col("d") == max_failures - 1, F.col(ts))).alias("fire_ts"))
-    ahead = ahead.join(sizes, key)
-    kind = (F.when(F.col("first_ok").isNotNull(), F.lit("success"))
-             .when(F.col("avail") == max_failures, F.lit("lock")).otherwise(F.lit("open")))
-    ep = ahead.select(
-        key, F.col("base").alias("idx"), kind.alias("kind"),
-        F.when(F.col("first_ok").isNotNull(), F.col("base") + F.col("first_ok"))
-         .when(F.col("avail") == max_failures, F.col("base") + max_failures - 1)
-         .otherwise(F.col("__n") - 1).alias("end"),
-        F.when(F.col("first_ok").isNull() & (F.col("avail") == max_failures), F.col("fire_ts") + D)
-         .cast("timestamp_ntz").alias("lock_until"),
-        F.col("__n"))
-
-    # 2b. first attempt at or after each lock end: count attempts before it
-    probes = ep.where(F.col("kind") == "lock").select(
-        key, F.col("lock_until").alias(ts), F.lit(0).alias("__kind"), F.col("idx").alias("__probe_of"),
-        F.lit(0).alias("__att"))
-    rows = a.select(key, ts, F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__probe_of"),
-                    F.lit(1).alias("__att"))
-    counted = scan(probes.unionByName(rows), key, [ts, "__kind"], _bucket(ts, bucket_unit), running=["__att"])
-    after_lock = counted.where(F.col("__kind") == 0).select(
-        key, F.col("__probe_of").alias("idx"), F.col("run___att").alias("__after"))
-    ep = ep.join(after_lock, [key, "idx"], "left")
-    nxt = (F.when(F.col("kind") == "success", F.col("end") + 1)
-            .when(F.col("kind") == "lock", F.col("__after")).otherwise(F.col("__n")))
-    jump = ep.select(key, "idx", nxt.alias("nxt"), "__n").checkpoint()
-
-    # 3. chain from idx 0 by pointer doubling
-    chain = jump.where(F.col("idx") == 0).select(key, "idx").checkpoint()
-    size = chain.count()
-    J = jump.select(key, "idx", "nxt", "__n")
-    for _ in range(max_rounds):
-        reached = (chain.join(J, [key, "idx"]).where(F.col("nxt") < F.col("__n"))
-                   .select(key, F.col("nxt").alias("idx")))
-        chain = chain.unionByName(reached).distinct().checkpoint()
-        grown = chain.count()
-        if grown == size:
-            break
-        size = grown
-        J2 = J.alias("x").join(J.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}"))
-                               & (F.col("x.nxt") == F.col("y.idx")), "left")
-        J = J2.select(F.col(f"x.{key}").alias(key), F.col("x.idx").alias("idx"),
-                      F.coalesce(F.col("y.nxt"), F.col("x.nxt")).alias("nxt"),
-                      F.col("x.__n").alias("__n")).checkpoint()
-    else:
-        raise RuntimeError("lockout chain did not converge; raise max_rounds")
-
-    # 4. each attempt takes the last epoch start at or before it
-    starts = chain.join(ep.select(key, "idx", "kind", "end", "lock_until"), [key, "idx"]) \
-        .select(key, "idx", F.struct("kind", "end", "lock_until").alias("__epoch"))
-    tagged = a.join(starts, [key, "idx"], "left")
-    filled = scan(tagged, key, [ts, seq], _bucket(ts, bucket_unit), last_seen=["__epoch"])
-    e = F.col("last___epoch")
-    refused = F.col("idx") > e["end"]
-    fires = (e["kind"] == "lock") & (F.col("idx") == e["end"])
-    return filled.select(key, ts, ok, seq, "idx", refused.alias("refused"), fires.alias("fires_lock"),
-                         F.when(refused | fires, e["lock_until"]).cast("timestamp_ntz").alias("locked_until"))
+    micros = int(spark.sql(f"SELECT CAST(INTERVAL {lock} AS INTERVAL DAY TO SECOND) AS d").first().d.total_seconds() * 1_000_000)
+    a = attempts.select(F.col(key), F.col(ts).cast("timestamp_ntz").alias("ts"), F.coalesce(F.col(ok), F.lit(False)).alias("ok"), F.col(seq).alias("seq"))
+    a = a.withColumn(_BUCKET, F.date_trunc(bucket_unit, "ts").cast("timestamp_ntz")).where(F.col(key).isNotNull() & F.col("ts").isNotNull() & F.col(_BUCKET).isNotNull())
+    # One exchange for both readings; being asked for, it is not split by the join below.
+    pieces = a.repartition(key, _BUCKET)
+    of = {f.name: f.dataType.simpleString() for f in a.schema}
+    order = [key, _BUCKET, "ts", "seq"]
+    lists = ", ".join(f"{c} array<bigint>" for c in ("counts", "untils", "step_ts", "step_counts", "step_untils"))
+    maps = pieces.sortWithinPartitions(*order).mapInArrow(_maps(key, max_failures, micros), f"`{key}` {of[key]}, {_BUCKET} timestamp_ntz, first bigint, {lists}")
+    states = maps.repartition(key).sortWithinPartitions(key, _BUCKET).mapInArrow(
+        _compose(key), f"`{key}` {of[key]}, {_BUCKET} timestamp_ntz, __count bigint, __until bigint")
+    out = pieces.join(states, [key, _BUCKET]).sortWithinPartitions(*order).mapInArrow(
+        _decide(key, max_failures, micros), f"`{key}` {of[key]}, ts timestamp_ntz, ok boolean, seq {of['seq']}, refused boolean, fires_lock boolean, locked_until timestamp_ntz")
+    return out.withColumnsRenamed({"ts": ts, "ok": ok, "seq": seq})
 
 
 def lockout_summary(decisions: DataFrame, key: str = "key") -> DataFrame:
@@ -135,62 +260,76 @@ def lockout_summary(decisions: DataFrame, key: str = "key") -> DataFrame:
 
 # ----- streaming form -----
 
-# Times are microseconds; ``waiting`` is a JSON list of [ts, seq, ok] that the watermark has not passed.
-STATE_SCHEMA = T.StructType([T.StructField("count", T.IntegerType()), T.StructField("until", T.LongType()),
-                             T.StructField("last", T.LongType()), T.StructField("waiting", T.StringType())])
 OUT_SCHEMA = T.StructType([
-    T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("ok", T.BooleanType()), T.StructField("seq", T.LongType()),
     T.StructField("refused", T.BooleanType()), T.StructField("fires_lock", T.BooleanType()),
-    T.StructField("locked_until", T.TimestampType()),
+    T.StructField("locked_until", T.TimestampNTZType()),
 ])
+#: State stores that ``transformWithState`` works with.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LockoutProcessor(StatefulProcessor):
+    """Folds each attempt once the watermark has passed it.
+
+    ``waiting`` maps a millisecond to its attempts (times in microseconds),
+    ``lock`` holds (count, lock end, last attempt folded).
+    """
 
+    def __init__(self, max_failures: int, lock_seconds: int, idle_seconds: int | None):
+        self.max, self.lock_us, self.idle_ms = max_failures, lock_seconds * 1_000_000, None if idle_seconds is None else idle_seconds * 1000
 
-def _fold_fn(max_failures: int, lock_seconds: int, idle_seconds: int | None):
-    import json
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms bigint", "attempts array<struct<ts: bigint, seq: bigint, ok: boolean>>")
+        self.lock = handle.getValueState("lock", "count int, until bigint, last bigint")
 
-    import pandas as pd
+    def handleInputRows(self, key, rows, timerValues):
+        new: dict[int, list] = {}
+        for r in rows:
+            new.setdefault(r.us // 1000, []).append((r.us, r.seq, bool(r.ok)))
+        for ms, attempts in new.items():
+            held = self.waiting.getValue((ms,))
+            if held is None:
+                # A timer at t expires when the watermark reaches it; later batches bring nothing at or before that.
+                self.handle.registerTimer(ms + 1)
+                held = ([],)
+            self.waiting.updateValue((ms,), ([*map(tuple, held[0]), *attempts],))
+        return iter(())
 
-    def fold(key, pdfs, state):
-        count, until, last, waiting = state.get if state.exists else (0, None, 0, "[]")
-        rows = json.loads(waiting)
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                at = pdf["ts"].astype("datetime64[us]").astype("int64")
-                rows += [[int(t), int(n), bool(o)] for t, n, o in zip(at, pdf["seq"], pdf["ok"], strict=True)]
-        passed = state.getCurrentWatermarkMs() * 1000
-        # Later batches bring nothing at or before the watermark: these can be folded for good.
-        ready = sorted(r for r in rows if r[0] <= passed)
-        rows = [r for r in rows if r[0] > passed]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        state = self.lock.get()
+        count, until, last = state if state is not None else (0, None, None)
+        held = self.waiting.getValue((ms,))
         out = []
-        for t, n, ok in ready:
-            last = max(last, t)
+        when = lambda us: datetime(1970, 1, 1) + timedelta(microseconds=us)
+        decision = Row(*OUT_SCHEMA.names)
+        for t, n, ok in sorted(map(tuple, held[0])) if held is not None else ():
+            last = t
             if until is not None and t < until:
-                out.append((key[0], t, ok, n, True, False, until))
+                out.append(decision(key[0], when(t), ok, n, True, False, when(until)))
                 continue
-            count = 0 if ok else count + 1
-            fires = not ok and count >= max_failures
-            if ok:
-                until = None
+            count, until = (0 if ok else count + 1), (None if ok else until)
+            fires = count >= self.max
             if fires:
-                count, until = 0, t + lock_seconds * 1_000_000
-            out.append((key[0], t, ok, n, False, fires, until if fires else None))
-        forget = None if idle_seconds is None else max(last, until or 0) // 1000 + idle_seconds * 1000
-        if not rows and forget is not None and passed // 1000 >= forget:
-            state.remove()
-        else:
-            state.update((count, until, last, json.dumps(rows)))
-            # Wake when the watermark passes the next attempt, or else when the key has been idle for long.
-            wake = min(r[0] for r in rows) // 1000 + 1 if rows else forget
-            if wake is not None:
-                state.setTimeoutTimestamp(max(wake, passed // 1000 + 1))
-        if out:
-            frame = pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
-            for c in ("ts", "locked_until"):
-                frame[c] = pd.to_datetime(frame[c], unit="us")
-            yield frame
-
-    return fold
+                count, until = 0, t + self.lock_us
+            out.append(decision(key[0], when(t), ok, n, False, fires, when(until) if fires else None))
+        if held is not None:
+            self.waiting.removeKey((ms,))
+            self.lock.update((count, until, last))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(self._forget(last, until))
+        elif last is not None and self.idle_ms is not None and expiredTimerInfo.getExpiryTimeInMs() >= self._forget(last, until):
+            self.lock.clear()
+        return iter(out)
+
+    def _forget(self, last: int, until: int | None) -> int:
+        return max(last, until or 0) // 1000 + 1 + self.idle_ms
+
+    def close(self) -> None:
+        pass
 
 
 def lockouts_stream(attempts: DataFrame, max_failures: int = 5, lock_seconds: int = 900,
@@ -198,15 +337,13 @@ def lockouts_stream(attempts: DataFrame, max_failures: int = 5, lock_seconds: in
     """Streaming decisions (key, ts, ok, seq columns in).
 
     A decision comes when the watermark has passed its attempt, so attempts
-    may arrive in any order within ``watermark``; later ones are dropped by
-    Spark.  Failures are kept for good, as in the source.  With
+    may arrive in any order within ``watermark``; later ones are dropped.
+    Failures are kept for good, as in the source.  With
     ``idle_seconds`` a key is forgotten after that much event time without an
     attempt, counted from the end of its lock if that is later; this bounds
-    the state and gives up failures older than it.
+    the state and gives up failures older than it.  The state store is RocksDB.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    s = attempts.select("key", F.col("ts").cast("timestamp_ltz").alias("ts"), "ok", "seq").withWatermark("ts", watermark)
-    return s.groupBy("key").applyInPandasWithState(
-        _fold_fn(max_failures, lock_seconds, idle_seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    s = attempts.select("key", F.col("ts").cast("timestamp_ltz").alias("ts"), "ok", "seq").where("key IS NOT NULL")
+    s = s.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
+    return s.groupBy("key").transformWithState(LockoutProcessor(max_failures, lock_seconds, idle_seconds), OUT_SCHEMA, "Append", "EventTime")
