@@ -10,6 +10,8 @@ from .text import ColumnOrName, _c, utrim
 # --- Fixed patterns that must equal the source system's checks ---
 ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 EMAIL_RE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+#: Decimal text that JavaScript's Number() reads.
+DECIMAL_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # --- end of fixed patterns ---
 
 

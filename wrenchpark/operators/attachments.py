@@ -68,11 +68,15 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
             .select("path", "modificationTime", "length"))
 
 
-def from_manifest(files: DataFrame) -> DataFrame:
-    """Manifest rows as upload rows.  A path ends in ``<job id>/<group>/<file name>``; the
-    type follows the file name's extension (NULL when unknown).  A path of another
+#: ``<job id>/<group>/<file name>``, the end of an uploaded file's path; and the same in folders named by column.
+PLAIN_PATH = r"([0-9]{1,18})/([^/]+)/([^/]+)$"
+COLUMN_PATH = r"job_id=([0-9]{1,18})/group=([^/]+)/([^/]+)$"
+
+
+def from_manifest(files: DataFrame, shape: str = PLAIN_PATH, mime: Column | None = None) -> DataFrame:
+    """Manifest rows as upload rows.  A path ends in ``shape``; the
+    type is ``mime``, or follows the file name's extension (NULL when unknown).  A path of another
     shape gets a NULL job and group, so :func:`check_uploads` refuses it."""
-    shape = r"([0-9]{1,18})/([^/]+)/([^/]+)$"
     placed = F.col("path").rlike(shape)
 
     def field(i: int) -> Column:
@@ -80,10 +84,39 @@ def from_manifest(files: DataFrame) -> DataFrame:
 
     mimes = F.create_map(*[F.lit(x) for mime, ext in S.ALLOWED_MIME.items() for x in (ext, mime)])
     return files.select(field(1).cast("bigint").alias("job_id"), field(2).alias("group"), field(3).alias("original_name"),
-                        mimes[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))].alias("mime_type"),
+                        (mimes[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))] if mime is None else mime).alias("mime_type"),
                         F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("uploaded_at"), "path")
 
 
+# --- Fixed values: the first bytes of the allowed file types, in hexadecimal ---
+JPEG_HEAD = "FFD8FF"
+PNG_HEAD = "89504E470D0A1A0A"
+WEBP_HEAD = "^52494646.{8}57454250"
+PDF_HEAD = "255044462D"
+# --- end of fixed values ---
+
+
+def sniffed_mime(content: ColumnOrName) -> Column:
+    """Type of a file by its first bytes, NULL when they are of none that is known."""
+    head = F.hex(F.substring(_c(content), 1, 12))
+    return (F.when(head.startswith(JPEG_HEAD), "image/jpeg").when(head.startswith(PNG_HEAD), "image/png")
+            .when(head.rlike(WEBP_HEAD), "image/webp").when(head.startswith(PDF_HEAD), "application/pdf"))
+
+
+def scan_uploads(spark: SparkSession, path: str, shape: str = PLAIN_PATH, pattern: str = "*",
+                 max_bytes: int = S.UPLOAD_MAX_BYTES) -> DataFrame:
+    """Files under ``path`` as upload rows whose type was read from their first bytes.
+
+    The bytes of a file over ``max_bytes`` are not read (the bound reaches the
+    source); it keeps the type of its name and is refused for its size."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+             .option("recursiveFileLookup", "true").load(path))
+    small = files.where(F.col("length") <= max_bytes)
+    read = from_manifest(small.select("path", "modificationTime", "length", sniffed_mime("content").alias("__mime")), shape, F.col("__mime"))
+    large = files.where(F.col("length") > max_bytes).select("path", "modificationTime", "length")
+    return read.unionByName(from_manifest(large, shape))
+
+
 def register_uploads(checked: DataFrame, existing: DataFrame) -> DataFrame:
     """New attachment rows of the accepted files: ids above the current maximum, by
     job, group in its fixed order and path; the storage path is derived from

@@ -1,9 +1,9 @@
 """Batches of changes: full updates, status changes, deletes and cascades.
 
 The source system applies one change per request.  Here a batch of changes
-is folded into the table by key: the last change of each id wins (a partial
-``max_by`` aggregate, so a hot id is combined on every task before the
-shuffle), and the result is a new snapshot produced by one join.  Nothing is
+is folded into the table by key: the last change of each id wins (a hash
+aggregate of the order alone, so a hot id is combined on every task before the
+shuffle, and the winners joined back), and the result is a new snapshot.  Nothing is
 updated in place; snapshots are written to new paths.
 """
 
@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from .dims import Dim, as_dim
@@ -25,10 +26,41 @@ UPDATE_COLUMNS = ["created_by_name", "created_by_email", "provider", "descriptio
                   "notes", "priority_id", "due_date", "owner_name", "owner_email"]
 
 
+def _order_code(changes: DataFrame, order: list[str]) -> Column | None:
+    """One number that sorts like the ``order`` columns, if these are a whole
+    number or a time and a whole number; NULLs come first."""
+    kinds = [changes.schema[o].dataType for o in order]
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    times = (T.TimestampType, T.TimestampNTZType)
+    if not kinds or len(kinds) > 2 or not isinstance(kinds[-1], whole) or (len(kinds) == 2 and not isinstance(kinds[0], times)):
+        return None
+    # 20 digits hold any 64-bit number moved above zero; 0 is NULL.  A time is below 18 digits of microseconds.
+    number = lambda text, kind: F.lit(text).cast(kind)
+    low = F.coalesce(F.col(order[-1]).cast("decimal(20,0)") + number(str((1 << 63) + 1), "decimal(20,0)"), F.lit(0)).cast("decimal(38,0)")
+    if len(kinds) == 1:
+        return low
+    micros = F.coalesce(F.unix_micros(F.col(order[0]).cast("timestamp_ltz")).cast("decimal(18,0)"), number(str(1 - 10**18), "decimal(18,0)"))
+    return ((micros * number(str(10**20), "decimal(21,0)")).cast("decimal(38,0)") + low).cast("decimal(38,0)")
+
+
 def last_per_key(changes: DataFrame, key: str, order: list[str], values: list[str], out: str = "last") -> DataFrame:
-    """The values of the latest change of each key, as one struct column."""
-    return changes.groupBy(key).agg(
-        F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(*[F.col(o) for o in order])).alias(out))
+    """The values of the latest change of each key, as one struct column.
+
+    The order columns alone are aggregated (a number per key, which Spark
+    does in a hash table on every task before the shuffle), and the winning
+    rows are joined back by key and order, so that a key with very many changes
+    is spread over the join's tasks.  Changes of equal order are told apart by a
+    hash of their values.  Orders that do not fit one number go through ``max_by``.
+    """
+    code = _order_code(changes, order)
+    row = F.struct(*[F.col(v) for v in values])
+    if code is None:
+        return changes.groupBy(key).agg(F.max_by(row, F.struct(*[F.col(o) for o in order])).alias(out))
+    rows = changes.select(F.col(key), row.alias(out), code.alias("__code"))
+    best = changes.select(F.col(key).alias("__key"), code.alias("__best")).groupBy("__key").agg(F.max("__best").alias("__best"))
+    won = rows.join(best, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__code") == F.col("__best"))).select(key, out)
+    first = Window.partitionBy(key).orderBy(F.xxhash64(out))
+    return won.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
 def apply_updates(jobs: DataFrame, updates: DataFrame, key: str = "target_id",

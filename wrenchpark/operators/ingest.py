@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.parse import EMAIL_RE, ISO_DATE_RE, decimal_text
+from ..functions.parse import DECIMAL_RE, EMAIL_RE, ISO_DATE_RE, decimal_text
 from ..functions.text import preview, trim_to_null, utrim
 from ..session import checkpoint_dir
 from .dims import Dim, as_dim
@@ -41,9 +41,6 @@ TEXT_FIELDS = ["created_by_name", "created_by_email", "provider", "purchase_orde
                "notes", "owner_name", "owner_email", "repair_date", "due_date"]
 
 
-DECIMAL_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def validate(records: DataFrame, mode: str = "create") -> DataFrame:
     """Check form records and type their values.
 
@@ -64,8 +61,9 @@ def validate(records: DataFrame, mode: str = "create") -> DataFrame:
     desc_t = utrim(F.coalesce(raw["description"], F.lit("")))
 
     def whole(c: str) -> Column:
-        n = F.regexp_extract(t[c], DECIMAL_RE, 0).try_cast("decimal(38,9)")
-        return F.when(n == F.floor(n), n.try_cast("int"))
+        # Through a double, as the source does: the nearest one decides whether a text is whole.
+        n = F.regexp_extract(t[c], DECIMAL_RE, 0).try_cast("double")
+        return F.when(n == F.rint(n), n.try_cast("int"))
 
     def text_or_null(c: str) -> Column:
         return F.when(F.length(t[c]) > 0, t[c])

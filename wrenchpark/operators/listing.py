@@ -23,6 +23,11 @@ PAGE_SIZE_DEFAULT = 100
 PAGE_SIZE_MIN = 5
 PAGE_SIZE_MAX = 200
 
+#: Attachments nested in one job's array, and groups that a job's rows are dealt into to find them.
+NEST_MAX = 1000
+NEST_SALTS = 16
+NEST_FIELDS = ["id", "file_path", "group", "original_name"]
+
 LIST_COLUMNS = ["id", "created_at", "provider", "description", "purchase_order", "net_value",
                 "repair_date", "requested_by", "closed_at", "priority_id", "due_date",
                 "owner_name", "owner_email", "status", "job_type", "location", "priority"]
@@ -108,15 +113,33 @@ def catalog_rows(catalogs: Mapping[str, Dim]) -> DataFrame:
     return rows.select("catalog", "pos", "id", "name").orderBy("catalog", "pos")
 
 
-def nested_attachments(jobs: DataFrame, attachments: DataFrame) -> DataFrame:
-    """(id, attachments): each job with its attachments nested, newest first;
-    an empty array when it has none.  One upload holds at most 24 files, so an
-    array is bounded by 24 times the uploads of the job; for jobs with very
-    many uploads use :func:`attachment_summary`."""
-    per = attachments.groupBy("job_id").agg(attachments_newest_first(attachments).alias("attachments"))
+def newest_attachments(attachments: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest attachments of each job, as rows.
+
+    A job's rows are first ranked in salted groups, of which each keeps its best
+    ``most`` (tasks drop the others before the shuffle), so at most
+    ``NEST_SALTS`` times ``most`` rows of a job ever meet, whatever it has."""
+    newest = F.struct(*[F.col(c) for c in NEST_FIELDS]).desc()
+
+    def best(df: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(newest)
+        return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= most).drop("__rank")
+
+    salted = attachments.select("job_id", *NEST_FIELDS).withColumn("__salt", F.pmod(F.xxhash64(*NEST_FIELDS), F.lit(NEST_SALTS)))
+    return best(best(salted, "job_id", "__salt"), "job_id").drop("__salt")
+
+
+def nested_attachments(jobs: DataFrame, attachments: DataFrame, most: int = NEST_MAX) -> DataFrame:
+    """(id, attachments, more): each job with its ``most`` newest attachments nested,
+    newest first, and how many it has beyond them; an empty array and 0 when
+    it has none.  The whole list of a job is to be had as rows (:func:`children_of`)."""
+    per = newest_attachments(attachments, most).groupBy("job_id").agg(attachments_newest_first().alias("attachments"))
+    total = attachments.groupBy("job_id").agg(F.count(F.lit(1)).alias("__total"))
     kind = per.schema["attachments"].dataType
-    return (jobs.select("id").join(per, F.col("id") == per.job_id, "left")
-            .select("id", F.coalesce("attachments", F.array().cast(kind)).alias("attachments")))
+    both = per.join(total, "job_id")
+    return (jobs.select("id").join(both, F.col("id") == both.job_id, "left")
+            .select("id", F.coalesce("attachments", F.array().cast(kind)).alias("attachments"),
+                    F.coalesce(F.col("__total") - F.size("attachments"), F.lit(0)).cast("bigint").alias("more")))
 
 
 def detail_row(jobs: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
@@ -132,24 +155,21 @@ def detail_row(jobs: DataFrame, catalogs: Mapping[str, Dim]) -> DataFrame:
     )
 
 
-def attachments_newest_first(attachments: DataFrame) -> Column:
+def attachments_newest_first() -> Column:
     """Attachment structs of a group, newest (highest id) first; the whole row
     breaks ties."""
-    fields = ["id", "file_path", "group", "original_name"]
-    return F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in fields])), asc=False)
+    return F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in NEST_FIELDS])), asc=False)
 
 
 def job_detail(jobs: DataFrame, catalogs: Mapping[str, Dim], attachments: DataFrame,
-               job_id) -> DataFrame:
-    """One job with its attachments nested as an array (empty result = not
-    found).  Both sides are filtered to the id before anything else runs."""
+               job_id, most: int = NEST_MAX) -> DataFrame:
+    """One job with its newest attachments nested as an array and the number of
+    ``more`` ones (empty result = not found).  Both sides are filtered to the id
+    before anything else runs."""
     job = detail_row(by_id(jobs, job_id), catalogs)
     n = to_int_or_none(job_id)
-    att = (attachments.where(F.col("job_id") == F.lit(n))
-           .groupBy("job_id").agg(attachments_newest_first(attachments).alias("attachments")))
-    return (job.join(att, job.id == att.job_id, "left").drop("job_id")
-            .withColumn("attachments", F.coalesce(F.col("attachments"),
-                                                  F.array().cast(att.schema["attachments"].dataType))))
+    nested = nested_attachments(by_id(jobs, job_id), attachments.where(F.col("job_id") == F.lit(n)), most)
+    return job.join(nested.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).drop("__id")
 
 
 def attachment_summary(jobs: DataFrame, attachments: DataFrame) -> DataFrame:

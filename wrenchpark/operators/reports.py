@@ -127,14 +127,17 @@ def top_providers(filtered: DataFrame, k: int = TOP_PROVIDERS, collation: str |
     of net value (NULL as 0); top ``k`` by amount, count, then name.
 
     Grouping is binary by default; ``collation='UNICODE_CI'`` groups names
-    that differ only in case, as a case-insensitive database would."""
+    that differ only in case, as a case-insensitive database would.  Of a group's
+    spellings the smallest in binary order is shown."""
     key = provider_key("provider", S.NO_PROVIDER_LABEL)
-    if collation:
-        key = F.collate(key, collation)
     agg = filtered.groupBy(key.alias("provider")).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.coalesce(F.col("net_value"), F.lit(0).cast("decimal(12,2)"))).cast("decimal(38,2)")
          .alias("amount"))
+    if collation:
+        # Rows are added up by exact name in a hash table; only the sums of distinct names are grouped by the collation, which sorts.
+        agg = agg.groupBy(F.collate("provider", collation).alias("__name")).agg(
+            F.min("provider").alias("provider"), F.sum("total").alias("total"), F.sum("amount").cast("decimal(38,2)").alias("amount")).drop("__name")
     return agg.orderBy(F.col("amount").desc(), F.col("total").desc(), F.col("provider").asc()).limit(k)
 
 

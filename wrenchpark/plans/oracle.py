@@ -94,6 +94,8 @@ WITH statuses AS (
          CASE WHEN o.o_orderkey % 10 = 0 THEN '   ' WHEN o.o_orderkey % 10 = 1 THEN NULL
               ELSE '  Job ' || CAST(o.o_orderkey AS VARCHAR) || ' ' END AS description,
          CASE WHEN o.o_orderkey % 9 = 0 THEN '' WHEN o.o_orderkey % 9 = 1 THEN 'abc' WHEN o.o_orderkey % 9 = 2 THEN '0'
+              WHEN o.o_orderkey % 9 = 3 THEN '1.0000000001' WHEN o.o_orderkey % 9 = 4 THEN '1.00000000000000000001'
+              WHEN o.o_orderkey % 9 = 5 THEN '250e-1' WHEN o.o_orderkey % 45 = 6 THEN '1e400' WHEN o.o_orderkey % 45 = 15 THEN '3000000000'
               ELSE CAST(c.c_nationkey AS VARCHAR) END AS location_id,
          CASE WHEN o.o_orderkey % 11 = 0 THEN NULL WHEN o.o_orderkey % 11 = 1 THEN '7.0'
               ELSE CAST(o.o_orderkey % 5 + 1 AS VARCHAR) END AS type_id,
@@ -118,10 +120,10 @@ WITH statuses AS (
 ), validated AS (
   SELECT *,
     CASE WHEN length(d_t) > 0 THEN substr(d_t, 1, 4000) ELSE coalesce(description, '') END AS v_description,
-    CASE WHEN TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END AS v_location_id,
-    CASE WHEN TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END AS v_type_id,
-    CASE WHEN TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END AS v_status_id,
-    nullif(CASE WHEN TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) = floor(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9))) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(38,9)) AS INTEGER) END, 0) AS v_priority_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END AS v_location_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END AS v_type_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END AS v_status_id,
+    nullif(CASE WHEN TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END, 0) AS v_priority_id,
     CASE WHEN net_value IS NULL OR net_value = '' THEN NULL WHEN net_t = '' THEN CAST(0 AS DECIMAL(12,2))
          ELSE TRY_CAST(regexp_extract(net_t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(12,2)) END AS v_net_value,
     CASE WHEN length(cm_t) > 0 THEN cm_t END AS v_created_by_email,

@@ -101,18 +101,21 @@ def search_4col(m: DriverModel):
     return JobFilter(search="  customer#0000001 ").apply(m.jobs).select(*FILTER_OUT)
 
 
-@register("search_7col", "F4", q(f"""
+SEARCH_7COL_SQL = q(f"""
 SELECT {FILTER_SQL_OUT} FROM jobs
 WHERE description ILIKE '%user12%' OR coalesce(provider, '') ILIKE '%user12%'
    OR coalesce(purchase_order, '') ILIKE '%user12%' OR coalesce(requested_by, '') ILIKE '%user12%'
    OR coalesce(created_by_name, '') ILIKE '%user12%' OR coalesce(created_by_email, '') ILIKE '%user12%'
    OR coalesce(notes, '') ILIKE '%user12%'
-"""))
+""")
+
+
+@register("search_7col", "F4", SEARCH_7COL_SQL)
 def search_7col(m: DriverModel):
     return JobFilter.for_report(search="user12").apply(m.jobs).select(*FILTER_OUT)
 
 
-@register("search_wildcards", "F5", q(f"""
+SEARCH_WILDCARDS_SQL = q(f"""
 SELECT {FILTER_SQL_OUT} FROM jobs
 WHERE regexp_matches(description, '(?is).*ing job [24].0.*')
    OR regexp_matches(coalesce(provider, ''), '(?is).*ing job [24].0.*')
@@ -120,7 +123,10 @@ WHERE regexp_matches(description, '(?is).*ing job [24].0.*')
    OR regexp_matches(coalesce(requested_by, ''), '(?is).*ing job [24].0.*')
    OR description ILIKE '%oc-1_3%' OR provider ILIKE '%oc-1_3%'
    OR purchase_order ILIKE '%oc-1_3%' OR requested_by ILIKE '%oc-1_3%'
-"""))
+""")
+
+
+@register("search_wildcards", "F5", SEARCH_WILDCARDS_SQL)
 def search_wildcards(m: DriverModel):
     """User text keeps its wildcards: '[24]' is a set and '_' one character."""
     a = JobFilter(search="ING job [24]_0").predicate()
@@ -266,7 +272,7 @@ def job_detail(m: DriverModel):
     ids = F.transform("attachments", lambda a: a["id"].cast("string"))
     return d.select("id", "created_at", "provider", "description", "status_name", "type_name",
                     "location_name", "priority_name", "created_at_str", "closed_at_str", "due_date_str",
-                    F.size("attachments").cast("bigint").alias("n_attachments"),
+                    (F.size("attachments") + F.col("more")).alias("n_attachments"),
                     F.array_max(F.transform("attachments", lambda a: a["id"])).alias("newest_attachment_id"),
                     F.array_join(ids, ",").alias("attachment_ids"))
 

@@ -52,4 +52,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
-    from . import q_changes, q_ingest, q_intake, q_listing, q_reports, q_sinks, q_streams  # noqa: F401
+    from . import q_changes, q_ingest, q_intake, q_listing, q_reports, q_sinks, q_stored, q_streams  # noqa: F401

@@ -71,6 +71,35 @@ def conform(df: DataFrame, schema: T.StructType,
     return df.select(*out)
 
 
+def write_folders(df: DataFrame, path: str, column: str) -> None:
+    """Write ``df`` in ``column=`` folders.  Its schema goes beside them, so that
+    a table without rows, which has no folder, can be read (:func:`read_folders`)."""
+    df.limit(0).write.parquet(f"{path}-schema")
+    df.write.partitionBy(column).parquet(path)
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}-schema").schema).parquet(path)
+
+
+def merged_table(spark: SparkSession, paths: Iterable[str], schema: T.StructType,
+                 aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+    """One table whose Parquet files were written before and after migrations.
+
+    The files' schemas are merged in one read: a column that some files lack
+    is NULL in their rows.  Where both generations name a column differently,
+    the first of the names that has a value in a row gives it."""
+    ensure_conf(spark)
+    df = spark.read.option("mergeSchema", "true").parquet(*paths)
+    present = set(df.columns)
+    out: list[Column] = []
+    for field in schema.fields:
+        names = [n for n in (field.name, *((aliases or {}).get(field.name, []))) if n in present]
+        expr = F.coalesce(*[F.col(f"`{n}`").cast(field.dataType) for n in names]) if names else F.lit(None).cast(field.dataType)
+        out.append(expr.alias(field.name))
+    return df.select(*out)
+
+
 def jdbc_table(spark: SparkSession, url: str, table: str, *, user: str | None = None,
                password: str | None = None, driver: str | None = None,
                partition_column: str | None = None, lower_bound: int | None = None,

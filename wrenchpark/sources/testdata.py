@@ -251,6 +251,8 @@ class DriverModel:
             F.when(k % 10 == 0, F.lit("   ")).when(k % 10 == 1, F.lit(None))
              .otherwise(F.concat(F.lit("  Job "), k.cast("string"), F.lit(" "))).alias("description"),
             F.when(k % 9 == 0, F.lit("")).when(k % 9 == 1, F.lit("abc")).when(k % 9 == 2, F.lit("0"))
+             .when(k % 9 == 3, F.lit("1.0000000001")).when(k % 9 == 4, F.lit("1.00000000000000000001"))
+             .when(k % 9 == 5, F.lit("250e-1")).when(k % 45 == 6, F.lit("1e400")).when(k % 45 == 15, F.lit("3000000000"))
              .otherwise(F.col("c_nationkey").cast("string")).alias("location_id"),
             F.when(k % 11 == 0, F.lit(None)).when(k % 11 == 1, F.lit("7.0"))
              .otherwise(((k % 5) + 1).cast("string")).alias("type_id"),
