@@ -49,9 +49,11 @@ from .packing import FIRST_DOUBT, LONG_RUN, Encoder
 # Fixed value: white space beyond ASCII.
 WIDE_SPACES = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct pieces of text that a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Distinct links of single texts after which a block ends.
-BLOCK_LINKS = 4_000_000
+BLOCK_LINKS = 1_500_000
+#: Bytes of text that are aligned at once.
+SLICE = 2 << 20
 
 
 class Memory:
@@ -444,7 +446,7 @@ def staged_links(docs: DataFrame, byte_file: str, piece_file: str, finish: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, block, out = None, Block(), None
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sides = sides or (ByteSide(sent.value[0]), PieceSide(sent.value[1]))
             batch = Aligned(b.column(1).to_pylist(), *sides)
             got = finish(batch)
