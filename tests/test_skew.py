@@ -100,3 +100,54 @@ def test_one_key_on_one_day_is_split(spark):
     assert pieces == 100                                    # one day of one job is 24 pieces
     day = changes.select(F.col("job_id").alias("user_id"), "ts")
     assert [r.n_events for r in sessions.sessions(day).collect()] == [n]
+
+
+def test_lockouts_of_many_shapes(spark):
+    """Locks shorter and longer than the buckets, ties in time, any number of failures: all equal to the straight fold."""
+    random.seed(9)
+    rows, seq = [], 0
+    for k in range(12):
+        t = T0 + dt.timedelta(minutes=random.randint(0, 5000))
+        for _ in range(120):
+            t += dt.timedelta(minutes=random.choice([0, 0, 1, 3, 59, 60, 61, 700, 3000]), microseconds=random.choice([0, 1]))
+            seq += 1
+            rows.append((f"k{k}", t, random.random() < 0.15, seq))
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ok boolean, seq long")
+    for most, lock, hours, unit in ((1, "1 hour", 1, "hour"), (2, "3 days", 72, "hour"), (3, "40 hours", 40, "day"), (4, "1 hour", 1, "month"), (7, "2 hours", 2, "day")):
+        got = lockouts.lockout_decisions(df, max_failures=most, lock=lock, bucket_unit=unit).collect()
+        expect = brute_lockouts(rows, most, dt.timedelta(hours=hours))
+        assert {r.seq: (r.refused, r.fires_lock) for r in got} == expect, (most, lock, unit)
+        ends = {r.seq: r.ts + dt.timedelta(hours=hours) for r in got if r.fires_lock}
+        assert all(r.locked_until in ends.values() if r.refused or r.fires_lock else r.locked_until is None for r in got)
+
+
+def test_lockouts_of_rows_without_key_time_or_outcome(spark):
+    rows = [("a", T0, None, 1), ("a", T0, None, 2), (None, T0, False, 3), ("a", None, False, 4), ("a", T0 + dt.timedelta(minutes=1), True, 5), ("b", T0, True, 6)]
+    df = spark.createDataFrame(rows, "who string, at timestamp_ntz, ok boolean, n long").withColumn("counts", F.lit(1)).withColumn("first", F.lit(1))
+    got = {r.n: (r.refused, r.fires_lock) for r in lockouts.lockout_decisions(df, "who", "at", "ok", "n", max_failures=2, lock="1 hour").collect()}
+    assert got == {1: (False, False), 2: (False, True), 5: (True, False), 6: (False, False)}
+    assert lockouts.lockout_decisions(df.limit(0), "who", "at", "ok", "n").count() == 0
+
+
+def test_lockouts_read_their_input_once_and_join_only_states(spark):
+    from conftest import SF_CHECK
+    from wrenchpark.plans import registry
+    plan = _executed(registry.queries()["lockouts_hot"](spark, SF_CHECK))
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+    assert sum(x in line for line in plan.splitlines() for x in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin")) == 1
+    assert "ExistingRDD" not in plan                        # no checkpoint on the way
+
+
+def test_compose_carries_states_over_empty_and_locked_pieces():
+    import numpy as np
+    us = lambda m: int((T0 + dt.timedelta(minutes=m) - dt.datetime(1970, 1, 1)).total_seconds()) * 10**6
+    # Three failures lock for two hours; pieces of an hour.
+    at = [0, 1, 2, 70, 122, 130, 131, 200]
+    ts, border = np.array([us(m) for m in at]), np.array([0, 3, 4, 7, 8])
+    walk = lockouts._Walk(ts, np.zeros(8, bool), border, 3, 120 * 60 * 10**6)
+    assert [c.tolist() for c, _ in (walk.through(0), walk.through(2))] == [[0, 1, 0, 1], [0, 0, 0, 0]]
+    assert walk.through(2)[1].tolist() == [us(120), us(190), us(242), us(320)]
+    until = walk.through(0)[1]
+    assert until.tolist() == [us(122), lockouts.NONE, us(251), lockouts.NONE]
+    steps = walk.steps(np.array([us(120), us(180), us(240), us(300)]))
+    assert steps.tolist() == [0, 1, 2, 3, 4, 5, 6, 7]

@@ -1,20 +1,23 @@
 """Catalog (dimension) handling: size-checked broadcast joins.
 
 Catalogs are small by nature, but nothing guarantees it, so a catalog is only
-broadcast after its row count is known to be under a bound; above the bound
-the plain join is returned and Spark picks a shuffle join (AQE may still turn
-it into a broadcast at run time when the measured size allows).
+hinted for broadcast when its size is known to be under a bound: by its given
+row count (seed rows), or else by the plan's own size statistics, which run no
+job (files' sizes, carried through projections and aggregates as upper
+estimates).  Above the bound the plain join is returned and Spark picks a shuffle join (AQE may still
+turn it into a broadcast at run time when the measured size allows).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A catalog with more rows than this is joined by shuffle, never broadcast.
+# A catalog with more rows than this, or of unknown rows and more bytes, gets no hint.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 @dataclass
@@ -23,16 +26,16 @@ class Dim:
 
     df: DataFrame
     rows: int | None = None
-    _counted: bool = field(default=False, repr=False)
 
-    def row_count(self) -> int:
-        if self.rows is None:
-            self.rows = self.df.count()
-        return self.rows
+    def is_small(self, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+        if self.rows is not None:
+            return self.rows <= max_rows
+        size = self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size)) <= BROADCAST_MAX_BYTES
 
     def for_join(self, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
         """The catalog, hinted for broadcast only when its size is proven small."""
-        return F.broadcast(self.df) if self.row_count() <= max_rows else self.df
+        return F.broadcast(self.df) if self.is_small(max_rows) else self.df
 
 
 def as_dim(df: DataFrame | Dim, rows: int | None = None) -> Dim:

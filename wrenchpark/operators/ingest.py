@@ -126,6 +126,12 @@ def accepted(validated: DataFrame) -> DataFrame:
     return validated.where(F.col("valid")).drop("errors", "valid")
 
 
+def accepted_updates(validated: DataFrame) -> DataFrame:
+    """Records that are valid as updates, from records validated as new jobs: an
+    update also needs a status, all other rules are the same."""
+    return accepted(validated).where(F.coalesce(F.col("status_id"), F.lit(0)) != 0)
+
+
 def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(~F.col("valid")).drop("valid")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as AU
@@ -11,6 +12,7 @@ from ..operators import changes as C
 from ..operators import ingest as I
 from ..sources.testdata import LIST_AS_OF, DriverModel
 from .oracle import q
+from .q_sinks import _fresh
 from .registry import register
 
 UPD_COLS = C.UPDATE_COLUMNS
@@ -19,8 +21,11 @@ UPD_COLS = C.UPDATE_COLUMNS
 def _updates(m: DriverModel):
     """Update-mode records aimed at job (record_id div 2) * 3: two updates per
     target (the later wins), targets past the last job are not found."""
-    acc = I.accepted(I.validate(m.incoming, mode="update"))
-    return acc.withColumn("target_id", F.expr("record_id div 2") * 3).withColumn("seq", F.col("record_id"))
+    return _aimed(I.accepted(I.validate(m.incoming, mode="update")))
+
+
+def _aimed(updates: DataFrame) -> DataFrame:
+    return updates.withColumn("target_id", F.expr("record_id div 2") * 3).withColumn("seq", F.col("record_id"))
 
 
 _UPD_SQL = """
@@ -229,14 +234,23 @@ FROM actions
 
 @register("audit_actions", "M9, X17, X19, X20", q(_ACTIONS_SQL))
 def audit_actions(m: DriverModel):
-    """Audit rows of all seven actions with actor, first forwarded address and cut agent."""
-    valid = I.accepted(I.validate(m.incoming))
-    new = I.create_jobs(valid, m.jobs, m.statuses, LIST_AS_OF, order_by=["record_id"], catalogs=m.catalogs())
-    known, _ = I.split_known(_updates(m), m.catalogs())
-    edited = known.join(m.jobs.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    """Audit rows of all seven actions with actor, first forwarded address and cut agent.
+
+    The records are validated once, and what the actions need of the jobs is derived once: both are
+    written and read by the parts that use them."""
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = _fresh(m, name)
+        df.write.parquet(path)
+        return m.spark.read.schema(df.schema).parquet(path)
+
+    records = written(I.validate(m.incoming), "validated")
+    jobs = written(m.jobs.select("id", "status_id"), "job-keys")
+    new = I.create_jobs(I.accepted(records), jobs, m.statuses, LIST_AS_OF, order_by=["record_id"], catalogs=m.catalogs())
+    known, _ = I.split_known(_aimed(I.accepted_updates(records)), m.catalogs())
+    edited = known.join(jobs.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     large = m.attachments.where((F.col("group") == "antes") & (F.col("size_bytes") > 4000000))
     parts = [AU.audit_created(new), AU.audit_uploaded(m.attachments.where(F.col("mime_type") != "application/pdf")), AU.audit_edited(edited),
-             AU.audit_from_history(C.status_history(m.jobs, m.status_changes, m.statuses)), AU.audit_from_comments(m.comments),
+             AU.audit_from_history(C.status_history(jobs, m.status_changes, m.statuses)), AU.audit_from_comments(m.comments),
              AU.audit_deleted(m.comments.join(_delete_ids(m).distinct(), "id", "left_semi"), "comment"), AU.audit_deleted(large, "attachment")]
     rows = reduce(lambda a, b: a.unionByName(b), [p.select(F.col("job_id").cast("long").alias("job_id"), "action", "detail") for p in parts])
     rows = rows.withColumn("forwarded", F.concat(F.lit(" 10.0."), (F.col("job_id") % 256).cast("string"), F.lit(".1 , 172.16.0.1")))
