@@ -16,7 +16,7 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from wrenchpark.plans import registry  # noqa: E402
 from wrenchpark.plans.registry import REGISTRY  # noqa: E402
 from wrenchpark.session import build_session  # noqa: E402
 
@@ -48,7 +48,7 @@ def main() -> None:
     spark = build_session("local[8]", shuffle_partitions=16,
                           extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
     rows = []
-    for key, fn in E.queries().items():
+    for key, fn in registry.queries().items():
         df = fn(spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summary(plan)

@@ -8,11 +8,23 @@ engines agree (DuckDB sums to HUGEINT / DECIMAL(38,s)).
 
 from __future__ import annotations
 
-PRELUDE = r"""
+from ..functions.parse import DECIMAL_RE, EMAIL_RE, ISO_DATE_RE
+from ..schema import STATUS_SEED
+from ..sources.testdata import MIME_BY_MOD4, ORDER_PRIORITIES
+
+
+def _values(rows: list[tuple[int, str]]) -> str:
+    return ", ".join(f"({i}, '{name}')" for i, name in rows)
+
+
+_FIXED = {"@number@": DECIMAL_RE, "@iso_date@": ISO_DATE_RE, "@email@": EMAIL_RE, "@statuses@": _values(STATUS_SEED),
+          "@priorities@": _values(ORDER_PRIORITIES), "@mimes@": " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MIME_BY_MOD4))}
+
+_PRELUDE = r"""
 WITH statuses AS (
-  SELECT CAST(id AS INTEGER) AS id, name FROM (VALUES (1, 'Pendiente'), (2, 'En curso'), (3, 'Cerrado'), (4, 'En espera')) v(id, name)
+  SELECT CAST(id AS INTEGER) AS id, name FROM (VALUES @statuses@) v(id, name)
 ), priorities AS (
-  SELECT CAST(id AS INTEGER) AS id, name FROM (VALUES (1, '1-URGENT'), (2, '2-HIGH'), (3, '3-MEDIUM'), (5, '5-LOW')) v(id, name)
+  SELECT CAST(id AS INTEGER) AS id, name FROM (VALUES @priorities@) v(id, name)
 ), locations AS (
   SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS name FROM nation
 ), types AS (
@@ -64,8 +76,7 @@ WITH statuses AS (
            || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '.jpg' AS file_path,
          'part' || CAST(l_partkey AS VARCHAR) || '.jpg' AS original_name,
          l_shipdate AS uploaded_at,
-         CASE CAST(l_partkey % 4 AS INTEGER) WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png'
-              WHEN 2 THEN 'image/webp' WHEN 3 THEN 'application/pdf' END AS mime_type,
+         CASE CAST(l_partkey % 4 AS INTEGER) @mimes@ END AS mime_type,
          CAST(l_quantity * 110000 AS BIGINT) AS size_bytes,
          l_quantity AS quantity
   FROM lineitem
@@ -120,16 +131,16 @@ WITH statuses AS (
 ), validated AS (
   SELECT *,
     CASE WHEN length(d_t) > 0 THEN substr(d_t, 1, 4000) ELSE coalesce(description, '') END AS v_description,
-    CASE WHEN TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(location_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END AS v_location_id,
-    CASE WHEN TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(type_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END AS v_type_id,
-    CASE WHEN TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(status_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END AS v_status_id,
-    nullif(CASE WHEN TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(priority_id), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DOUBLE) AS INTEGER) END, 0) AS v_priority_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(location_id), '@number@', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(location_id), '@number@', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(location_id), '@number@', 0) AS DOUBLE) AS INTEGER) END AS v_location_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(type_id), '@number@', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(type_id), '@number@', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(type_id), '@number@', 0) AS DOUBLE) AS INTEGER) END AS v_type_id,
+    CASE WHEN TRY_CAST(regexp_extract(trim(status_id), '@number@', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(status_id), '@number@', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(status_id), '@number@', 0) AS DOUBLE) AS INTEGER) END AS v_status_id,
+    nullif(CASE WHEN TRY_CAST(regexp_extract(trim(priority_id), '@number@', 0) AS DOUBLE) = floor(TRY_CAST(regexp_extract(trim(priority_id), '@number@', 0) AS DOUBLE)) THEN TRY_CAST(TRY_CAST(regexp_extract(trim(priority_id), '@number@', 0) AS DOUBLE) AS INTEGER) END, 0) AS v_priority_id,
     CASE WHEN net_value IS NULL OR net_value = '' THEN NULL WHEN net_t = '' THEN CAST(0 AS DECIMAL(12,2))
-         ELSE TRY_CAST(regexp_extract(net_t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$', 0) AS DECIMAL(12,2)) END AS v_net_value,
+         ELSE TRY_CAST(regexp_extract(net_t, '@number@', 0) AS DECIMAL(12,2)) END AS v_net_value,
     CASE WHEN length(cm_t) > 0 THEN cm_t END AS v_created_by_email,
     CASE WHEN length(om_t) > 0 THEN om_t END AS v_owner_email,
-    CASE WHEN regexp_matches(rep_t, '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(rep_t AS DATE) END AS v_repair_date,
-    CASE WHEN regexp_matches(due_t, '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(due_t AS DATE) END AS v_due_date
+    CASE WHEN regexp_matches(rep_t, '@iso_date@') THEN TRY_CAST(rep_t AS DATE) END AS v_repair_date,
+    CASE WHEN regexp_matches(due_t, '@iso_date@') THEN TRY_CAST(due_t AS DATE) END AS v_due_date
   FROM (
     SELECT *,
       regexp_replace(coalesce(description, ''), '^\s+|\s+$', '', 'g') AS d_t,
@@ -147,10 +158,10 @@ WITH statuses AS (
       CASE WHEN coalesce(v_location_id, 0) = 0 THEN 'location_id' END,
       CASE WHEN coalesce(v_type_id, 0) = 0 THEN 'type_id' END,
       CASE WHEN coalesce(net_value <> '', false) AND v_net_value IS NULL THEN 'net_value' END,
-      CASE WHEN v_created_by_email IS NOT NULL AND NOT regexp_matches(v_created_by_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'created_by_email' END,
+      CASE WHEN v_created_by_email IS NOT NULL AND NOT regexp_matches(v_created_by_email, '@email@') THEN 'created_by_email' END,
       CASE WHEN rep_t IS NOT NULL AND v_repair_date IS NULL THEN 'repair_date' END,
       CASE WHEN due_t IS NOT NULL AND v_due_date IS NULL THEN 'due_date' END,
-      CASE WHEN v_owner_email IS NOT NULL AND NOT regexp_matches(v_owner_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'owner_email' END
+      CASE WHEN v_owner_email IS NOT NULL AND NOT regexp_matches(v_owner_email, '@email@') THEN 'owner_email' END
     ) AS error_fields,
     concat_ws(',',
       CASE WHEN length(regexp_replace(v_description, '^\s+|\s+$', '', 'g')) = 0 THEN 'description' END,
@@ -158,14 +169,17 @@ WITH statuses AS (
       CASE WHEN coalesce(v_type_id, 0) = 0 THEN 'type_id' END,
       CASE WHEN coalesce(v_status_id, 0) = 0 THEN 'status_id' END,
       CASE WHEN coalesce(net_value <> '', false) AND v_net_value IS NULL THEN 'net_value' END,
-      CASE WHEN v_created_by_email IS NOT NULL AND NOT regexp_matches(v_created_by_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'created_by_email' END,
+      CASE WHEN v_created_by_email IS NOT NULL AND NOT regexp_matches(v_created_by_email, '@email@') THEN 'created_by_email' END,
       CASE WHEN rep_t IS NOT NULL AND v_repair_date IS NULL THEN 'repair_date' END,
       CASE WHEN due_t IS NOT NULL AND v_due_date IS NULL THEN 'due_date' END,
-      CASE WHEN v_owner_email IS NOT NULL AND NOT regexp_matches(v_owner_email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'owner_email' END
+      CASE WHEN v_owner_email IS NOT NULL AND NOT regexp_matches(v_owner_email, '@email@') THEN 'owner_email' END
     ) AS update_error_fields
   FROM validated
 )
 """
+PRELUDE = _PRELUDE
+for _name, _value in _FIXED.items():
+    PRELUDE = PRELUDE.replace(_name, _value)
 
 
 def q(body: str) -> str:

@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..operators import attachments as A
 from ..operators import ingest as I
 from ..sources.testdata import LIST_AS_OF, DriverModel
 from .oracle import q
 from .registry import register
 
+_ALLOWED = ", ".join(f"'{m}'" for m in S.ALLOWED_MIME)
+_EXTENSIONS = " ".join(f"WHEN '{m}' THEN '{e}'" for m, e in S.ALLOWED_MIME.items())
 ACCEPTED_OUT = ["record_id", "description", "location_id", "type_id", "status_id", "net_value",
                 "created_by_email", "repair_date", "priority_id", "due_date", "owner_email"]
 
@@ -172,20 +175,20 @@ def seed_missing(m: DriverModel):
     return I.seed_missing(existing, [(4, "En espera")], only_if_empty=False, catalog_name="status")
 
 
-@register("attachment_check", "M10, W3, X23, X24, S11", q("""
+@register("attachment_check", "M10, W3, X23, X24, S11", q(f"""
 , per_upload AS (
   SELECT job_id,
          COUNT(*) FILTER (WHERE "group" = 'antes') AS n_antes,
          COUNT(*) FILTER (WHERE "group" = 'despues') AS n_despues,
          COUNT(*) FILTER (WHERE "group" = 'evidencia') AS n_evidencia,
          bool_or(coalesce("group" NOT IN ('antes', 'despues', 'evidencia'), true)) AS bad_group,
-         bool_or(coalesce(mime_type NOT IN ('image/jpeg', 'image/png', 'image/webp'), true)) AS bad_mime,
-         bool_or(size_bytes > 5242880) AS too_big
+         bool_or(coalesce(mime_type NOT IN ({_ALLOWED}), true)) AS bad_mime,
+         bool_or(size_bytes > {S.UPLOAD_MAX_BYTES}) AS too_big
   FROM attachments GROUP BY job_id
 ), verdict AS (
-  SELECT job_id, concat_ws(',', CASE WHEN n_antes > 2 THEN 'count:antes' END,
-                                CASE WHEN n_despues > 2 THEN 'count:despues' END,
-                                CASE WHEN n_evidencia > 20 THEN 'count:evidencia' END,
+  SELECT job_id, concat_ws(',', CASE WHEN n_antes > {S.ATTACHMENT_GROUP_LIMITS['antes']} THEN 'count:antes' END,
+                                CASE WHEN n_despues > {S.ATTACHMENT_GROUP_LIMITS['despues']} THEN 'count:despues' END,
+                                CASE WHEN n_evidencia > {S.ATTACHMENT_GROUP_LIMITS['evidencia']} THEN 'count:evidencia' END,
                                 CASE WHEN bad_group THEN 'group' END,
                                 CASE WHEN bad_mime THEN 'mime' END,
                                 CASE WHEN too_big THEN 'size' END) AS reason
@@ -195,7 +198,7 @@ SELECT a.id, a.job_id, v.reason = '' AS accepted, v.reason,
        CASE WHEN v.reason = '' THEN
          '/uploads/' || strftime(a.uploaded_at, '%Y-%m') || '/' || CAST(a.job_id AS VARCHAR) || '_'
          || strftime(a.uploaded_at, '%Y%m%d_%H%M%S') || '_' || substr(sha256(a.file_path), 1, 12) || '.'
-         || coalesce(CASE a.mime_type WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'image/webp' THEN 'webp' END, 'bin')
+         || coalesce(CASE a.mime_type {_EXTENSIONS} END, '{S.DEFAULT_EXTENSION}')
        END AS storage_path
 FROM attachments a JOIN verdict v ON v.job_id = a.job_id
 """))
