@@ -137,3 +137,19 @@ def test_license_places_and_odd_rows(spark):
     null = licenses.scan(spark.createDataFrame([(None, "cc by")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_base, r.labels) for r in null] == [(None, 1, "cc-by")]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_a_text_with_very_many_matches(spark):
+    """Places and masks of 40,000 matches in one text, and no column of the caller's is lost."""
+    import time
+    n = 40_000
+    rows = [(1, "token=abcdefgh12 " * n, "kept"), (2, "é token=abcdefgh12 " * 300, "too"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _assign string").withColumns({c: F.lit(c) for c in ("_spans", "_row", "_random", "_text")})
+    warm = lambda df: df.select(F.size(secrets.places(F.col("text"), secrets.ASSIGN, 2)).alias("n"), F.element_at(secrets.places(F.col("text"), secrets.ASSIGN, 2), -1).alias("x"))
+    warm(docs.where("doc_id = 2")).collect()
+    began = time.time()
+    got = warm(docs.where("doc_id = 1")).first()
+    assert time.time() - began < 10 and (got.n, got.x.s, got.x.e) == (n, 17 * n - 17, 17 * n - 1)
+    out = {r.doc_id: r for r in secrets.masked(docs, [0.0] * secrets.SIDE ** 2).collect()}
+    assert out[1].text == "[SECRET] " * n and out[2].text == "é [SECRET] " * 300 and out[3].text is None
+    assert out[1].asDict() | {"text": ""} == {"doc_id": 1, "text": "", "_assign": "kept", "_spans": "_spans", "_row": "_row", "_random": "_random", "_text": "_text"}

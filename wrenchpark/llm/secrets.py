@@ -49,10 +49,18 @@ BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-
 RATIO = 0.5
 BACK_OFF = 5.0
 MASK = "[SECRET]"
+#: Matches whose places are found one after the other.
+RUN = 256
 
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
+def _runs(array: Column) -> Column:
+    """``array`` cut into arrays of ``RUN`` elements.  It must be a lambda's argument, for it is named more than once."""
+    last = F.greatest(F.ceil(F.size(array) / RUN).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(array, i * RUN + 1, F.lit(RUN)))
+
+
 def places(text: Column, pattern: str, group: int = 0) -> Column:
     """Start, end and ``group`` of all matches, from left to right: the pieces between the matches give the starts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -67,7 +75,16 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    spans = F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    # An array that grows is copied at each match, so it grows within runs of RUN matches only; whole runs are then moved to their places.
+    # The parts are made once a text: a lambda's argument is a value, while an expression in a lambda is computed each time.
+    runs = F.flatten(F.transform(F.array(parts), lambda p: F.transform(_runs(p), lambda run: F.aggregate(run, empty, step))))
+    moved = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+
+    def move(acc, run):
+        there = F.transform(run["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["v"].alias("v")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(there)).alias("out"))
+
+    spans = F.aggregate(runs, moved, move, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
@@ -158,18 +175,24 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 def masked(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """``docs`` with all found spans replaced by ``MASK``; spans that overlap are replaced as one."""
-    found = scan(docs, model, text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    found = scan(rows, model, "_text")
     spans = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex", "_random"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    nothing = F.array().cast("array<string>")
 
     def step(acc, x):
-        before = F.when(x["s"] >= acc["at"], F.concat(F.substring(text_col, acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))).otherwise("")
+        before = F.when(x["s"] >= acc["at"], F.concat(F.substring("_text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))).otherwise("")
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(before)).alias("out"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text_col, acc["at"] + 1, F.length(text_col))))
-    own = [c for c in found.columns if c not in ("_assign", "_access", "_hex", "_random")]
-    return found.withColumn("_spans", spans).withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(F.col(text_col))).select(*own)
+    def run_step(acc, run):
+        done = F.aggregate(run, F.struct(acc["at"].alias("at"), nothing.alias("out")), step, lambda x: F.struct(x["at"].alias("at"), F.array_join(x["out"], "").alias("out")))
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+    done = F.aggregate(F.flatten(F.transform(F.array("_spans"), _runs)), start, run_step, lambda acc: F.concat(
+        F.array_join(acc["out"], ""), F.substring("_text", acc["at"] + 1, F.length("_text"))))
+    text = F.when(F.size("_spans") > 0, done).otherwise(F.col("_text"))
+    return found.withColumn("_spans", spans).select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_markov_secrets(spark, sf_dir: str) -> DataFrame:
