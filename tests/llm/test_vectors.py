@@ -60,7 +60,7 @@ def test_knn_equals_brute_force(spark, monkeypatch, clusters):
 def test_far_cells_are_not_replicated():
     pivots = np.array([[100.0, 0], [-100.0, 0]])
     summary = [type("S", (), {"cell": c, "edge": 1.0, "n": 50}) for c in (0, 1)]
-    sure = knn.assured(pivots, summary, pivots[0], 1.0, 5)
+    sure = knn.assured(pivots, tuple(np.array(x) for x in zip(*((s.cell, s.edge, s.n) for s in summary), strict=True)), pivots[0], 1.0, 5)
     assert pivots[1] @ pivots[0] + 100 * 1 + 1 * 101 < sure
 
 
@@ -84,6 +84,16 @@ def test_knn_odd_rows(spark):
     assert knn.knn_join(knn.quantised(df.limit(0)), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_knn_of_a_repeated_query_id(spark, monkeypatch):
+    """Rows with the query's id are no candidates, however many there are, and the bounds know it."""
+    monkeypatch.setattr(knn, "ROWS_PER_PIVOT", 4)
+    rng = np.random.default_rng(2)
+    rows = [(50, rng.integers(-9, 9, 3).tolist()) for _ in range(8)] + [(i, rng.integers(-9, 9, 3).tolist()) for i in range(1, 7)]
+    got = knn.knn_join(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 50 == 0, 5)
+    best = sorted((-int(np.dot(q, v)), j) for i, q in rows if i == 50 for j, v in rows if j != 50)[:5]
+    assert sorted(map(tuple, got.collect())) == [(50, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+
+
 def range_expected(rows, cosine):
     v = np.array([x for _, x in rows], float)
     u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))

@@ -53,16 +53,17 @@ def _assign(pivots: np.ndarray, width: float):
     return run
 
 
-def assured(pivots: np.ndarray, summary: list, centre: np.ndarray, radius: float, k: int) -> float:
-    """A score that k candidates of every query within ``radius`` of ``centre`` reach."""
-    cell = np.array([s.cell for s in summary])
-    edge, count = np.array([s.edge for s in summary]), np.array([s.n for s in summary])
+def assured(pivots: np.ndarray, summary: tuple[np.ndarray, np.ndarray, np.ndarray], centre: np.ndarray, radius: float, k: int, own: int = 1) -> float:
+    """A score that k candidates of every query within ``radius`` of ``centre`` reach.
+
+    ``summary`` holds cell, edge and number of rows of each ring; at most ``own``
+    rows have a query's id and are none of its candidates."""
+    cell, edge, count = summary
     p = pivots[cell]
     low = p @ centre - np.linalg.norm(centre) * edge - radius * (np.linalg.norm(p, axis=1) + edge)
     order = np.argsort(-low)
     reach = np.cumsum(count[order])
-    # One candidate more, for the query's own row may be among them.
-    at = int(np.searchsorted(reach, k + 1))
+    at = int(np.searchsorted(reach, k + own))
     return float(low[order][at]) if at < len(order) else -np.inf
 
 
@@ -117,6 +118,8 @@ def knn_join(data: DataFrame, is_query, k: int) -> DataFrame:
     asked = queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
     if not asked:
         return final(spark.createDataFrame([], out))
+    own_rows = queries.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    rings = np.array([s.cell for s in summary]), np.array([s.edge for s in summary]), np.array([s.n for s in summary])
     # Per query group, bounded by the pivots: the score assured, and how many rows its cells in reach hold.
     held: dict[int, list[float]] = {}
     for s in summary:
@@ -128,7 +131,7 @@ def knn_join(data: DataFrame, is_query, k: int) -> DataFrame:
     groups = []
     for a in asked:
         p = pivots[a.cell]
-        sure = assured(pivots, summary, p, a.radius, k)
+        sure = assured(pivots, rings, p, a.radius, k, own_rows)
         most = pivots[own] @ p + norms[a.cell] * reach + a.radius * (norms[own] + reach)
         slack = 1e-9 * (1 + abs(sure)) if np.isfinite(sure) else 0.0
         near = most >= sure - slack
