@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_vectors import reachable
 
 from wrenchpark.llm import near, textnum
+from wrenchpark.llm.common import stage
 from wrenchpark.llm.groups import complete_groups
 
 SF = "/root/testdata/sf0.01"
@@ -74,7 +75,7 @@ def test_trees_find_pairs_at_every_depth(spark):
         both = kids.groupBy("node", F.floor(F.col("cid") / 2).alias("pair")).agg(F.count("*").alias("n")).where("n = 2")
         # A pair that parts in a node never meets below it.
         met = both.select("node", F.explode(F.array(F.col("pair") * 2, F.col("pair") * 2 + 1)).alias("cid"))
-        nodes = met.join(sigs, "cid").select("node", "cid", F.col("cid").alias("label"), "sig").localCheckpoint()
+        nodes = stage(met.join(sigs, "cid").select("node", "cid", F.col("cid").alias("label"), "sig"), "test-nodes")
         assert nodes.select(F.floor(F.col("cid") / 2)).distinct().count() >= pairs - 2
 
 
@@ -92,6 +93,7 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
     if small:
         # Many large nodes: leaders, several levels, and blocks at the end.
         monkeypatch.setattr(near, "LEAF", 4)
+        monkeypatch.setattr(near, "LEAF_PAIRS", 16)
         monkeypatch.setattr(near, "STEPS", near.STEPS[:2])
         monkeypatch.setattr(near, "BLOCK", 10)
     rng = random.Random(1)
@@ -120,3 +122,32 @@ def test_odd_rows(spark):
     assert got == sorted([(5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True), (9, 1, 8, False), (9, 1, 8, False),
                           (None, 1, None, True), (None, 0, None, True), (10, 1, 10, True), (11, 3, 11, True), (12, 3, 11, False)], key=str)
     assert near.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_large_group_does_not_multiply(spark, monkeypatch):
+    """600 near copies of one text, ten times over a leaf: labels and the members outside them keep the nodes few."""
+    monkeypatch.setattr(near, "LEAF", 60)
+    monkeypatch.setattr(near, "LEAF_PAIRS", 3600)
+    docs = list(enumerate(near_copies(random.Random(11), 600, words=60, swaps=1)))
+    staged, plain = {}, near.stage
+
+    def counted(df, name):
+        out = plain(df, name)
+        staged[name] = staged.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near, "stage", counted)
+    got = near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=4)
+    assert sorted(map(tuple, got.collect())) == expected(docs, 4)
+    assert staged["near-nodes"] < 40 * len(docs) and staged["near-close"] < 20 * len(docs)
+
+
+def test_recall_with_small_leaves(spark, monkeypatch):
+    """Nearly all links of the table are found when most nodes are large."""
+    monkeypatch.setattr(near, "LEAF", 8)
+    monkeypatch.setattr(near, "LEAF_PAIRS", 64)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {r[0]: r[2] for r in expected(docs, 4)}
+    got = {r.doc_id: r.component_id for r in near.op6_chosen_path(spark, SF).collect()}
+    linked = [d for d in want if want[d] != d]
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)

@@ -15,10 +15,15 @@ whose sets have a Jaccard similarity of at least ``percent`` / 100 are linked.
    compared, first by their minwise tokens and, where ``AGREE`` of these agree,
    on their full sets.  Leaves with the same members, from whatever tree, count
    once.
-4. Larger nodes first compare each member with one leader; members linked with
-   it get its label.  Then they branch again.  Nodes whose members have all one
-   label are finished.  What is still larger than a leaf after all levels
-   is compared completely, in pairs of blocks.
+   Nodes with more members are leaves too if they have few open pairs: members
+   of one label are linked already, so only pairs with a member outside the
+   largest label are open.
+4. In larger nodes each member is first compared with a few leaders, the members
+   with most of the node's most frequent tokens.  The
+   components of all links so far are the labels.  Nodes that are still no leaf
+   then branch again, with labels that know the leaves' links too.  Nodes of one
+   label are finished.  What is no leaf after all levels is compared in blocks,
+   each member outside the largest label with all members.
 5. Leaves return a star for each group of linked members, not all pairs.
    Connected components of the stars are those of the links.
 
@@ -38,11 +43,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -54,11 +58,18 @@ from .groups import complete_groups
 COORDS = 32
 TREES = 10
 LEAF = 1000
+#: Open pairs (a few seconds of comparing minwise tokens), and members, of a node that is compared completely once its members know their leaders' links.
+LEAF_PAIRS = 64_000_000
+LEAF_ROWS = 100_000
+#: Members whose tokens say what is typical of a node, and members that are compared with all others of it first.
+SAMPLE, LEADERS = 64, 4
 #: Coordinates that a node's children add to the path, and how many paths a node takes at most; by level.
 STEPS = ((1, 2), (2, 5), (3, 8))
 #: Percent of the nodes that take the last of these paths.
 LAST_PATH = (25, 100, 100)
 BLOCK = 4000
+#: Ids (of 8 bytes) that are broadcast at most to pick texts by id; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SALTS = 16
 #: Minwise tokens that must agree before full sets are fetched: a pair at 0.8 has fewer with probability 3 * 10^-6.
 AGREE = 14
@@ -237,32 +248,73 @@ def _branch(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select(F.explode(F.filter(F.array(*child[:-1], F.when(part, child[-1])), lambda c: c.isNotNull())).alias("node"), "cid", "label")
 
 
+def _measured(rows: DataFrame) -> DataFrame:
+    """(node, n, outside, top, print) of nodes with more than one label: members, those outside the most frequent label, that label, a name of the members."""
+    per = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
+    return per.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("print").alias("print")).where(
+        "labels > 1").select("node", "n", (F.col("n") - F.col("top.n")).alias("outside"), F.col("top.label").alias("top"), "print")
+
+
+def _is_leaf(pairs: int) -> Column:
+    """Every open pair has a member outside the largest label, so a node costs their number times its members."""
+    return (F.col("n") <= LEAF) | ((F.col("outside") * F.col("n") <= pairs) & (F.col("n") <= LEAF_ROWS))
+
+
 def _once(nodes: DataFrame) -> DataFrame:
     """One node of those with the same members."""
-    return nodes.groupBy("n", "print").agg(F.min("node").alias("node")).select("node", "n")
+    return nodes.groupBy("n", "print").agg(F.min_by(F.struct(*nodes.columns), "node").alias("x")).select("x.*")
+
+
+def _outside_blocks(inside: DataFrame) -> DataFrame:
+    """Groups (node, cid, label) in which each member outside its node's largest label meets every member of the node."""
+    rows, columns = F.ceil(F.col("outside") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    name = lambda i, j: F.xxhash64("node", i, j)
+    mine = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: name(i, F.pmod(F.xxhash64("cid", F.lit(7)), columns).cast("int")))
+    across = F.transform(F.sequence(F.lit(0), columns - 1), lambda j: name(F.pmod(F.xxhash64("cid", F.lit(8)), rows).cast("int"), j))
+    groups = F.when(F.col("label") != F.col("top"), F.array_union(mine, across)).otherwise(mine)
+    return inside.select(F.explode(groups).alias("node"), "cid", "label")
+
 
+def _best(rows: DataFrame, most: int, *order: Column) -> DataFrame:
+    w = Window.partitionBy("node").orderBy(*order)
+    return rows.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= most).drop("__place")
 
-def _leader_pairs(inside: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(cid, node, leader) of members whose minwise tokens allow a link with the leader of their largest node."""
-    leader = inside.groupBy("node").agg(F.min_by("cid", F.xxhash64("cid", "node")).alias("leader"))
-    leader = leader.join(sigs.select(F.col("cid").alias("leader"), F.col("sig").alias("theirs")), "leader")
-    chosen = inside.groupBy("cid").agg(F.max_by("node", F.struct("n", "node")).alias("node")).join(sigs, "cid")
-    agree = F.size(F.filter(F.zip_with("sig", "theirs", lambda a, b: a == b), lambda same: same))
-    pairs = _salted(chosen, leader).where((F.col("cid") != F.col("leader")) & (agree >= AGREE))
+
+def _leaders(inside: DataFrame) -> DataFrame:
+    """(node, leader, theirs): the ``LEADERS`` most typical members of each node, with their minwise tokens.
+
+    Typical are members with the tokens that are most frequent in a sample of the node, so that copies of
+    one text meet their original."""
+    some = _best(inside.select("node", "cid", "sig"), SAMPLE, F.xxhash64("cid", "node"))
+    counts = some.select("node", F.posexplode("sig").alias("i", "t")).groupBy("node", "i", "t").agg(F.count("*").alias("n"))
+    common = counts.groupBy("node", "i").agg(F.max(F.struct("n", "t")).alias("x"))
+    common = common.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("x.t").alias("t")))), lambda x: x["t"]).alias("theirs"))
+    judged = _salted(inside.select("node", "cid", "sig"), common).select("node", "cid", "sig", _agreement().alias("agree"))
+    return _best(judged, LEADERS, F.desc("agree"), F.xxhash64("cid", "node")).select("node", F.col("cid").alias("leader"), F.col("sig").alias("theirs"))
+
+
+def _agreement() -> Column:
+    return F.size(F.filter(F.zip_with("sig", "theirs", lambda a, b: a == b), lambda same: same))
+
+
+def _leader_pairs(inside: DataFrame) -> DataFrame:
+    """(cid, node, leader) of members whose minwise tokens allow a link with a leader of their largest node."""
+    chosen = inside.groupBy("cid").agg(F.max(F.struct("n", "node")).alias("x"), F.first("sig").alias("sig")).select("cid", F.col("x.node").alias("node"), "sig")
+    pairs = _salted(chosen, _leaders(inside)).where((F.col("cid") != F.col("leader")) & (_agreement() >= AGREE))
     return stage(pairs.select("cid", "node", "leader"), "near-pairs")
 
 
-def _salted(members: DataFrame, leader: DataFrame) -> DataFrame:
+def _salted(members: DataFrame, leader: DataFrame, *more: str) -> DataFrame:
     """Join on the node, whose members are dealt over SALTS and each leader copied to all; a node has over LEAF members."""
     return members.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS))).join(
-        leader.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["node", "salt"])
+        leader.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["node", "salt", *more])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that are links on their full sets."""
     leader = pairs.select("node", "leader").distinct().join(sets.select(F.col("cid").alias("leader"), F.col("tokens").alias("theirs")), "leader")
     both = F.size(F.array_intersect("tokens", "theirs"))
-    return (_salted(pairs.select("cid", "node").join(sets, "cid"), leader)
+    return (_salted(pairs.select("cid", "node", "leader").join(sets, "cid"), leader, "leader")
             .where(100 * both >= percent * (F.size("tokens") + F.size("theirs") - both)).select("cid", "leader").distinct())
 
 
@@ -279,51 +331,62 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                             F.col("cid").alias("label"), "sig")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_node = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node")
-    close, edges, sets, met = [], [], None, None
-
-    def fetch(cids: DataFrame) -> DataFrame:
-        wanted = texts.join(cids, F.col("doc_id") == F.col("cid"), "left_semi")
-        return stage(wanted.mapInArrow(_full(words), "cid long, tokens array<long>"), "near-sets")
+    nothing = spark.createDataFrame([], "node long, component long")
+    sets, met, group = spark.createDataFrame([], "cid long, tokens array<long>"), spark.createDataFrame([], "cid long"), nothing
+
+    def fetch(cids: DataFrame) -> None:
+        """Full sets of classes that were not fetched before."""
+        nonlocal sets, met
+        new = stage(cids.distinct().join(met, "cid", "left_anti"), "near-new")
+        if not new.isEmpty():
+            wanted = texts.join(F.broadcast(new) if new.count() <= BROADCAST_IDS else new, F.col("doc_id") == F.col("cid"), "left_semi")
+            sets, met = sets.union(stage(wanted.mapInArrow(_full(words), "cid long, tokens array<long>"), "near-sets")), met.union(new)
+
+    def close_links(links: DataFrame) -> None:
+        """Components over all links so far; ``group`` stands for those before."""
+        nonlocal group
+        if links.isEmpty():
+            return
+        group = stage(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "near-group")
+
+    def relabelled(rows: DataFrame) -> DataFrame:
+        known = group.select(F.col("node").alias("__cid"), "component")
+        return rows.join(known, F.col("cid") == F.col("__cid"), "left").select("node", "cid", F.coalesce("component", "cid").alias("label"))
 
     for depth in range(1, len(STEPS) + 1):
+        last = depth == len(STEPS)
         kids = stage(_branch(open_rows, depth), "near-nodes")
-        found = stage(kids.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
-                                               F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
-                      .where("low < high").select("node", "n", "print"), "near-found")
-        leaf = kids.join(_once(found.where(F.col("n") <= LEAF)), "node").select("node", "cid", "label")
+        found = stage(_measured(kids), "near-found")
+        large = found.where(~_is_leaf(LEAF * LEAF))
+        if not large.isEmpty():
+            inside = stage(kids.join(large.select("node", "n"), "node").join(sigs, "cid"), "near-inside")
+            pairs = _leader_pairs(inside)
+            fetch(pairs.select("cid").union(pairs.select("leader")))
+            linked = stage(_confirmed(pairs, sets, percent), "near-linked")
+            if not linked.isEmpty():
+                close_links(linked.select(F.col("cid").alias("a"), F.col("leader").alias("b")))
+                before = kids, found
+                kids = stage(relabelled(kids.join(found.select("node"), "node", "left_semi")), "near-nodes")
+                found = stage(_measured(kids), "near-found")
+                unstage(*before)
+        large = found.where(~_is_leaf(LEAF_PAIRS))
+        leaf = kids.join(_once(found.where(_is_leaf(LEAF_PAIRS))).select("node"), "node").select("node", "cid", "label")
         # Large nodes with the same members branch each in its own way, and count once only where they are compared completely.
-        large = found.where(F.col("n") > LEAF)
-        inside = stage(kids.join(_once(large) if depth == len(STEPS) else large.select("node", "n"), "node"), "near-inside")
+        inside = stage(kids.join(_once(large) if last else large, "node"), "near-inside")
         more = not inside.isEmpty()
-        if more and depth == len(STEPS):
-            # Every pair of blocks is one group; a member meets all blocks of its node.
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            own = F.pmod(F.xxhash64("cid", F.lit(7)), blocks)
-            pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("node", F.least(own, j), F.greatest(own, j)))
-            leaf = leaf.union(inside.select(F.explode(pair).alias("node"), "cid", "label"))
-            more = False
-        close.append(stage(by_node(leaf.join(sigs, "cid").select("node", "cid", "label", "sig"))
-                           .mapInArrow(_close, "node long, cid long, label long").distinct(), "near-close"))
-        seen = close[-1].select("cid").distinct()
-        pairs = _leader_pairs(inside, sigs) if more else None
-        if sets is None:
-            met = stage(seen.union(pairs.select("cid")).union(pairs.select("leader")).distinct() if more else seen, "near-met")
-            sets = fetch(met)
-        unstage(kids, found)
-        if not more:
+        if more and last:
+            leaf = leaf.union(_outside_blocks(inside))
+        close = stage(by_node(leaf.join(sigs, "cid").select("node", "cid", "label", "sig"))
+                      .mapInArrow(_close, "node long, cid long, label long").distinct(), "near-close")
+        fetch(close.select("cid"))
+        links = stage(by_node(close.join(sets, "cid").select("node", "cid", "label", "tokens")).mapInArrow(_compare(percent), "a long, b long"), "near-links")
+        close_links(links)
+        unstage(kids, found, close, links)
+        if not more or last:
             break
-        linked = stage(_confirmed(pairs, sets, percent), "near-linked")
-        edges.append(linked.select(F.col("cid").alias("a"), F.col("leader").alias("b")))
-        lead = linked.select("cid", "leader").union(linked.select("leader", "leader")).groupBy("cid").agg(F.min("leader").alias("leader"))
-        open_rows = (inside.join(lead, "cid", "left").select("node", "cid", F.least("label", F.coalesce("leader", "label")).alias("label"))
-                     .join(sigs, "cid"))
-    members = reduce(DataFrame.union, close)
-    late = stage(members.select("cid").distinct().join(met, "cid", "left_anti"), "near-late")
-    if not late.isEmpty():
-        sets = sets.union(fetch(late))
-    groups = members.join(sets, "cid").select("node", "cid", "label", "tokens")
-    edges.append(by_node(groups).mapInArrow(_compare(percent), "a long, b long"))
-    group = components(reduce(DataFrame.union, edges))
+        still = relabelled(inside)
+        several = still.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
+        open_rows = still.join(several, "node").join(sigs, "cid")
     by_class = classes.join(group, F.col("cid") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "cid").alias("component"))
     # Rows of an empty set have no class and stay on their own.
     component = F.coalesce("component", "doc_id")
