@@ -29,7 +29,8 @@ def summary(plan: str) -> dict[str, object]:
         "shuffles": sum("Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln
                         or "Exchange SinglePartition" in ln for ln in lines),
         "single": sum("Exchange SinglePartition" in ln for ln in lines),
-        "spread": sum("RoundRobinPartitioning" in ln for ln in lines),
+        "sort_agg": sum("SortAggregate" in ln for ln in lines),
+        "scans": sum("FileScan" in ln for ln in lines),
         "broadcasts": sum("BroadcastExchange" in ln for ln in lines),
         "bhj": sum("BroadcastHashJoin" in ln for ln in lines),
         "smj": sum("SortMergeJoin" in ln for ln in lines),
@@ -54,19 +55,20 @@ def main() -> None:
         s = summary(plan)
         parts = [f for p in s["pushed"] for f in re.split(r", (?=[A-Z])", p) if not f.startswith("IsNotNull")]
         pushed = "; ".join(sorted(set(parts))) or "-"
-        rows.append(f"| {key} | {REGISTRY[key].item} | {s['shuffles']} | {s['single']} | {s['spread']} | "
+        rows.append(f"| {key} | {REGISTRY[key].item} | {s['shuffles']} | {s['single']} | {s['scans']} | {s['sort_agg']} | "
                     f"{s['broadcasts']} | {s['bhj']} | {s['smj']} | {s['partial_agg']} | {s['windows']} | "
                     f"{s['topk']} | {pushed[:120]} |")
     head = [
         "# Physical plans of the registered keys",
         "",
         f"Generated by `tools/plan_report.py` on `{sf_dir}` (plans before execution; AQE may still coalesce",
-        "partitions, split skewed ones or turn a join into a broadcast at run time).  Keys that checkpoint",
-        "(`create_jobs`, `lockouts`) show the plan after their eager checkpoints.",
+        "partitions, split skewed ones or turn a join into a broadcast at run time).  Keys that checkpoint or store",
+        "tables first (`create_jobs`, `audit_actions`, `search_indexed`, `page_by_rank`, the `*_stream` keys and others)",
+        "show the plan that reads these.",
         "",
-        "Columns: shuffle exchanges (hash, range or single), single-partition exchanges, round-robin spreads of",
-        "single-split driver tables, broadcast exchanges, broadcast hash joins, sort-merge joins, partial",
-        "aggregate functions, window operators, top-k operators, non-trivial pushed scan filters.",
+        "Columns: shuffle exchanges (hash, range or single), single-partition exchanges, file scans (an exchange reused at",
+        "run time is counted each time here), sort aggregates, broadcast exchanges, broadcast hash joins, sort-merge joins,",
+        "partial aggregate functions, window operators, top-k operators, non-trivial pushed scan filters.",
         "",
         "Single-partition exchanges come only from catalog-sized inputs or from global aggregates' final merge",
         "of one row per task.",
@@ -76,8 +78,8 @@ def main() -> None:
         "(`sources/sinks.py: write_jobs_table`, partitioned by month) the same filters appear as PushedFilters",
         "and PartitionFilters (`tests/test_plans.py`, `tests/test_streams.py::test_jobs_table_layout`).",
         "",
-        "| Key | Items | Shuffles | Single | Spread | Broadcasts | BHJ | SMJ | Partial aggs | Windows | Top-k | Pushed filters |",
-        "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |",
+        "| Key | Items | Shuffles | Single | Scans | Sort aggs | Broadcasts | BHJ | SMJ | Partial aggs | Windows | Top-k | Pushed filters |",
+        "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |",
     ]
     with open(out, "w", encoding="utf-8") as fh:
         fh.write("\n".join(head + rows) + "\n")
