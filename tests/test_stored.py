@@ -5,6 +5,8 @@ import datetime as dt
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,15 @@ def test_whole_numbers_as_the_source(spark, text, number):
     from wrenchpark.operators.ingest import validate
     row = validate(spark.createDataFrame([(text, "x")], "location_id string, description string")).first()
     assert row.location_id == number == to_int_or_none(text)
+
+
+def test_upload_files_are_dealt_over_tasks(spark, scratch, monkeypatch):
+    from wrenchpark.plans import q_stored
+    from wrenchpark.sources.testdata import DriverModel
+    spark.createDataFrame([(i, f"Supplier#{i}") for i in range(200)], "s_suppkey long, s_name string").write.parquet(os.path.join(scratch, "up", "supplier.parquet"))
+    path = os.path.join(scratch, "up_files")
+    monkeypatch.setattr(q_stored, "_fresh", lambda m, name: path)
+    assert q_stored.uploads_scanned(DriverModel(spark, os.path.join(scratch, "up"))).count() == 200
+    names = [f for _, _, files in os.walk(path) for f in files if f.startswith("part-")]
+    # One file for each supplier; the job's small bytes do not put all of them into one task.
+    assert len(names) == 200 and len({f.split("-")[1] for f in names}) >= 6

@@ -100,7 +100,9 @@ def uploads_scanned(m: DriverModel):
         F.floor(k / 4).cast("bigint").alias("job_id"), F.when(k % 3 == 0, "antes").when(k % 3 == 1, "despues").otherwise("evidencia").alias("group"),
         F.concat(F.unhex(head).cast("string"), F.col("s_name"), fill).alias("value"))
     path = _fresh(m, "uploads")
-    files.repartition("job_id").write.option("maxRecordsPerFile", 1).partitionBy("job_id", "group").text(path)
+    # A file costs far more than its bytes, by which Spark would put all of them into one task: the number of tasks is given.
+    tasks = max(int(m.spark.conf.get("spark.sql.shuffle.partitions")), m.spark.sparkContext.defaultParallelism)
+    files.repartition(tasks, "job_id").write.option("maxRecordsPerFile", 1).partitionBy("job_id", "group").text(path)
     found = A.scan_uploads(m.spark, path, A.COLUMN_PATH, "part-*", UPLOAD_LIMIT)
     return A.check_uploads(found, upload_col="job_id", max_bytes=UPLOAD_LIMIT).select("job_id", "group", "mime_type", "size_bytes", "reason", "accepted")
 
