@@ -189,6 +189,22 @@ def test_whole_numbers_as_the_source(spark, text, number):
     assert row.location_id == number == to_int_or_none(text)
 
 
+def test_ranges_share_folders(spark, scratch, monkeypatch):
+    rows = [(i, T0 + dt.timedelta(hours=i % 50), f"t{i}") for i in range(730)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp_ntz, name string")
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
+    for most, folders in ((rank_pages.ROWS_PER_FOLDER, 1), (200, 4)):
+        monkeypatch.setattr(rank_pages, "ROWS_PER_FOLDER", most)
+        path = os.path.join(scratch, f"ranked_{most}")
+        rank_pages.write_ranked(df, path, rows_per_range=10)
+        directory = spark.read.parquet(f"{path}/directory").orderBy("first_rank").collect()
+        # Folders, and so tasks, follow the rows and not the small ranges.
+        assert len([f for f in os.listdir(f"{path}/rows") if f.startswith("ranges=")]) == len({r.ranges for r in directory}) <= folders
+        assert len(directory) >= 73 and max(r.n for r in directory) == 10 and [r.first_rank for r in directory] == [sum(x.n for x in directory[:i]) for i in range(len(directory))]
+        for page, size in ((1, 5), (7, 37), (20, 37), (3, 200)):
+            assert [r.id for r in rank_pages.page_by_rank(spark, path, page, size).collect()] == want[(page - 1) * size:page * size]
+
+
 def test_upload_files_are_dealt_over_tasks(spark, scratch, monkeypatch):
     from wrenchpark.plans import q_stored
     from wrenchpark.sources.testdata import DriverModel
