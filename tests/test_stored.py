@@ -205,6 +205,42 @@ def test_ranges_share_folders(spark, scratch, monkeypatch):
             assert [r.id for r in rank_pages.page_by_rank(spark, path, page, size).collect()] == want[(page - 1) * size:page * size]
 
 
+def test_grams_of_arrow_texts(spark):
+    texts = [*TEXTS, "a\U0001F600bc\U0001F600b", "ééé", "aaaa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.lower("t").alias("t"), search_index.grams_of(F.col("t")).alias("g")).orderBy("i").collect()
+    want = {}
+    for r in df:
+        for g in r.g:
+            want.setdefault(g, []).append(r.i)
+    grams, places = search_index._lists(pa.array([r.t for r in df], pa.string()), np.array([r.i for r in df]))
+    assert dict(zip(grams, places.to_pylist(), strict=True)) == want and len(grams) == len(want)
+    # Bytes that are no UTF-8 keep the grams around them.
+    grams, places = search_index._lists(pa.array([b"abc\xffdef", b"", None], pa.binary()), np.array([5, 6, 7]))
+    assert {"abc", "def"} <= set(grams) and places.to_pylist()[grams.index("def")] == [5]
+    assert search_index._lists(pa.array([None, "ab"], pa.string()), np.array([0, 1]))[0] == []
+
+
+def test_a_block_may_have_several_arrays(monkeypatch):
+    monkeypatch.setattr(search_index, "CHUNK_ROWS", 3)
+    batches = [pa.RecordBatch.from_pydict({"block": [0, 0, 1, 1], "place": pa.array([9, 8, 7, 6], pa.int32()), "text0": ["abc", "abc", "abcd", None]}),
+               pa.RecordBatch.from_pydict({"block": [1, 1], "place": pa.array([5, 5], pa.int32()), "text0": ["abc", "abc"]})]
+    got = [(r["gram"], r["block"], r["ids"]) for b in search_index._post(["t"])(iter(batches)) for r in b.to_pylist()]
+    assert got == [("abc", 0, [8, 9]), ("abc", 1, [7]), ("bcd", 1, [7]), ("abc", 1, [5, 5])]
+
+
+def test_search_of_negative_and_repeated_ids(spark, scratch):
+    rows = [(-(1 << 16), "alpha beta"), (-1, "beta alpha"), (-1, "alphabet"), (2**62 + 1, "xalphax"), (2**62 + 2, "beta"), (3, None)]
+    path = os.path.join(scratch, "idx_odd_ids")
+    search_index.write_search_index(spark.createDataFrame(rows, "id long, a string"), path, ["a"])
+    assert sorted(tuple(r) for r in search_index.search_stored(spark, path, "alpha", ["a"]).collect()) == sorted(r for r in rows if r[1] and "alpha" in r[1])
+
+
+def test_postings_are_made_from_stored_blocks(spark, scratch):
+    path = os.path.join(scratch, "idx_stored")
+    search_index.write_search_index(spark.range(100).select("id", F.concat(F.lit("job "), "id").alias("a")), path, ["a"])
+    assert dict(spark.read.parquet(f"{path}/postings").dtypes)["ids"] == "array<int>"
+
+
 def test_upload_files_are_dealt_over_tasks(spark, scratch, monkeypatch):
     from wrenchpark.plans import q_stored
     from wrenchpark.sources.testdata import DriverModel
