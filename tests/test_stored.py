@@ -241,6 +241,22 @@ def test_postings_are_made_from_stored_blocks(spark, scratch):
     assert dict(spark.read.parquet(f"{path}/postings").dtypes)["ids"] == "array<int>"
 
 
+def test_nest_shuffles_ordinary_jobs_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "NEST_FEW", 5)
+    monkeypatch.setattr(L, "NEST_SALTS", 2)
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), job, rng.choice([None, "/p", "/q"]), "antes", None) for job, n in ((1, 300), (2, 7), (3, 5), (None, 50), (4, 1)) for _ in range(n)]
+    files = spark.createDataFrame(rows, "id long, job_id long, file_path string, group string, original_name string")
+    jobs = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (None,)], "id long")
+    df = L.nested_attachments(jobs, files, most=3)
+    assert "LeftAnti, BuildRight" in _plan(df) and "LeftSemi, BuildRight" in _plan(df)
+    got = {r.id: ([(a.id, a.file_path) for a in r.attachments], r.more) for r in df.collect()}
+    for job in (1, 2, 3, 4, 5):
+        mine = sorted(((r[0], r[2]) for r in rows if r[1] == job), key=lambda x: (x[0], x[1] is not None, x[1] or ""), reverse=True)
+        assert got[job] == (mine[:3], max(len(mine) - 3, 0))
+    assert got[None] == ([], 0)
+
+
 def test_upload_files_are_dealt_over_tasks(spark, scratch, monkeypatch):
     from wrenchpark.plans import q_stored
     from wrenchpark.sources.testdata import DriverModel
