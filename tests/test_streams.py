@@ -4,6 +4,7 @@ stream against batch."""
 import datetime as dt
 import os
 import random
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -235,3 +236,92 @@ def test_expired_sessions_strictly_after_idle_limit(spark):
     got = sorted(r.user_id for r in sessions.expired(df, now, idle="30 minutes").collect())
     # idle 60 min, 30 min 1 s -> expired; exactly 30 min or less -> still active
     assert got == [1, 2]
+
+
+class _Value:
+    def __init__(self, calls):
+        self.value, self.calls = None, calls
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Map(dict):
+    def __init__(self, calls):
+        self.calls = calls
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls.append("piece")
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class _Handle:
+    """State of one key, in order of time."""
+
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getMapState(self, *_):
+        return _Map(self.calls)
+
+    def getValueState(self, *_):
+        return _Value(self.calls)
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+
+def _fold(handle, processor, batches, watermarks):
+    us = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    out = []
+    for rows, mark in zip(batches, watermarks, strict=True):
+        values = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: us(mark) // 1000)
+        if rows:
+            list(processor.handleInputRows(("k",), iter([SimpleNamespace(us=us(t), seq=seq, ok=ok) for _, t, ok, seq in rows]), values))
+        for at in sorted(x for x in handle.timers if x <= us(mark) // 1000):
+            out += processor.handleExpiredTimer(("k",), values, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+            handle.timers.discard(at)
+    return out
+
+
+def test_lockouts_stream_calls_follow_batches(monkeypatch):
+    rng = random.Random(12)
+    rows = [("k", T0 + dt.timedelta(microseconds=rng.randrange(10**10)), rng.random() < 0.3, i) for i in range(1000)]
+    rows += [("k", r[1], not r[2], 1000 + r[3]) for r in rows[::10]]
+    rows.sort(key=lambda r: r[1])
+    want = brute_lockouts(rows, 3, dt.timedelta(seconds=30))
+    for few, piece, run in ((10**6, 1000, 10**6), (5, 7, 60), (40, 1000, 10)):
+        monkeypatch.setattr(lockouts, "FEW", few)
+        monkeypatch.setattr(lockouts, "PIECE", piece)
+        monkeypatch.setattr(lockouts, "RUN", run)
+        batches, marks = [], []
+        for at in range(0, len(rows), 100):
+            # Each batch mixes its rows, and its watermark stays behind the next batch.
+            batches.append(rng.sample(rows[at:at + 100], len(rows[at:at + 100])))
+            marks.append(min(r[1] for r in rows[at + 50:]) if at else T0)
+        # Rows of a batch at or before the watermark of the batch before would be late.
+        late = [r for b, m in zip(batches[1:], marks, strict=False) for r in b if r[1] <= m]
+        assert not late
+        handle = _Handle()
+        processor = lockouts.LockoutProcessor(3, 30, None)
+        processor.init(handle)
+        out = _fold(handle, processor, [*batches, []], [*marks, T0 + dt.timedelta(days=9)])
+        assert {r.seq: (r.refused, r.fires_lock) for r in out} == want and len(out) == len(rows)
+        assert [(r.ts, r.seq) for r in out] == sorted((r[1], r[3]) for r in rows)
+        assert not processor.waiting and not processor.lock.value[5] and not processor.lock.value[6]
+        if few > 1000:
+            assert len(handle.calls) <= 6 * len(batches)

@@ -23,11 +23,12 @@ it to the state after it.  A state is a failure count, or a lock with its end.
 A key that holds a third of all rows is spread over its buckets; only its maps
 meet in one task, read one after the other.
 
-Stream form: ``transformWithState`` keyed by the login key.  Attempts wait in a
-map state under their millisecond, with a timer there, and are folded once, in
-(ts, seq) order, when the watermark has passed them, so batches may bring them in
-any order.  Nothing that waits is written again.  The count and the lock end
-stay for good, as in the source, unless an idle limit is asked for.
+Stream form: ``transformWithState`` keyed by the login key.  Attempts wait in the
+state, with a timer at the first of them, and are folded once, in (ts, seq) order,
+when the watermark has passed them, so batches may bring them in any order.  Few
+waiting attempts of a key are in one value; more are in pieces, which are not written
+again and are merged when their time comes.  The count and the lock end stay for
+good, as in the source, unless an idle limit is asked for.
 
 Attempts without a key or a time take no part; a missing outcome is a failure.
 """
@@ -37,6 +38,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -270,11 +273,22 @@ OUT_SCHEMA = T.StructType([
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Waiting attempts that a key keeps beside its count, attempts in a piece of more, and those put in order at once.
+FEW, PIECE, RUN = 200, 1000, 50_000
+
+
+def _order(attempt: tuple) -> tuple:
+    us, seq, ok = attempt
+    return us, seq is not None, seq or 0, ok
+
+
 class LockoutProcessor(StatefulProcessor):
     """Folds each attempt once the watermark has passed it.
 
-    ``waiting`` maps a millisecond to its attempts (times in microseconds),
-    ``lock`` holds (count, lock end, last attempt folded).
+    ``lock`` holds (count, lock end, last attempt folded), the earliest timer, and what
+    waits (times in microseconds): ``few`` attempts, or of a key with more the
+    ``pieces`` (number, first and last time), whose attempts are in ``waiting``.  A key has one
+    timer for all, so calls to the state follow its batches, not its attempts.
     """
 
     def __init__(self, max_failures: int, lock_seconds: int, idle_seconds: int | None):
@@ -282,48 +296,90 @@ class LockoutProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms bigint", "attempts array<struct<ts: bigint, seq: bigint, ok: boolean>>")
-        self.lock = handle.getValueState("lock", "count int, until bigint, last bigint")
+        attempts = "array<struct<ts: bigint, seq: bigint, ok: boolean>>"
+        self.waiting = handle.getMapState("waiting", "piece bigint", f"attempts {attempts}")
+        self.lock = handle.getValueState(
+            "lock", f"count int, until bigint, last bigint, timer bigint, number bigint, pieces array<struct<number: bigint, first: bigint, last: bigint>>, few {attempts}")
+
+    def _state(self) -> tuple:
+        count, until, last, timer, number, pieces, few = self.lock.get() or (0, None, None, None, 0, [], [])
+        return count, until, last, timer, number, [tuple(p) for p in pieces], [tuple(a) for a in few]
 
     def handleInputRows(self, key, rows, timerValues):
-        new: dict[int, list] = {}
-        for r in rows:
-            new.setdefault(r.us // 1000, []).append((r.us, r.seq, bool(r.ok)))
-        for ms, attempts in new.items():
-            held = self.waiting.getValue((ms,))
-            if held is None:
-                # A timer at t expires when the watermark reaches it; later batches bring nothing at or before that.
-                self.handle.registerTimer(ms + 1)
-                held = ([],)
-            self.waiting.updateValue((ms,), ([*map(tuple, held[0]), *attempts],))
+        count, until, last, timer, number, pieces, few = self._state()
+        each = ((r.us, r.seq, bool(r.ok)) for r in rows)
+        first = None
+        while run := list(islice(each, RUN)):
+            run.sort(key=_order)
+            first = run[0][0] if first is None else min(first, run[0][0])
+            if len(few) + len(run) <= FEW:
+                few += run
+                continue
+            for at in range(0, len(run), PIECE):
+                part = run[at:at + PIECE]
+                self.waiting.updateValue((number,), (part,))
+                pieces.append((number, part[0][0], part[-1][0]))
+                number += 1
+        if first is not None:
+            # A timer at t expires when the watermark reaches it; later batches bring nothing at or before that.
+            if timer is None or first // 1000 + 1 < timer:
+                timer = first // 1000 + 1
+                self.handle.registerTimer(timer)
+            self.lock.update((count, until, last, timer, number, pieces, few))
         return iter(())
 
+    def _due(self, pieces: list[tuple], few: list[tuple], limit: int, left: list[tuple]) -> Iterator[tuple]:
+        """Attempts before ``limit`` in order.  Pieces are read when their first time is reached; those with later attempts come to ``left``."""
+        heap = [(_order(a), a) for a in few if a[0] < limit]
+        heapify(heap)
+        for number, first, last in sorted(pieces, key=lambda p: p[1]):
+            if first >= limit:
+                left.append((number, first, last))
+                continue
+            while heap and heap[0][0][0] < first:
+                yield heappop(heap)[1]
+            held = [tuple(a) for a in self.waiting.getValue((number,))[0]]
+            for a in held:
+                if first <= a[0] < limit:
+                    heappush(heap, (_order(a), a))
+            if last < limit:
+                self.waiting.removeKey((number,))
+            else:
+                left.append((number, min(a[0] for a in held if a[0] >= limit), last))
+        while heap:
+            yield heappop(heap)[1]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        state = self.lock.get()
-        count, until, last = state if state is not None else (0, None, None)
-        held = self.waiting.getValue((ms,))
-        out = []
+        count, until, last, timer, number, pieces, few = self._state()
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
         when = lambda us: datetime(1970, 1, 1) + timedelta(microseconds=us)
         decision = Row(*OUT_SCHEMA.names)
-        for t, n, ok in sorted(map(tuple, held[0])) if held is not None else ():
-            last = t
+        left: list[tuple] = []
+        folded = False
+        for t, n, ok in self._due(pieces, few, limit, left):
+            folded, last = True, t
             if until is not None and t < until:
-                out.append(decision(key[0], when(t), ok, n, True, False, when(until)))
+                yield decision(key[0], when(t), ok, n, True, False, when(until))
                 continue
             count, until = (0 if ok else count + 1), (None if ok else until)
             fires = count >= self.max
             if fires:
                 count, until = 0, t + self.lock_us
-            out.append(decision(key[0], when(t), ok, n, False, fires, when(until) if fires else None))
-        if held is not None:
-            self.waiting.removeKey((ms,))
-            self.lock.update((count, until, last))
+            yield decision(key[0], when(t), ok, n, False, fires, when(until) if fires else None)
+        if folded:
+            few = [a for a in few if a[0] >= limit]
+            first = min([p[1] for p in left] + [a[0] for a in few], default=None)
+            timer = None if first is None else first // 1000 + 1
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            self.lock.update((count, until, last, timer, number, left, few))
             if self.idle_ms is not None:
                 self.handle.registerTimer(self._forget(last, until))
         elif last is not None and self.idle_ms is not None and expiredTimerInfo.getExpiryTimeInMs() >= self._forget(last, until):
-            self.lock.clear()
-        return iter(out)
+            if pieces or few:
+                self.lock.update((0, None, None, timer, number, pieces, few))
+            else:
+                self.lock.clear()
 
     def _forget(self, last: int, until: int | None) -> int:
         return max(last, until or 0) // 1000 + 1 + self.idle_ms
