@@ -151,3 +151,14 @@ def test_recall_with_small_leaves(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near.op6_chosen_path(spark, SF).collect()}
     linked = [d for d in want if want[d] != d]
     assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+
+
+def test_sets_are_hashed_in_small_slices():
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(10_000)) for _ in range(60)] + ["", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(62)), "text": texts})
+    got = list(near._sets(iter([batch]), 5))
+    size = [sum(len(t or "") for t in b.column(1).to_pylist()) for b, _, _, _ in got]
+    assert max(size) <= 1 << 20 and sum(b.num_rows for b, _, _, _ in got) == 62
+    whole = textnum.shingles(*textnum.utf8(batch.column(1)), 5)[1]
+    assert np.array_equal(np.concatenate([h for _, _, _, h in got]), whole)

@@ -55,6 +55,8 @@ from .components import components
 from .forest import Forest
 from .groups import complete_groups
 
+#: Bytes of text that a task hashes at once; its arrays take some sixty times as many.
+SLICE = 1 << 20
 COORDS = 32
 TREES = 10
 LEAF = 1000
@@ -94,7 +96,7 @@ def miss_rate(similarity: float, depth: int) -> float:
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Batches with the first place of each non-empty set, set sizes, and all hashes."""
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE):
         data, off = textnum.utf8(b.column(b.schema.get_field_index("text")))
         doc, h = textnum.shingles(data, off, words)
         yield b, np.bincount(doc, minlength=b.num_rows), np.flatnonzero(np.diff(doc, prepend=-1)), h
