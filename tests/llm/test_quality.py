@@ -75,3 +75,17 @@ def test_edges(spark, labels):
     if not labels:
         assert {r.score for r in got} == {0.5}
     assert quality.classify(docs.limit(0), lab).count() == 0
+
+
+def test_texts_are_measured_in_small_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 10_000)) for _ in range(60)] + ["", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(62)), "text": texts})
+    sizes, whole = [], quality.statistics(batch.column(1)).astype(np.float32)
+    once = quality.statistics
+    monkeypatch.setattr(quality, "statistics", lambda col: (sizes.append(len(textnum.utf8(col)[0])), once(col))[1])
+    got = pa.Table.from_batches(quality._measure(iter([batch])))
+    assert max(sizes) <= 1 << 19 and sum(sizes) == sum(len(t or "") for t in texts)
+    assert got.column("doc_id").to_pylist() == list(range(62))
+    stats = got.column("stats").combine_chunks().flatten().to_numpy().reshape(62, -1)
+    assert np.allclose(stats, whole, rtol=1e-6)

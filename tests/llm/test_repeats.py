@@ -104,3 +104,16 @@ def test_op1_on_the_table(spark):
     got = repeats.op1_lyndon_suffixes(spark, SF)
     assert got.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
     assert sorted(map(tuple, got.collect()), key=str) == expected(docs)
+
+
+def test_blocks_are_cut_in_small_slices(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(10_000)) for _ in range(60)] + [""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(61)), "th": [0] * 61, "text": texts})
+    sizes, once = [], repeats.blocks_of
+    doc, start, n, _, content = once(*textnum.utf8(batch.column(2)))
+    monkeypatch.setattr(repeats, "blocks_of", lambda data, off: (sizes.append(len(data)), once(data, off))[1])
+    got = pa.Table.from_batches(repeats._blocks(iter([batch])))
+    assert max(sizes) <= 1 << 19 and sum(sizes) == sum(map(len, texts))
+    for name, want in (("doc_id", doc), ("start", start), ("n", n), ("c", content)):
+        assert np.array_equal(got.column(name).to_numpy(), want)

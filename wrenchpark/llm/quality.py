@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import boosting, textnum
 from .common import arrow_batches, slices, stage, table
 
+#: Bytes of text that a task measures at once; its arrays take some ninety times as many.
+SLICE = 1 << 19
 #: Most labelled rows that the trees are trained on.
 SAMPLE_ROWS = 20_000
 #: Rows whose id's CRC-32 leaves this remainder modulo FOLDS are held out.
@@ -114,9 +116,14 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(a[new], minlength=n).astype(float)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches, with the statistics of their texts."""
+    for b in slices(batches, column, SLICE):
+        yield b, statistics(b.column(b.schema.get_field_index(column))).astype(np.float32)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        x = statistics(b.column(b.schema.get_field_index("text"))).astype(np.float32)
+    for b, x in _sliced(batches, "text"):
         stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         rest = [b.column(i) for i, name in enumerate(b.schema.names) if name not in ("text", "stats")]
         yield pa.RecordBatch.from_arrays([*rest, stats], names=[*(c for c in b.schema.names if c not in ("text", "stats")), "stats"])
@@ -175,9 +182,8 @@ def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            score = sent.value.score(statistics(b.column(b.schema.get_field_index(text_col))).astype(np.float32).astype(np.float64))
-            yield b.filter(pa.array(score >= accept))
+        for b, x in _sliced(batches, text_col):
+            yield b.filter(pa.array(sent.value.score(x.astype(np.float64)) >= accept))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -42,7 +42,8 @@ from .suffixes import repeated_windows
 WIDTH = 200
 GRAM = 100
 MOST_KINDS = 2000
-SLICE = 2 << 20
+#: Bytes of text that a task cuts into blocks at once; its arrays take some hundred times as many.
+SLICE = 1 << 19
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
