@@ -4,7 +4,9 @@ generations; bounded nests and the last change of a key."""
 import datetime as dt
 import os
 import random
+import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -257,6 +259,77 @@ def test_nest_shuffles_ordinary_jobs_once(spark, monkeypatch):
     assert got[None] == ([], 0)
 
 
+def _places(df):
+    """The places and attachments of each job's rows, in the order of the places."""
+    got = {}
+    for r in df.collect():
+        for i, a in enumerate(r.attachments):
+            got.setdefault(r.id, []).append((r.first + i, (a.id, a.file_path, a.group, a.original_name)))
+    return {job: sorted(rows, key=lambda x: x[0]) for job, rows in got.items()}
+
+
+def _newest_first(rows):
+    return sorted(rows, key=lambda r: [(v is not None, 0 if v is None else v) for v in r], reverse=True)
+
+
+def test_nest_holds_all_attachments_of_a_job(spark):
+    n = 100_000
+    many = spark.range(n).select("id", F.when(F.col("id") < 1500, 1).otherwise(2).cast("long").alias("job_id"), F.concat(F.lit("/p"), "id").alias("file_path"),
+                                 F.lit("antes").alias("group"), F.lit(None).cast("string").alias("original_name"))
+    df = L.nested_attachments(spark.createDataFrame([(1,), (2,), (3,)], "id long"), many)
+    rows = df.collect()
+    assert [(r.first, len(r.attachments), r.more) for r in rows if r.id == 1] == [(0, 1500, 0)]
+    assert [(r.first, r.attachments, r.more) for r in rows if r.id == 3] == [(0, [], 0)]
+    # A large job's list is cut into pieces, each of which knows its place.
+    assert len([r for r in rows if r.id == 2]) > 1 and {r.more for r in rows} == {0}
+    got = _places(df)
+    assert [(i, a[0]) for i, a in got[1]] == list(enumerate(range(1499, -1, -1)))
+    assert [(i, a[0]) for i, a in got[2]] == list(enumerate(range(n - 1, 1499, -1)))
+
+
+def test_nest_pieces_of_nulls_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "NEST_FEW", 5)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(30)]), job, rng.choice([None, "", "/p", "/q"]), rng.choice([None, "antes"]), rng.choice([None, "x"]))
+            for job, n in ((1, 500), (2, 60), (3, 6), (4, 5), (5, 1), (None, 300), (9, 200)) for _ in range(n)]
+    rows += [(7, 6, "/same", "antes", None)] * 40
+    files = spark.createDataFrame(rows, "id long, job_id long, file_path string, group string, original_name string")
+    # Ids of jobs may be NULL, or come twice: each of their rows has the whole list.
+    jobs = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (6,), (7,), (None,), (2,)], "id long")
+    df = L.nested_attachments(jobs, files)
+    got = _places(df)
+    for job in (1, 2, 3, 4, 5, 6):
+        want = _newest_first([(r[0], *r[2:]) for r in rows if r[1] == job])
+        assert got[job] == [(i, a) for i, a in enumerate(want) for _ in range(2 if job == 2 else 1)]
+    rows_of = [r.id for r in df.collect()]
+    assert set(rows_of) == {1, 2, 3, 4, 5, 6, 7, None} and rows_of.count(1) > 20 and [rows_of.count(x) for x in (4, 5, 7, None)] == [1] * 4
+    assert {r.id: r.attachments for r in df.where("id = 7 or id is null").collect()} == {7: [], None: []}
+    # No list is broadcast: the join is by job and piece, as the nests were shuffled.
+    assert re.search(r"SortMergeJoin \[id#\d+L, __at#\d+\], \[job_id#\d+L, __piece#\d+\]", _plan(df))
+
+
+@pytest.mark.parametrize("few", [10_000, 200])
+def test_nested_query_and_detail_of_a_job_with_many_attachments(spark, scratch, monkeypatch, few):
+    from wrenchpark.plans import registry
+    monkeypatch.setattr(L, "NEST_FEW", few)
+    sf = os.path.join(scratch, f"many_files_{few}")
+    base = "/root/testdata/sf0.001"
+    os.makedirs(sf)
+    for name in ("orders", "customer", "nation"):
+        os.symlink(f"{base}/{name}.parquet", f"{sf}/{name}.parquet")
+    first = spark.read.parquet(f"{base}/lineitem.parquet").limit(1).drop("l_orderkey", "l_partkey", "l_suppkey")
+    first.crossJoin(spark.range(2500)).select("*", F.lit(7).cast("long").alias("l_orderkey"), F.col("id").alias("l_partkey"), (F.col("id") % 9).alias("l_suppkey")).drop("id").write.parquet(
+        f"{sf}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet/*.parquet')")
+    for key, columns in (("job_attachments_nested", ["id", "pos", "attachment_id", "group", "file_path"]), ("job_detail", ["id", "n_attachments", "newest_attachment_id", "attachment_ids"])):
+        want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({registry.oracle_sql()[key]})").fetchall()
+        got = registry.queries()[key](spark, sf).select(*[f"`{c}`" for c in columns]).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) == (2500 if key == "job_attachments_nested" else 1)
+
+
 def test_upload_files_are_dealt_over_tasks(spark, scratch, monkeypatch):
     from wrenchpark.plans import q_stored
     from wrenchpark.sources.testdata import DriverModel
