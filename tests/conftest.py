@@ -22,6 +22,7 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
 def scratch():
+    # One folder for each file of tests: two of them use the same names in it.
     return tempfile.mkdtemp(prefix="wrenchpark-out-")
